@@ -11,7 +11,10 @@ from .. import vocab as V
 
 
 def lookup(col: Column, table: Mapping[str, object], sql_type: str = "string", default=None) -> Column:
-    """A literal table as a CASE expression. ``table`` is one of the fixed vocabularies, never data."""
+    """A literal table as an expression. ``table`` is one of the fixed vocabularies, never data."""
+    if len(table) > 6:  # a folded map keeps the generated method small enough for the JIT
+        pairs = [F.lit(x) for item in table.items() for x in item]
+        return F.coalesce(F.create_map(*pairs)[col].cast(sql_type), F.lit(default).cast(sql_type))
     out = None
     for key, value in table.items():
         literal = F.lit(value).cast(sql_type)

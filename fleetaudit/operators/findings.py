@@ -21,52 +21,60 @@ def emission_order() -> Column:
 def validate(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Drop findings that point outside the audited files or carry no title; clear impossible line numbers.
 
-    ``files`` has one row per (audit, path) with ``line_count``. Findings without a path never meet the join.
+    ``files`` has one row per (audit, path) with ``line_count``. Findings without a path match no file and stay.
     """
     titled = findings.filter(F.trim("title") != "").withColumn("file_path", normalize_path("file_path"))
-    located = titled.filter(F.col("file_path") != "").join(
-        files.select(*AUDIT, F.col("path").alias("file_path"), "line_count"), [*AUDIT, "file_path"])
-    in_range = F.col("line_start").between(1, F.greatest("line_count", F.lit(1)))
-    lost = F.col("line_start").isNotNull() & ~in_range
-    located = (
-        located.withColumn("line_end", F.when(lost, None).when(
-            F.col("line_end") < F.col("line_start"), F.col("line_start")).otherwise(F.col("line_end")))
-        .withColumn("line_start", F.when(in_range, F.col("line_start")))
-        .drop("line_count"))
-    return located.unionByName(titled.filter(F.col("file_path") == ""))
+    known = files.select(*AUDIT, F.col("path").alias("file_path"), F.col("line_count").alias("_n"))
+    joined = titled.join(known, [*AUDIT, "file_path"], "left").filter(
+        (F.col("file_path") == "") | F.col("_n").isNotNull())
+    located = F.col("file_path") != ""
+    lost = located & F.col("line_start").isNotNull() & ~F.col("line_start").between(1, F.greatest("_n", F.lit(1)))
+    return joined.withColumns({
+        "line_start": F.when(~lost, F.col("line_start")),
+        "line_end": F.when(lost, None).when(
+            located & (F.col("line_end") < F.col("line_start")), F.col("line_start")).otherwise(F.col("line_end")),
+    }).drop("_n")
 
 
 def attach_source_line(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Add ``source_line``, the flagged line's text; ``lines`` has one row per (audit, path, line_no)."""
     wanted = lines.select(*AUDIT, F.col("path").alias("file_path"), F.col("line_no").alias("line_start"),
                           F.col("text").alias("source_line"))
-    located = findings.filter((F.col("file_path") != "") & F.col("line_start").isNotNull())
-    rest = findings.filter((F.col("file_path") == "") | F.col("line_start").isNull())
-    return located.join(wanted, [*AUDIT, "file_path", "line_start"], "left").unionByName(
-        rest.withColumn("source_line", F.lit(None).cast("string")))
+    return findings.join(wanted, [*AUDIT, "file_path", "line_start"], "left")
 
 
-def fingerprint(findings: DataFrame) -> DataFrame:
-    """Stable identity across audits: rule family, file, flagged code and the rank of its line among equal lines.
+IDENTITY = [*AUDIT, "_key", "file_path", "_anchor"]
 
-    The rank runs over the distinct line numbers only, so a hot rule repeated on one line costs one row; the
-    distinct lines of one file are bounded by the file size limit.
-    """
-    key = F.coalesce(rule_family("rule_id"), F.col("rule_id"))
+
+def _identity(findings: DataFrame) -> DataFrame:
+    """What makes two findings the same: rule family, file, flagged code (or title) and line."""
     has_line = (F.col("file_path") != "") & (F.coalesce("line_start", F.lit(0)) != 0)
-    anchor = normalize_line(F.when(has_line, F.coalesce("source_line", F.lit(""))).otherwise(F.col("title")))
-    keyed = findings.withColumns({
-        "_key": key, "_anchor": anchor, "_line": F.coalesce("line_start", F.lit(0))})
-    group = [*AUDIT, "_key", "file_path", "_anchor"]
-    ranks = keyed.select(*group, "_line").distinct().withColumn(
-        "_idx", F.dense_rank().over(Window.partitionBy(*group).orderBy("_line")) - 1)
-    raw = F.concat_ws("|", "_key", "file_path", "_anchor", F.col("_idx").cast("string"))
-    return keyed.join(ranks, [*group, "_line"]).withColumn("fingerprint", F.sha2(raw, 256)).drop(
+    return findings.withColumns({
+        "_key": F.coalesce(rule_family("rule_id"), F.col("rule_id")),
+        "_anchor": normalize_line(F.when(has_line, F.coalesce("source_line", F.lit(""))).otherwise(F.col("title"))),
+        "_line": F.coalesce("line_start", F.lit(0))})
+
+
+def _digest(index: Column) -> Column:
+    return F.sha2(F.concat_ws("|", "_key", "file_path", "_anchor", index.cast("string")), 256)
+
+
+def _line_index() -> Column:
+    """Rank of a line among the distinct lines that share its identity; a file's size limit bounds the window."""
+    return F.dense_rank().over(Window.partitionBy(*IDENTITY).orderBy("_line")) - 1
+
+
+def fingerprint(findings: DataFrame) -> DataFrame:
+    """Stable identity of every single report, unmerged. The rank runs over distinct lines only, so a hot rule
+    repeated on one line costs the window one row."""
+    keyed = _identity(findings)
+    ranks = keyed.select(*IDENTITY, "_line").distinct().withColumn("_idx", _line_index())
+    return keyed.join(ranks, [*IDENTITY, "_line"]).withColumn("fingerprint", _digest(F.col("_idx"))).drop(
         "_key", "_anchor", "_line", "_idx")
 
 
 def merge_duplicates(findings: DataFrame, extra_first: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (audit, fingerprint).
+    """One fingerprinted row per problem.
 
     * plain fields come from the first reported row; severity is the highest;
     * confidence and kind come from the first row with the highest confidence;
@@ -74,58 +82,56 @@ def merge_duplicates(findings: DataFrame, extra_first: tuple[str, ...] = ()) ->
       confidence, and only rows after it may raise confidence or fill in an empty evidence;
     * sources and references are ordered unions, evidence is the first non-empty one.
 
-    Every piece is a mergeable aggregate, so a fingerprint holding most of the rows is combined map-side.
+    Reports share a fingerprint exactly when they share identity and line, so duplicates collapse on those columns
+    first (mergeable aggregates, combined map-side, first per reference list and then per problem) and the line
+    rank runs on what is left. No report list is ever collected.
     """
-    key = [*AUDIT, "fingerprint"]
-    order = emission_order()
+    key = [*IDENTITY, "_line"]
+    rows = _identity(findings).withColumn("_ord", emission_order())
     taint = F.col("rule_id").startswith(V.TAINT_RULE_PREFIX)
-    rows = findings.withColumn("_ord", order)
     pivots = rows.filter(taint).groupBy(*key).agg(F.max("_ord").alias("_last_taint"))
     rows = rows.join(pivots, key, "left")
     after = F.col("_last_taint").isNull() | (F.col("_ord") >= F.col("_last_taint"))
-    first_fields = ["rule_id", "title", "category", "remediation", "file_path", "line_start", "line_end",
-                    "analyzer", "emit_idx", "description", *extra_first]
-    trusted = F.struct(-confidence_rank(), F.col("_ord"))
+    fields = ["rule_id", "title", "category", "remediation", "line_start", "line_end", "analyzer", "emit_idx",
+              "description", *extra_first]
     proof = F.col("evidence") != ""
-    merged = rows.groupBy(*key).agg(
-        F.min_by(F.struct(*first_fields), "_ord").alias("_f"),
-        F.max(severity_rank()).alias("_sev"),
-        F.min_by(F.struct("confidence", "kind"), trusted).alias("_ck"),
-        F.min_by(F.struct("confidence", "kind"), F.when(after, trusted)).alias("_ck_after"),
-        F.min_by("description", F.when(after, F.col("_ord"))).alias("_description_after"),
-        F.min_by("evidence", F.when(proof, F.col("_ord"))).alias("_evidence"),
-        F.min_by("evidence", F.when(proof & after, F.col("_ord"))).alias("_evidence_after"),
-        F.count(F.lit(1)).alias("reports"),
-    )
+    trusted = F.struct((-confidence_rank()).alias("c"), F.col("_ord").alias("o"))
+
+    def earliest(order: Column, *cols: str) -> Column:
+        return F.min(F.when(order.isNotNull(), F.struct(order.alias("at"), *cols)))
+
+    parts = rows.groupBy(*key, "sources", "references").agg(
+        earliest(F.col("_ord"), *fields).alias("first"),
+        F.max(severity_rank()).alias("severity"),
+        earliest(trusted, "confidence", "kind").alias("trust"),
+        earliest(F.when(after, trusted), "confidence", "kind").alias("trust_after"),
+        earliest(F.when(after, F.col("_ord")), "description").alias("description_after"),
+        earliest(F.when(proof, F.col("_ord")), "evidence").alias("evidence"),
+        earliest(F.when(proof & after, F.col("_ord")), "evidence").alias("evidence_after"),
+        F.count(F.lit(1)).alias("reports"))
+    merged = parts.groupBy(*key).agg(
+        *[F.min(c).alias(c) for c in ("first", "trust", "trust_after", "description_after", "evidence",
+                                      "evidence_after")],
+        F.max("severity").alias("severity"), F.sum("reports").alias("reports"),
+        F.array_sort(F.collect_list(F.struct("first.at", "sources", "references"))).alias("_lists"))
     rank_name = {rank: name for name, rank in V.SEVERITY_RANK.items()}
-    traced = ~F.col("_f.rule_id").startswith(V.TAINT_RULE_PREFIX)
+    traced = ~F.col("first.rule_id").startswith(V.TAINT_RULE_PREFIX)
 
     def pick(after_taint: str, plain: str) -> Column:
         return F.when(traced, F.col(after_taint)).otherwise(F.col(plain))
 
-    kept = [f"_f.{name}" for name in first_fields if name != "description"]
-    merged = merged.select(
-        *key, *kept, lookup(F.col("_sev"), rank_name).alias("severity"),
-        pick("_ck_after.confidence", "_ck.confidence").alias("confidence"),
-        pick("_ck_after.kind", "_ck.kind").alias("kind"),
-        pick("_description_after", "_f.description").alias("description"),
-        F.coalesce(pick("_evidence_after", "_evidence"), F.lit("")).alias("evidence"), "reports")
-    empty = F.array().cast("array<string>")
-    return merged.join(_ordered_lists(rows, key), key, "left").withColumns({
-        "sources": F.coalesce("sources", empty), "references": F.coalesce("references", empty)})
-
-
-def _ordered_lists(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Ordered unions of sources and references; duplicates collapse before the per-fingerprint lists are built."""
-    def exploded(name: str) -> DataFrame:
-        return rows.select(*key, "_ord", F.lit(name).alias("_list"), F.posexplode(name).alias("_pos", "_item"))
-
-    first_seen = exploded("sources").unionByName(exploded("references")).groupBy(*key, "_list", "_item").agg(
-        F.min(F.struct("_ord", "_pos")).alias("_at"))
-    return first_seen.groupBy(*key).agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("_list") == name, F.struct("_at", "_item")))),
-                    lambda x: x["_item"]).alias(name)
-        for name in ("sources", "references")])
+    def union(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.col(f"_lists.{name}"))).alias(name)
+
+    return merged.withColumn("_idx", _line_index()).select(
+        *AUDIT, _digest(F.col("_idx")).alias("fingerprint"), "file_path",
+        *[f"first.{name}" for name in fields if name != "description"],
+        lookup(F.col("severity"), rank_name).alias("severity"),
+        pick("trust_after.confidence", "trust.confidence").alias("confidence"),
+        pick("trust_after.kind", "trust.kind").alias("kind"),
+        pick("description_after.description", "first.description").alias("description"),
+        F.coalesce(pick("evidence_after.evidence", "evidence.evidence"), F.lit("")).alias("evidence"),
+        union("sources"), union("references"), "reports")
 
 
 def severity_counts(findings: DataFrame, keys: list[str] = AUDIT) -> DataFrame:

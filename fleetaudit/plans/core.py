@@ -29,11 +29,15 @@ def valid(t) -> DataFrame:
 
 
 def identified(t) -> DataFrame:
-    return FI.fingerprint(FI.attach_source_line(valid(t), t.lines))
+    return FI.fingerprint(located(t))
+
+
+def located(t) -> DataFrame:
+    return FI.attach_source_line(valid(t), t.lines)
 
 
 def merged(t) -> DataFrame:
-    return FI.merge_duplicates(identified(t))
+    return FI.merge_duplicates(located(t))
 
 
 # --- check SQL building blocks ---------------------------------------------------------------------

@@ -36,13 +36,12 @@ RULES = [
 ]
 
 
-def _case(expr: str, values: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE {expr} {arms} END"
+def _pick(expr: str, values: list[str]) -> str:
+    return f"split_part('{'|'.join(values)}', '|', CAST({expr} AS INT) + 1)"
 
 
-_RULE = _case(f"l_partkey % {len(RULES)}", [r for r, _ in RULES])
-_CATEGORY = _case(f"l_partkey % {len(RULES)}", [c for _, c in RULES])
+_RULE = _pick(f"l_partkey % {len(RULES)}", [r for r, _ in RULES])
+_CATEGORY = _pick(f"l_partkey % {len(RULES)}", [c for _, c in RULES])
 
 VIEWS: dict[str, str] = {
     "organizations": "SELECT CAST(n_nationkey AS STRING) AS org_id, n_name AS name FROM nation",
@@ -69,11 +68,11 @@ VIEWS: dict[str, str] = {
     "findings": f"""
         SELECT CAST(c_nationkey AS STRING) AS org_id, CAST(o_custkey AS STRING) AS repo_id,
                CAST(l_orderkey AS STRING) AS audit_id,
-               CASE WHEN ({_RULE}) LIKE '{NS}%' THEN split_part(substr({_RULE}, {len(NS) + 1}), '.', 1)
-                    WHEN ({_RULE}) LIKE 'vuln:%' THEN 'dependencies'
-                    ELSE split_part({_RULE}, ':', 1) END AS analyzer,
+               CASE WHEN rule_id LIKE '{NS}%' THEN split_part(substr(rule_id, {len(NS) + 1}), '.', 1)
+                    WHEN rule_id LIKE 'vuln:%' THEN 'dependencies'
+                    ELSE split_part(rule_id, ':', 1) END AS analyzer,
                (CAST(l_linenumber AS BIGINT) * 1000003 + l_partkey) * 100003 + l_suppkey AS emit_idx,
-               {_RULE} AS rule_id,
+               rule_id,
                CASE WHEN l_partkey % 61 = 0 THEN ' '
                     ELSE concat('Issue ', CAST(l_partkey % 30 AS STRING), '/', CAST(l_suppkey % 3 AS STRING))
                END AS title,
@@ -112,7 +111,8 @@ VIEWS: dict[str, str] = {
                     THEN CAST(l_shipdate AS DATE) + CAST((l_suppkey % 7) * 60 AS INT) END AS triage_expires_on,
                CASE WHEN l_partkey % 4 = 0 THEN 'existing' WHEN l_partkey % 4 = 1 THEN 'recurring'
                     ELSE 'new' END AS lifecycle
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+        FROM (SELECT *, {_RULE} AS rule_id FROM lineitem) reported
+        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "lines": """
         SELECT CAST(c_nationkey AS STRING) AS org_id, CAST(o_custkey AS STRING) AS repo_id,
                CAST(l_orderkey AS STRING) AS audit_id,
@@ -126,6 +126,8 @@ VIEWS: dict[str, str] = {
         GROUP BY 1, 2, 3, 4, 5""",
     "files": """
         SELECT org_id, repo_id, audit_id, path, max(line_no) AS line_count FROM lines GROUP BY 1, 2, 3, 4""",
+    "audit_findings": """
+        SELECT findings.*, concat_ws('|', rule_id, file_path, title) AS fingerprint FROM findings""",
     "outcomes": """
         SELECT org_id, repo_id, audit_id, analyzer AS name,
                CASE WHEN max(emit_idx % 13) = 0 THEN 'failed' ELSE 'ok' END AS status, category
