@@ -68,9 +68,10 @@ def map_findings(findings: DataFrame) -> DataFrame:
 
 def finding_controls(mapped: DataFrame) -> DataFrame:
     """One row per (finding, framework, control)."""
-    pairs = F.flatten(F.array(*[
-        F.transform(fw, lambda c, fw=fw: F.struct(F.lit(fw).alias("framework"), c.alias("control")))
-        for fw in M.FRAMEWORKS]))
+    def tagged(framework: str) -> Column:
+        return F.transform(framework, lambda c: F.struct(F.lit(framework).alias("framework"), c.alias("control")))
+
+    pairs = F.flatten(F.array(*[tagged(fw) for fw in M.FRAMEWORKS]))
     return mapped.withColumn("_p", F.explode(pairs)).select("*", "_p.*").drop("_p")
 
 

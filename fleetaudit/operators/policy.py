@@ -34,11 +34,11 @@ def layered(layers: DataFrame) -> DataFrame:
         return F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("layer", name))))
 
     def top_first(name: str) -> Column:
-        return F.flatten(F.transform(F.reverse(pieces(name)), lambda x: x[name])).alias(name)
+        return F.flatten(F.reverse(pieces(name))[name]).alias(name)
 
     return layers.groupBy(*REPO).agg(
         last("fail_on", "high"), last("max_findings", None), last("max_change_risk", "never"),
-        *[F.array_distinct(F.flatten(F.transform(pieces(n), lambda x, n=n: x[n]))).alias(n) for n in LISTS],
+        *[F.array_distinct(F.flatten(pieces(n)[n])).alias(n) for n in LISTS],
         top_first("path_gates"), top_first("severity_overrides"))
 
 

@@ -229,14 +229,13 @@ def _row_values() -> str:
 
 _FB = ", ".join(f"('{c}', '{' '.join(v['owasp'])}', '{' '.join(v['soc2'])}', '{' '.join(v['iso27001'])}')"
                 for c, v in M.FALLBACK_ROWS.items())
-_OW = ", ".join(f"({n}, '{o}')" for n, o in M.OWASP_OF_CWE.items())
+_OWM = ", ".join(f"{n}: '{o}'" for n, o in M.OWASP_OF_CWE.items())
 # glob rows as GLOB patterns: the star crosses every character in a rule id
 COMPLIANCE_CTES = f"""
   rows_ AS (SELECT * FROM (VALUES {_row_values()}) r(i, pattern, cwe, owasp, asvs, soc2, iso)),
   rids AS (SELECT DISTINCT rule_id FROM audit_findings),
   hit AS (SELECT rule_id, min(i) AS i FROM rids JOIN rows_ ON rule_id GLOB pattern GROUP BY 1),
   fb AS (SELECT * FROM (VALUES {_FB}) x(category, fowasp, fsoc2, fiso)),
-  ow AS (SELECT * FROM (VALUES {_OW}) x(n, o)),
   texts AS (SELECT f.audit_id, f.emit_idx, f.rule_id, f.category, f.severity, coalesce(r.cwe, '') AS rcwe, coalesce(r.owasp, '') AS rowasp,
               coalesce(r.asvs, '') AS rasvs, coalesce(r.soc2, '') AS rsoc2, coalesce(r.iso, '') AS riso,
               regexp_extract(description, '(?i)CWE[-_ ]?([0-9]+)', 1) AS dcwe
@@ -251,7 +250,7 @@ COMPLIANCE_CTES = f"""
                                     lambda v: v IS NOT NULL) AS list_distinct_ordered
             FROM (SELECT c.*, list_concat(CASE WHEN rowasp = '' THEN [] ELSE string_split(rowasp, ' ') END,
                     list_filter(list_transform(CASE WHEN cwe = '' THEN [] ELSE string_split(cwe, ' ') END,
-                      lambda n: (SELECT map_from_entries(list(row(x.n, x.o))) FROM ow x)[CAST(n AS INT)]), lambda v: v IS NOT NULL)) AS al
+                      lambda n: (MAP {{{_OWM}}})[CAST(n AS INT)]), lambda v: v IS NOT NULL)) AS al
                   FROM cwes c) c) c) c
     LEFT JOIN fb USING (category))"""
 
@@ -297,7 +296,7 @@ PORTFOLIO_CTES = f"""{CATEGORY_CTES}, {LATEST_CTE},
   worst AS (SELECT * FROM grp QUALIFY row_number() OVER (PARTITION BY audit_id, category ORDER BY {SEV_RANK} DESC,
             triage_status <> 'open', kind <> 'confirmed', confidence <> 'high', kind, confidence) = 1),
   cs AS (SELECT c.*, {LEVEL} AS lv, category IN ('security', 'api', 'dependencies', 'database') AS crit,
-           list_position([{', '.join(f"'{c}'" for c in V.CATEGORIES)}], category) AS pos FROM category_scores c JOIN la USING (audit_id)),
+           list_position([{', '.join(f"'{c}'" for c in V.CATEGORIES)}], category) AS pos FROM category_scores c WHERE audit_id IN (SELECT audit_id FROM la)),
   best AS (SELECT * FROM cs WHERE assessed QUALIFY row_number() OVER (PARTITION BY audit_id
             ORDER BY lv - CASE WHEN crit THEN 0 ELSE 1 END DESC, crit DESC, score10, pos) = 1),
   cov AS (SELECT audit_id, count(*) FILTER (assessed) AS assessed, bool_and(assessed AND lv = 0) AS flat FROM cs GROUP BY 1),
