@@ -32,15 +32,22 @@ FAMILIES = [
 ]
 INT_FAMILIES = ["int16", "int32", "int64"]
 FLOAT_TYPE = r"(?i)\b(?:float|real|double|double_precision|floatfield)\b"
-MONEY_NAME = (r"(?i)(?:^|_)(?:price|amount|total|subtotal|balance|cost|fee|tax|discount|salary|payment|revenue|"
-              r"refund|payout|money)(?:_|$)")
-NATURAL_KEY = r"(?i)^(?:email|username|user_name|slug|sku|handle|isbn|ssn|vat_number|iban)$"
-PERSON_MODEL = r"(?i)user|account|member|customer|person|profile|employee|admin"
-LOG_MODEL = r"(?i)log|history|audit|event|archive"
-SNAPSHOT_MODEL = r"(?i)snapshot|history|log|audit|invoice|order|receipt|archive|version|revision|event"
-EXTERNAL_PREFIX = (r"(?i)^(?:external|ext|remote|stripe|github|google|facebook|twitter|slack|aws|request|session|"
-                   r"correlation|trace|transaction|device|client|message|job|task)$")
-MAX_PER_RULE = 40
+MONEY_WORDS = ["price", "prices", "amount", "cost", "costs", "total", "subtotal", "balance", "fee", "fees", "salary",
+               "wage", "payment", "revenue", "tax", "discount", "charge", "refund", "budget", "money", "usd", "eur"]
+NOT_MONEY_WORDS = ["rate", "ratio", "percent", "percentage", "pct", "count", "weight", "score", "factor"]
+NATURAL_KEY = r"(?i)^(?:email|e_mail|username|user_name|login|slug|sku|handle)$"
+PERSON_MODEL = r"(?i)^\w*(?:user|account|member|customer|person|profile|admin|staff|employee|subscriber)s?$"
+LOG_MODEL = r"(?i)audit|log$|logs$|event|history|activity|snapshot|archive|outbox|journal|trail"
+SNAPSHOT_MODEL = (r"(?i)order|invoice|receipt|payment|transaction|shipment|line_?item|booking|reservation|audit|log|"
+                  r"history|event|snapshot|archive|ledger|quote|contract|statement|charge|refund")
+EXTERNAL_PREFIX = (r"(?i)^(?:external|stripe|paypal|github|gitlab|google|apple|facebook|twitter|slack|provider|remote|"
+                   r"session|request|trace|correlation|idempotency|transaction|message|object|entity|resource|client|"
+                   r"device|installation|tenant_external)$")
+REFERENCE_MODEL = (
+    r"(?i)^(?:countr(?:y|ies)|currenc(?:y|ies)|languages?|locales?|time_?zones?|roles?|permissions?|settings?|"
+    r"config(?:uration)?s?|feature_?flags?|features?|plans?|regions?|provinces?|states?|statuses|status|units?|"
+    r"\w*types?|\w*kinds?|\w*categor(?:y|ies)|\w*choices?|\w*enums?)$")
+MAX_PER_RULE = 30
 # End of fixed values
 
 
@@ -217,7 +224,10 @@ def design_issues(columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """Tables without a primary key, money in floating point, natural keys without a unique constraint."""
     keyed = columns.groupBy(*REPO, "model").agg(
         F.max("pk").alias("_pk"), F.min("file").alias("file"), F.min("line").alias("line")).filter(~F.col("_pk"))
-    money = columns.filter(F.col("col").rlike(MONEY_NAME) & F.col("type").rlike(FLOAT_TYPE))
+    words = F.transform(F.regexp_extract_all("col", F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), F.lit(0)), F.lower)
+    named = F.arrays_overlap(words, F.array(*[F.lit(w) for w in MONEY_WORDS])) & ~F.arrays_overlap(
+        words, F.array(*[F.lit(w) for w in NOT_MONEY_WORDS]))
+    money = columns.filter(named & F.col("type").rlike(FLOAT_TYPE))
     unique = indexes.filter("is_unique").select(*REPO, "tbl", F.explode("cols").alias("col")).distinct()
     natural = columns.filter(F.col("col").rlike(NATURAL_KEY) & ~F.col("is_unique") & ~F.col("pk") & (
         (F.lower("col") != "email") | F.col("model").rlike(PERSON_MODEL))).join(unique, [*REPO, "tbl", "col"], "left_anti")
@@ -236,7 +246,8 @@ def missing_indexes(queries: DataFrame, columns: DataFrame, indexes: DataFrame)
     """
     served = leading(columns, indexes)
     cols = F.when(F.size("eq_cols") > 0, F.col("eq_cols")).when(F.col("limited"), F.col("order_cols"))
-    rows = queries.withColumn("_cols", cols).filter(F.size("_cols") > 0).select(
+    rows = queries.withColumn("_cols", cols).filter(
+        (F.size("_cols") > 0) & ~F.col("model").rlike(REFERENCE_MODEL)).select(
         *REPO, "query_id", "model", "file", "line", (F.size("eq_cols") == 0).alias("sorts"),
         F.posexplode("_cols").alias("_i", "col"))
     meta = columns.select(*REPO, "model", "tbl", "col", "type", F.col("fk_tbl").isNotNull().alias("_fk"))

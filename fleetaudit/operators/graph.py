@@ -56,6 +56,7 @@ PY_MODEL = (r"(?m)^class\s+\w+\(\s*(?:db\.Model|models\.Model|Base\s*[,)]|Declar
             r"SQLModel\b[^)]*table\s*=\s*True|(?:me\.|mongoengine\.)?Document\s*[,)])")
 JS_MODEL = r"\bmongoose\.model\(|\bnew\s+(?:mongoose\.)?Schema\(|\bsequelize\.define\(|@Entity\("
 ENV_READ = r"os\.environ|os\.getenv|process\.env|import\.meta\.env"
+JS_EXPORT = (r"(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\b")
 FAN_OUT, CONFIG_SPRAWL, CONFIG_BYPASS, EXPORTS, PACKAGE_FILES, ROOT_FILES = 25, 12, 5, 40, 40, 15
 NO_SERVICE_HANDLERS, SCATTERED_FILES, SCATTERED_DIRS, MAX_PER_RULE, SHOWN = 4, 6, 3, 30, 12
 # End of fixed values
@@ -79,11 +80,11 @@ DATA_HANDLER = _r(8, "data-access-in-handlers", "Request handler module queries
 MIXED = _r(9, "mixed-concerns", "Route handlers and database models in the same module", "low")
 NO_SERVICE = _r(10, "no-service-layer", "No service layer", "medium", "medium", "potential")
 SCATTERED = _r(11, "scattered-data-access", "Data access is scattered", "low", "medium", "potential")
-OVERSIZED = _r(12, "oversized-module", "Module exports many definitions", "low", "medium", "potential")
-FLAT = _r(13, "flat-structure", "Source files at the repository root", "low", "medium", "potential")
-BIG_PACKAGE = _r(14, "oversized-package", "Directory holds many source files", "low", "medium", "potential")
-SPRAWL = _r(15, "config-sprawl", "Configuration read across the codebase", "low", "medium", "potential")
-BYPASS = _r(16, "config-bypass", "Configuration read around the settings module", "low", "medium", "potential")
+OVERSIZED = _r(12, "oversized-module", "Module exports many definitions", "low")
+FLAT = _r(13, "flat-structure", "Source files at the repository root", "low")
+BIG_PACKAGE = _r(14, "oversized-package", "Directory holds many source files", "low")
+SPRAWL = _r(15, "config-sprawl", "Configuration read across the codebase", "low")
+BYPASS = _r(16, "config-bypass", "Configuration read around the settings module", "low")
 
 
 # --- edges -----------------------------------------------------------------------------------------
@@ -402,37 +403,47 @@ def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
         .alias("n"),
         F.min(F.when((F.col("layer") == "controller") & (F.col("sql_at").isNotNull() | F.col("data_at").isNotNull()),
                      F.col("path"))).alias("_first"))
-    outside = rows.filter(~F.col("layer").isin("data", "service") & F.col("data_at").isNotNull()
-                          & ~F.arrays_overlap(F.split(F.lower(dirname("path")), "/"),
-                                              F.array(*[F.lit(d) for d in EXEMPT_DIRS])))
+    folders = F.split(F.lower(dirname("path")), "/")
+    exempt = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in EXEMPT_DIRS]))
+    settings = F.arrays_overlap(F.concat(path_tokens(stem("path")), folders), F.array(*[F.lit(c) for c in CONFIG_NAMES]))
+    source = rows.filter(~exempt)
+    outside = source.filter(~F.col("layer").isin("data", "service") & ~settings & (
+        F.col("sql_at").isNotNull() | F.col("data_at").isNotNull()))
     scattered = outside.groupBy(*AUDIT).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(dirname("path")).alias("dirs"), F.min("path").alias("_first")).filter(
         (F.col("n") >= SCATTERED_FILES) & (F.col("dirs") >= SCATTERED_DIRS))
-    exports = F.regexp_count("text", F.lit(r"(?m)^export\s"))
-    many = rows.filter(~python).withColumn("n", exports).filter(F.col("n") >= EXPORTS)
-    dirs = rows.groupBy(*AUDIT, dirname("path").alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("_first"))
-    settings = F.arrays_overlap(path_tokens(stem("path")), F.array(*[F.lit(c) for c in CONFIG_NAMES]))
-    env = rows.filter("env").groupBy(*AUDIT).agg(
-        F.count(F.when(~settings, 1)).alias("n"), F.max(settings).alias("_central"),
-        F.min(F.when(~settings, F.col("path"))).alias("_first"))
+    many = source.filter(~python).withColumn("n", F.regexp_count("text", F.lit(JS_EXPORT))).filter(F.col("n") >= EXPORTS)
+    dirs = source.groupBy(*AUDIT, dirname("path").alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("_first"))
+    readers = source.withColumns({"reads": F.regexp_count("text", F.lit(ENV_READ)), "top": F.when(
+        F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise("")}).filter("reads > 0")
+    readers = readers.withColumn("central", settings & (F.col("reads") >= 3))
+    env = readers.groupBy(*AUDIT).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("central"), 1)).alias("_out"),
+        F.min(F.when(~F.col("central"), F.col("path"))).alias("_first"))
+    sprawl = env.filter((F.col("n") >= CONFIG_SPRAWL) & (F.col("_out") >= CONFIG_SPRAWL // 2))
+    around = readers.groupBy(*AUDIT, "top").agg(
+        F.min(F.when(F.col("central"), F.col("path"))).alias("_settings"),
+        F.count(F.when(~F.col("central"), 1)).alias("n"),
+        F.min(F.when(~F.col("central"), F.col("path"))).alias("_first")).filter(
+        F.col("_settings").isNotNull() & (F.col("n") >= CONFIG_BYPASS)).join(sprawl.select(*AUDIT), AUDIT, "left_anti")
     return union([
         emit(querying.filter(F.col("sql_at").isNotNull()), NAME, SQL_HANDLER, path=F.col("path"), line=F.col("sql_at")),
         emit(querying.filter(F.col("sql_at").isNull()), NAME, DATA_HANDLER, path=F.col("path"), line=F.col("data_at")),
         emit(handlers.filter(F.col("model_at").isNotNull()), NAME, MIXED, path=F.col("path"), line=F.col("model_at")),
         emit(per_audit.filter((F.col("n") >= NO_SERVICE_HANDLERS) & ~F.col("_service")), NAME, NO_SERVICE,
              path=F.col("_first"), title=F.concat(F.lit("No service layer: "), n, F.lit(" handler modules query the database"))),
-        emit(scattered, NAME, SCATTERED, path=F.col("_first"),
-             title=F.concat(F.lit("Data access is scattered over "), n, F.lit(" modules"))),
+        emit(scattered, NAME, SCATTERED, path=F.col("_first"), title=F.concat(
+            F.lit("Database accessed directly from "), n, F.lit(" modules in "), F.col("dirs").cast("string"), F.lit(" packages"))),
         emit(many, NAME, OVERSIZED, path=F.col("path"),
-             title=F.concat(F.lit("Module exports "), n, F.lit(" definitions"))),
+             title=F.concat(F.lit("Module defines "), n, F.lit(" exports"))),
         emit(dirs.filter((F.col("dir") == "") & (F.col("n") >= ROOT_FILES)), NAME, FLAT, path=F.col("_first"),
              title=F.concat(n, F.lit(" source files at the repository root"))),
         emit(dirs.filter((F.col("dir") != "") & (F.col("n") >= PACKAGE_FILES)), NAME, BIG_PACKAGE, path=F.col("_first"),
-             title=F.concat(F.col("dir"), F.lit(" holds "), n, F.lit(" source files"))),
-        emit(env.filter(~F.col("_central") & (F.col("n") >= CONFIG_SPRAWL)), NAME, SPRAWL, path=F.col("_first"),
-             title=F.concat(F.lit("Configuration read in "), n, F.lit(" modules"))),
-        emit(env.filter(F.col("_central") & (F.col("n") >= CONFIG_BYPASS)), NAME, BYPASS, path=F.col("_first"),
-             title=F.concat(n, F.lit(" modules read the environment around the settings module")))])
+             title=F.concat(F.lit("Package "), F.col("dir"), F.lit(" holds "), n, F.lit(" source files"))),
+        emit(sprawl, NAME, SPRAWL, path=F.col("_first"),
+             title=F.concat(F.lit("Environment variables read in "), n, F.lit(" files"))),
+        emit(around, NAME, BYPASS, path=F.col("_first"),
+             title=F.concat(n, F.lit(" modules read the environment around "), F.col("_settings")))])
 
 
 def architecture(tables: dict[str, DataFrame]) -> DataFrame:

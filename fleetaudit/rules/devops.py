@@ -16,7 +16,8 @@ from .engine import Pack, Rule, emit, line_of, register, scan, selects, union
 NAME = "devops"
 
 # File classes and patterns.
-CI_MARKERS = r"^(?:\.github/workflows/|\.gitlab-ci\.yml$|\.circleci/|Jenkinsfile$|azure-pipelines\.yml$|bitbucket-pipelines\.yml$|\.travis\.yml$|\.drone\.yml$|\.buildkite/)"
+CI_MARKERS = (r"^(?:\.github/workflows/|\.gitlab-ci\.yml|Jenkinsfile|\.circleci/config\.yml|azure-pipelines\.yml|"
+              r"bitbucket-pipelines\.yml|\.travis\.yml|\.buildkite/|\.drone\.yml)")
 DOCKERFILE = r"(?:^|/)Dockerfile[^/]*$|\.dockerfile$"
 COMPOSE = r"(?:^|/)(?:docker-compose|compose)\.ya?ml$"
 WORKFLOW = r"^\.github/workflows/.*\.ya?ml$"

@@ -16,7 +16,7 @@ CORS = r"\bcors\(\s*\)|origin\s*:\s*(?:['\"`]\*['\"`]|true\b)"
 MASS_ASSIGNMENT = r"\b(?:create|update|insert|new\s+\w+|findOneAndUpdate|updateOne)\(\s*req\.body\s*[,)]"
 TLS_OFF = r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0"
 JWT_NONE = r"(?i)algorithms\s*:\s*\[[^\]]*['\"]none['\"]"
-ERROR_LEAK = r"\bres\.(?:send|json|end|write|render)\([^;]*\b(?:err|error|e|ex|exception)\.stack\b"
+ERROR_LEAK = r"\bres\.(?:status\(\s*\d+\s*\)\.)?(?:send|json|end|write)\([^;]*\b(?:err|error|e|ex)\.stack\b"
 CLIENT_FILENAME = (r"(?:\b(?:cb|callback|done)\s*\(\s*null\s*,[^)]*|path\.(?:join|resolve)\([^)]*|"
                    r"(?:writeFile|createWriteStream|rename|\.mv)\w*\([^)]*)\boriginalname\b")
 COOKIE_OFF = r"\b(httpOnly|secure)\s*:\s*false\b"
@@ -41,7 +41,7 @@ ANY_ROUTE = r"""\b(?:app|router|server)\.(get|post|put|patch|delete|all)\(\s*["'
 AUTH_HINT = r"(?i)(?:auth|jwt|passport|session|requireUser|isAuthenticated|protect|guard|verify)"
 GLOBAL_AUTH = (r"\.use\(\s*(?:[\"'`][^\"'`]*[\"'`]\s*,\s*)?(?:[\w.$]+\s*,\s*)*(?![\w$]*(?:Router|Routes|router|routes)\b)"
                r"[\w.$]*(?:auth|Auth|jwt|Jwt|JWT|passport|requireUser|isAuthenticated|protect|guard|Guard)[\w.$]*\s*[(,)]")
-LOOKUP_BY_PARAM = (r"\.(?:findById|findByPk|findOne|findUnique|findFirst|findByIdAndUpdate|findByIdAndDelete|deleteOne|"
+LOOKUP_BY_PARAM = (r"\.(?:findById|findByPk|findOne|findUnique|findFirst|findOneBy|getById|findByIdAndUpdate|findByIdAndDelete|deleteOne|"
                    r"updateOne|update|delete|destroy)\([^;]*req\.params")
 OWNERSHIP = (r"(?i)(?:req\.user|req\.auth|res\.locals\.(?:user|session)|owner|tenant|orgId|organizationId|\b403\b|"
              r"forbidden|authoriz|permission|can\(|ability|policy)")
@@ -61,7 +61,8 @@ PLATFORM_VARS = [
 ]
 PLATFORM_PREFIX = (r"^(?:GITHUB_|RUNNER_|npm_|VERCEL_|RENDER_|HEROKU_|AWS_LAMBDA_|NETLIFY_|PYTEST_|COVERAGE_|VSCODE_|"
                    r"JEST_)")
-ENV_EXAMPLES = [".env.example", ".env.sample", ".env.template", ".env.dist", "env.example", "example.env"]
+ENV_EXAMPLES = [".env.example", ".env.sample", ".env.template", ".env.dist", ".env.defaults", "example.env",
+                "env.example", "sample.env", ".env.local.example", ".env.development.example"]
 DOC_FILE = r"\.(?:md|rst|txt|adoc|yml|yaml|toml|ini|cfg|json|tf|env)$|(?:^|/)(?:Dockerfile|Procfile|Makefile|Jenkinsfile)$"
 NOT_DOCS = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Pipfile.lock",
             "requirements.txt", "tsconfig.json", ".env"]
@@ -71,7 +72,8 @@ API_DOC_FILE = (r"(?i)(?:^|/)(?:openapi|swagger)[^/]*\.(?:ya?ml|json)$|(?:^|/)do
 PY_ROUTE = r"(?m)^\s*@\w+\.(?:route|get|post|put|patch|delete|api_route)\("
 JS_ROUTE = r"\b(?:app|router|server)\.(?:get|post|put|patch|delete)\(\s*[\"'`]/"
 NOSQL = (r"\.(?:find|findOne|findOneAndUpdate|findOneAndDelete|updateOne|updateMany|deleteOne|deleteMany|"
-         r"countDocuments)\(\s*(?:req\.(?:body|query)\b|\{[^}]*req\.(?:body|query)\b)")
+         r"countDocuments|exists|replaceOne)\(\s*(?:req\.(?:body|query)\b(?!\.)|"
+         r"\{[^}]*:\s*req\.(?:body|query)\.[\w$]+\s*[,}])")
 NOSQL_SANITIZED = r"mongo-sanitize|mongoSanitize|sanitizeFilter|express-mongo-sanitize"
 CSRF_LIBS = r"\b(?:csurf|csrf-csrf|lusca|tiny-csrf|csrf-sync|doubleCsrf|csrfSync|csrfProtection)\b"
 SAME_SITE = r"""(?i)sameSite\s*:\s*["'`]?(?:strict|lax)"""
