@@ -9,7 +9,7 @@ from .. import vocab as V
 from .core import _c, lookup
 
 WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def redact(col) -> Column:

@@ -210,7 +210,8 @@ def strongly_connected(edges: DataFrame, keys: list[str] = AUDIT, hops: int = 4)
             inside.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
             .join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"))
     if not found:
-        return edges.select(*keys, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        return edges.select(*keys, F.col("src").alias("node"), F.col("src").alias("component"),
+                            F.lit(0).cast("long").alias("size")).limit(0)
     members = union(found)
     big = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return members.join(big, [*keys, "component"])

@@ -326,7 +326,7 @@ def kubernetes(files: DataFrame) -> DataFrame:
     explicit = doc.rlike(r"(?m)^\s*runAsUser:\s*0\s*$")
     debug = line_of("doc", K8S_DEBUG_ENV)
     root = explicit | ~doc.rlike(r"runAsNonRoot:\s*true|runAsUser:\s*[1-9]")
-    head = F.substring_index(doc, F.col("image"), 1)
+    head = F.call_function("substring_index", doc, F.col("image"), F.lit(1))
     image_line = F.col("_base") + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
     return union([
         found(~doc.rlike(r"(?m)^\s+limits\s*:"), K8S_LIMITS, " has no resource limits"),
