@@ -9,6 +9,7 @@ from .. import vocab as V
 from ..functions.core import lookup
 from ..functions.text import basename, is_test_path, language, path_tokens, split_lines, stem, url_segments
 from ..operators import AUDIT
+from ..operators.findings import top_k
 from ..operators.graph import EXEMPT_DIRS, is_controller
 from .engine import Pack, Rule, emit, line_of, register, union
 
@@ -335,10 +336,10 @@ def error_formats(files: DataFrame) -> DataFrame:
     keys = F.array_sort(F.array_distinct(F.regexp_extract_all("_b", F.lit(r"(?:^|,)\s*[\"']?(\w+)[\"']?\s*(?=:|,|$|\})"), F.lit(1))))
     shapes = rows.groupBy(*AUDIT, F.array_join(keys, ", ").alias("shape")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line_no")).alias("at"))
-    ranked = shapes.groupBy(*AUDIT).agg(
-        F.count(F.lit(1)).alias("shapes"), F.sum("n").alias("errors"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "shape", "at"))).alias("_s"))
-    rows = ranked.filter((F.col("shapes") >= 2) & (F.col("errors") >= 4)).withColumn("at", F.get("_s", F.lit(1))["at"])
+    totals = shapes.groupBy(*AUDIT).agg(F.count(F.lit(1)).alias("shapes"), F.sum("n").alias("errors")).filter(
+        (F.col("shapes") >= 2) & (F.col("errors") >= 4))
+    second = top_k(shapes, AUDIT, [F.col("n").desc(), F.col("shape")], 2).filter("rank = 2")
+    rows = second.join(totals, AUDIT)
     return emit(rows, "api_design", ERROR_FORMAT, path=F.col("at.path"), line=F.col("at.line_no"), title=F.concat(
         F.lit("Error responses use "), F.col("shapes").cast("string"), F.lit(" different formats")))
 
