@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import Tables, oracle
 
-AREAS = ["core", "governance"]
+AREAS = ["core", "governance", "repositories"]
 
 
 def _entries():

@@ -134,7 +134,151 @@ VIEWS: dict[str, str] = {
         FROM findings GROUP BY org_id, repo_id, audit_id, analyzer, category""",
 }
 
-_NAME = re.compile(r"\b([a-z_]+)\b")
+
+# --- repositories' files: one set per customer row, texts composed from its key ------------------------------------
+def _text(*lines: str) -> str:
+    return "concat_ws(chr(10), " + ", ".join(lines) + ")"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FILES = {
+    "requirements.txt": ("true", _text(
+        "CASE k % 3 WHEN 0 THEN 'flask==1.0' WHEN 1 THEN 'flask>=1.0' ELSE 'Flask' END",
+        "concat('PyYAML==', CAST(k % 5 AS STRING), '.', CAST(k % 7 AS STRING))",
+        _q('requests[security] == 2.1 ; python_version > "3"'),
+        "CASE k % 4 WHEN 0 THEN 'git+https://example.com/x.git' WHEN 1 THEN '-e git+https://example.com/y' ELSE '-r base.txt' END",
+        "CASE WHEN k % 6 = 0 THEN 'flask==2.0' END", "'# a comment'", "'reqeusts==1.0'")),
+    "requirements-dev.txt": ("k % 2 = 0", _text(
+        "concat('pyyaml==', CAST(k % 4 AS STRING), '.', CAST(k % 7 AS STRING))", "'pytest'", "'numpy'", "'pandas'", "'scipy'")),
+    "poetry.lock": ("k % 7 = 0", _text(
+        "'[[package]]'", _q('name = "PyYAML"'), "concat('version = ', chr(34), CAST(k % 3 AS STRING), '.1', chr(34))", "''",
+        "'[package.dependencies]'", _q('version = "9"'), "'[[package]]'", _q('name = "idna"'), _q('version = "3.4"'))),
+    "pyproject.toml": ("k % 5 = 0", _text(
+        "'[project]'", "'name = \"x\"'", "concat('dependencies = [\"pyyaml>=', CAST(k % 3 AS STRING), '.2\", \"attrs\"]')",
+        "CASE WHEN k % 25 = 0 THEN 'broken = [' END")),
+    "package.json": ("true", (
+        "concat('{\"dependencies\": {\"express\": \"^', CAST(k % 4 AS STRING), '.0.0\", \"left-pad\": \"npm:real-pad@1.0\", "
+        "\"lib\": \"file:../lib\"', CASE WHEN k % 3 = 0 THEN ', \"any\": \"*\"' ELSE '' END, '}, \"devDependencies\": {\"jest\": \"29.0.0\"', "
+        "CASE WHEN k % 5 = 0 THEN ', \"express\": \"1.0.0\"' ELSE '' END, '}, \"scripts\": {\"test\": \"', "
+        "CASE WHEN k % 8 = 0 THEN 'echo no test specified' ELSE 'jest' END, '\"}}')")),
+    "package-lock.json": ("k % 3 = 0", (
+        "concat('{\"packages\": {\"\": {\"dependencies\": {\"express\": \"^', CAST(k % 2 AS STRING), '.0.0\", \"left-pad\": \"npm:real-pad@1.0\", "
+        "\"lib\": \"file:../lib\", \"any\": \"*\"}, \"devDependencies\": {\"jest\": \"29.0.0\"}}, \"node_modules/express\": {\"version\": \"4.', "
+        "CAST(k % 9 AS STRING), '.0\"}, \"node_modules/a/node_modules/express\": {\"version\": \"3.0.0\"}, "
+        "\"node_modules/lib\": {\"link\": true, \"version\": \"1.0.0\"}}}')")),
+    "yarn.lock": ("k % 3 = 1", _text(
+        "'# yarn lockfile v1'", "concat('express@^', CAST(k % 4 AS STRING), '.0.0:')", "'  version \"4.1.0\"'",
+        "'  dependencies:'", "'    qs \"^6\"'", "''", "'\"@scope/pkg@^1.0.0\", \"@scope/pkg@^1.2.0\":'",
+        "concat('  version \"1.2.', CAST(k % 6 AS STRING), '\"')")),
+    "pnpm-lock.yaml": ("k % 3 = 2", _text(
+        "'lockfileVersion: 9'", "'importers:'", "'  .:'", "'    dependencies:'", "'      express:'",
+        "concat('        specifier: ^', CAST(k % 2 AS STRING), '.0.0')", "'        version: 4.0.0'", "'packages:'",
+        "concat('  express@4.0.', CAST(k % 5 AS STRING), ':')", "'    resolution: x'",
+        "concat('  /@s/p@2.0.', CAST(k % 2 AS STRING), '(peer@1.0.0):')", "'    resolution: y'")),
+    "Dockerfile": ("true", _text(
+        "CASE k % 3 WHEN 0 THEN 'FROM python' WHEN 1 THEN 'FROM python:3.12' ELSE 'FROM --platform=linux/amd64 node:latest AS base' END",
+        "CASE WHEN k % 4 = 1 THEN 'ENV DB_PASSWORD=hunter22' ELSE 'ENV DB_PASSWORD_FILE=/run/secrets/x' END",
+        "CASE WHEN k % 5 = 1 THEN 'RUN curl https://x.sh | sh' ELSE 'RUN make' END",
+        "CASE WHEN k % 6 = 1 THEN 'ADD https://x/y.tgz /' ELSE 'ADD x /' END",
+        "CASE WHEN k % 3 = 2 THEN 'FROM base' END",
+        "CASE k % 4 WHEN 0 THEN 'USER root' WHEN 1 THEN 'USER app' END",
+        "CASE WHEN k % 2 = 0 THEN 'HEALTHCHECK CMD true' END",
+        "CASE WHEN k % 7 = 0 THEN 'CMD flask run' ELSE 'CMD gunicorn app' END")),
+    "docker-compose.yml": ("k % 2 = 1", _text(
+        "'services:'", "'  db:'", "'    ports:'", "CASE WHEN k % 3 = 0 THEN '      - \"5432:5432\"' ELSE '      - \"127.0.0.1:5432:5432\"' END",
+        "'  app:'", "CASE WHEN k % 5 = 0 THEN '    privileged: true' ELSE '    mem_limit: 1g' END")),
+    ".github/workflows/ci.yml": ("k % 3 <> 2", _text(
+        "'jobs:'", "'  test:'", "CASE WHEN k % 2 = 0 THEN '    run: pytest' ELSE '    run: make' END", "'  build:'",
+        "'    needs: test'", "'  deploy:'", "CASE WHEN k % 4 = 0 THEN '    needs: []' ELSE '    needs: [build]' END",
+        "'    run: kubectl apply'", "CASE WHEN k % 7 = 0 THEN '    uses: actions/checkout@v4' END")),
+    "src/server.js": ("true", _text(
+        "'import express from \"express\"'", "'import util from \"./util\"'",
+        "CASE WHEN k % 3 = 0 THEN 'app.use(cors())' ELSE 'app.use(cors({ origin: list }))' END",
+        "CASE WHEN k % 4 = 0 THEN 'const opts = { rejectUnauthorized: false }' END",
+        "'app.post(\"/payments/:id\", (req, res) => {'", "'  console.log(process.env.STRIPE_KEY)'", "'})'",
+        "CASE WHEN k % 6 = 0 THEN 'fetch(\"http://localhost:3000/x\")' END",
+        "CASE WHEN k % 5 = 0 THEN 'try { x() } catch (e) {}' END", "'throw new Error(\"a\")'")),
+    "src/util.ts": ("true", _text(
+        "CASE WHEN k % 2 = 0 THEN 'import a from \"./server\"' ELSE 'export const a = 1' END",
+        "CASE WHEN k % 4 = 0 THEN '// TODO: implement this' ELSE '// fine' END", "'import lodash from \"lodash/fp\"'")),
+    "app/services.py": ("true", _text(
+        "'import yaml'", "CASE WHEN k % 3 = 0 THEN 'import boto3' ELSE 'import os' END", "'from app import models'",
+        "concat('token = ', chr(34), CASE WHEN k % 9 = 0 THEN concat('AKIA', 'ABCDEFGHIJKLMNOP') ELSE 'x' END, chr(34))")),
+    "app/models.py": ("true", _text(
+        "'import sqlalchemy'", "CASE WHEN k % 2 = 0 THEN 'from .services import run' ELSE 'x = 1' END")),
+    "app/__init__.py": ("true", "''"),
+    "tests/server.test.js": ("k % 2 = 0", _text(
+        "'test(\"a\", () => {'", "CASE WHEN k % 4 = 0 THEN '  expect(true).toBe(true)' ELSE '  call()' END", "'})'")),
+    "README.md": ("k % 3 > 0", "CASE WHEN k % 3 = 1 THEN '# x' ELSE concat_ws(chr(10), '1', '2', '3', '4', '5', '6', '7', 'STRIPE_KEY') END"),
+}
+
+VIEWS["repo_files"] = "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT CAST(n AS STRING) AS org_id, CAST(k AS STRING) AS repo_id, 'head' AS audit_id, '{path}' AS path, {text} AS text "
+    f"FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) keyed WHERE {cond}"
+    for path, (cond, text) in _FILES.items()) + ") every_file"
+
+VIEWS["doc_files"] = """
+    SELECT lang AS org_id, source AS repo_id, 'head' AS audit_id,
+           concat('src/', CAST(doc_id AS STRING), '.py') AS path, text FROM documents"""
+
+VIEWS["edges"] = """
+    SELECT DISTINCT CAST(c_nationkey AS STRING) AS org_id, CAST(o_custkey AS STRING) AS repo_id, 'head' AS audit_id,
+           concat('pkg', CAST(l_suppkey % 6 AS STRING), '/m', CAST(l_suppkey % 40 AS STRING), '.py') AS src,
+           concat('pkg', CAST(l_partkey % 6 AS STRING), '/m', CAST(l_partkey % 40 AS STRING), '.py') AS dst
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+
+# Catalogue of every customer's schema, varied by its key.
+VIEWS["schema_columns"] = """
+    SELECT CAST(n AS STRING) AS org_id, CAST(k AS STRING) AS repo_id, model, tbl, col, type, nullable, pk, is_unique, fk_tbl, fk_col,
+           on_delete, orm, 'models.py' AS file, line FROM (
+      SELECT k, n, 'User' AS model, 'users' AS tbl, 'id' AS col, 'BigInteger' AS type, false AS nullable, true AS pk, true AS is_unique,
+             CAST(NULL AS STRING) AS fk_tbl, CAST(NULL AS STRING) AS fk_col, CAST(NULL AS STRING) AS on_delete,
+             'sqlalchemy' AS orm, 1 AS line FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a
+      UNION ALL SELECT k, n, 'User', 'users', 'email', 'String(80)', false, false, k % 2 = 0, NULL, NULL, NULL, 'sqlalchemy', 2
+        FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a
+      UNION ALL SELECT k, n, 'User', 'users', 'post_count', 'Integer', false, false, false, NULL, NULL, NULL, 'sqlalchemy', 3
+        FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a WHERE k % 3 = 0
+      UNION ALL SELECT k, n, 'Post', 'posts', 'id', 'Integer', false, k % 5 > 0, k % 5 > 0, NULL, NULL, NULL, 'sqlalchemy', 5
+        FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a
+      UNION ALL SELECT k, n, 'Post', 'posts', 'user_id', CASE k % 3 WHEN 0 THEN 'BigInteger' WHEN 1 THEN 'Integer' ELSE 'String' END,
+             k % 2 = 0, false, false, 'users', 'id', CASE WHEN k % 4 = 1 THEN 'SET NULL' END, 'sqlalchemy', 6
+        FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a
+      UNION ALL SELECT k, n, 'Post', 'posts', 'user_email', 'String', true, false, false, NULL, NULL, NULL, 'sqlalchemy', 7
+        FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a WHERE k % 4 = 0
+      UNION ALL SELECT k, n, 'Post', 'posts', 'price_total', CASE WHEN k % 6 = 0 THEN 'Float' ELSE 'Numeric(10, 2)' END, true, false, false,
+             NULL, NULL, NULL, 'sqlalchemy', 8 FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a
+      UNION ALL SELECT k, n, 'Note', 'notes', 'post_id', CASE WHEN k % 2 = 0 THEN 'Integer' ELSE 'String' END, true, false, false, NULL, NULL,
+             NULL, 'sqlalchemy', 9 FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a
+      UNION ALL SELECT k, n, 'Note', 'notes', 'item_id', 'Integer', true, false, false, NULL, NULL, NULL, 'sqlalchemy', 10
+        FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) a) cols"""
+VIEWS["schema_indexes"] = """
+    SELECT CAST(c_nationkey AS STRING) AS org_id, CAST(c_custkey AS STRING) AS repo_id, 'posts' AS tbl, 0 AS idx_seq,
+           split('user_id,id', ',') AS cols, c_custkey % 14 = 0 AS is_unique FROM customer WHERE c_custkey % 7 = 0"""
+VIEWS["schema_dialects"] = """
+    SELECT CAST(c_nationkey AS STRING) AS org_id, CAST(c_custkey AS STRING) AS repo_id,
+           CASE c_custkey % 4 WHEN 0 THEN 'postgresql' WHEN 1 THEN 'mysql' ELSE 'sqlite' END AS dialect
+    FROM customer WHERE c_custkey % 5 > 0"""
+
+VIEWS["migration_ops"] = """
+    SELECT org_id, repo_id, tool, mig_seq, op_seq, kind, tbl, col, not_null, dflt, wherex, reads, to_type, downgrade FROM (
+      SELECT CAST(c_nationkey AS STRING) AS org_id, CAST(o_custkey AS STRING) AS repo_id, 'alembic' AS tool, l_orderkey AS mig_seq,
+             (CAST(l_linenumber AS BIGINT) * 1000003 + l_partkey) * 100003 + l_suppkey AS op_seq,
+             split_part('drop_table|drop_column|truncate|delete|add_column|create_index|alter_type|set_not_null|add_fk|add_unique|update|create_table|rename_column',
+                        '|', CAST(l_partkey % 13 AS INT) + 1) AS kind,
+             split_part('users|posts|notes', '|', CAST(l_suppkey % 3 AS INT) + 1) AS tbl,
+             split_part('id|email|user_id|gone', '|', CAST(l_suppkey % 4 AS INT) + 1) AS col,
+             CASE WHEN l_quantity > 20 THEN 'true' ELSE 'false' END AS not_null,
+             CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS dflt,
+             CASE WHEN l_linenumber % 3 = 0 THEN 'true' ELSE 'false' END AS wherex,
+             CASE WHEN l_linenumber % 2 = 0 THEN 'email,gone' ELSE 'users' END AS reads,
+             CASE WHEN l_linenumber % 2 = 0 THEN 'varchar(90)' ELSE 'varchar(10)' END AS to_type,
+             CASE WHEN l_orderkey % 4 = 0 THEN 'empty' ELSE 'present' END AS downgrade
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) ops"""
+
+_READS = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b")
 
 
 def with_clause(names: list[str]) -> str:
@@ -144,7 +288,7 @@ def with_clause(names: list[str]) -> str:
     def visit(name: str) -> None:
         if name in ordered or name not in VIEWS:
             return
-        for ref in dict.fromkeys(_NAME.findall(VIEWS[name])):
+        for ref in dict.fromkeys(_READS.findall(VIEWS[name])):
             if ref != name:
                 visit(ref)
         ordered.append(name)
@@ -156,7 +300,7 @@ def with_clause(names: list[str]) -> str:
 
 def oracle(sql: str) -> str:
     """Check query with the views it mentions put in front."""
-    used = [n for n in dict.fromkeys(_NAME.findall(sql)) if n in VIEWS]
+    used = [n for n in dict.fromkeys(_READS.findall(sql)) if n in VIEWS]
     views = with_clause(used)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
@@ -183,10 +327,10 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         """Run a view-level SELECT with base tables bound as DataFrames (no session-wide names)."""
-        used = [n for n in dict.fromkeys(_NAME.findall(text)) if n in VIEWS]
+        used = [n for n in dict.fromkeys(_READS.findall(text)) if n in VIEWS]
         views = with_clause(used)
         body = f"WITH {views} {text}" if views else text
-        tables = [n for n in BASE_TABLES if re.search(rf"\b(?:FROM|JOIN) {n}\b", body)]
+        tables = [n for n in BASE_TABLES if n in _READS.findall(body)]
         bound = [f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}.parquet`)" for n in tables]
         if views:
             return self.spark.sql("WITH " + ", ".join(bound) + ", " + body[5:])
