@@ -41,7 +41,7 @@ def _clause(v: Column, clause: Column) -> Column:
 def satisfies(version, spec) -> Column:
     """Whether a version meets a specifier set; null when either side cannot be judged."""
     v = version_tuple(version)
-    clauses = F.filter(F.transform(F.split(_c(spec), ","), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(_c(spec), ","), lambda s: F.trim(s)), lambda c: c != "")
     verdicts = F.transform(clauses, lambda c: _clause(v, c))
     first = F.get(F.filter(verdicts, lambda x: x != "T"), F.lit(0))
     return F.when(v.isNotNull(), F.when(first.isNull(), True).when(first == "F", False))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import Tables, oracle
 
-AREAS = ["core", "governance", "repositories"]
+AREAS = ["core", "governance", "repositories", "graphs", "streams"]
 
 
 def _entries():

@@ -487,7 +487,7 @@ PLANS = [
           {PATH_SQL} AS file_path, line_start FROM findings WHERE emit_idx % 3 <> 0 AND emit_idx % 7 <> 0 AND line_start >= 1"""),
     ("tsc_report", lambda t: _report(RP.tsc(line_reports(t, "tsc"))), f"""
         SELECT audit_id, concat('tsc:TS', 2300 + emit_idx % 9) AS rule_id, 'medium' AS severity, 'medium' AS confidence, 'potential' AS kind,
-          {PATH_SQL} AS file_path, coalesce(line_start, 1) AS line_start FROM findings WHERE emit_idx % 9 NOT IN (4, 7) AND file_path <> ''"""),
+          {PATH_SQL} AS file_path, coalesce(line_start, 1) AS line_start FROM findings WHERE emit_idx % 9 NOT IN (4, 7) AND file_path <> '' AND trim(title) <> ''"""),
     ("eslint_report", lambda t: _report(RP.eslint(eslint_reports(t))), f"""
         SELECT audit_id, CASE emit_idx % 5 WHEN 0 THEN 'eslint:parse-error' WHEN 1 THEN 'eslint:no-eval' ELSE 'eslint:eqeqeq' END AS rule_id,
           CASE WHEN emit_idx % 5 = 0 THEN 'low' WHEN emit_idx % 5 = 1 THEN 'high' WHEN emit_idx % 2 = 1 THEN 'medium' ELSE 'low' END AS severity,

@@ -288,7 +288,7 @@ def duplicated_setup(files: DataFrame) -> DataFrame:
     """The same first three statements opening at least three JavaScript tests of an audit."""
     tests = files.filter(F.col("path").rlike(r"(?i)\.(?:ts|tsx|js|jsx|mjs|cjs)$") & is_test_path("path"))
     rows = tests.select(*AUDIT, "path", F.posexplode(F.split("text", JS_TEST_BLOCK)).alias("_i", "body")).filter("_i > 0")
-    lines = F.filter(F.transform(F.split("body", "\n"), F.trim), lambda t: (t != "") & ~t.startswith("//"))
+    lines = F.filter(F.transform(F.split("body", "\n"), lambda s: F.trim(s)), lambda t: (t != "") & ~t.startswith("//"))
     rows = rows.withColumn("_h", F.slice(lines, 1, SETUP_STATEMENTS)).filter(
         (F.size("_h") == SETUP_STATEMENTS) & ~F.exists("_h", lambda t: t.rlike(r"^\}|^expect\(|^assert")))
     heads = rows.groupBy(*AUDIT, F.sha1(F.array_join("_h", "\n")).alias("head")).agg(

@@ -102,7 +102,7 @@ def yarn_lock_entries(files: DataFrame) -> DataFrame:
     text = F.regexp_replace("text", r"(?m)^#.*$", "")
     blocks = named(files, "yarn.lock").select(*AUDIT, "path", F.explode(F.split(text, r"\n(?=\S)")).alias("block"))
     header = F.regexp_replace(F.regexp_replace(F.trim(F.substring_index("block", "\n", 1)), r":+\s*$", ""), '"', "")
-    specs = F.filter(F.transform(F.split(header, ","), F.trim), lambda s: s != "")
+    specs = F.filter(F.transform(F.split(header, ","), lambda s: F.trim(s)), lambda s: s != "")
     rows = blocks.withColumn("specs", specs).withColumn("_names", F.array_distinct(F.transform(
         F.filter("specs", lambda s: F.substr(s, F.lit(2)).contains("@")),
         lambda s: F.regexp_extract(s, r"^(.*)@[^@]*$", 1))))
