@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import lookup
 from ..functions.text import basename, dirname, is_test_path, path_tokens, shared_prefix_length, stem
-from ..rules.engine import Pack, Rule, emit, line_of, register, union
+from ..rules.engine import Pack, Rule, emit, emit_each, line_of, register, union
 from ..session import cut_lineage
 from . import AUDIT
 from .findings import top_k
@@ -387,17 +387,18 @@ def boundary_findings(edges: DataFrame, files: DataFrame, layer_table: DataFrame
 
 # --- structure -------------------------------------------------------------------------------------
 def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
-    """Handlers that query, mixed concerns, missing service layer, scattered access, sizes and configuration reads."""
+    """Handlers that query, mixed concerns, missing service layer, scattered access, sizes and configuration reads.
+
+    One scan turns every file into a short fact row; all rules read those facts.
+    """
     python = F.col("path").endswith(".py")
-    rows = files.join(layer_table, [*AUDIT, "path"])
-    rows = rows.withColumns({
-        "sql_at": line_of("text", SQL_IN_HANDLER),
-        "data_at": F.when(python, line_of("text", PY_DATA_ACCESS)).otherwise(line_of("text", JS_DATA_ACCESS)),
-        "model_at": F.when(python, line_of("text", PY_MODEL)).otherwise(line_of("text", JS_MODEL)),
-        "env": F.col("text").rlike(ENV_READ)})
-    handlers = rows.filter("layer = 'controller'")
-    querying = handlers.filter(F.col("sql_at").isNotNull() | F.col("data_at").isNotNull())
-    n = F.col("n").cast("string")
+    rows = cut_lineage(files.join(layer_table, [*AUDIT, "path"]).select(
+        *AUDIT, "path", "layer", line_of("text", SQL_IN_HANDLER).alias("sql_at"),
+        F.when(python, line_of("text", PY_DATA_ACCESS)).otherwise(line_of("text", JS_DATA_ACCESS)).alias("data_at"),
+        F.when(python, line_of("text", PY_MODEL)).otherwise(line_of("text", JS_MODEL)).alias("model_at"),
+        F.regexp_count("text", F.lit(JS_EXPORT)).alias("exports"), F.regexp_count("text", F.lit(ENV_READ)).alias("reads")))
+    n, path = F.col("n").cast("string"), F.col("path")
+    handler = F.col("layer") == "controller"
     per_audit = rows.groupBy(*AUDIT).agg(
         F.max(F.col("layer") == "service").alias("_service"),
         F.count(F.when((F.col("layer") == "controller") & (F.col("sql_at").isNotNull() | F.col("data_at").isNotNull()), 1))
@@ -413,10 +414,9 @@ def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
     scattered = outside.groupBy(*AUDIT).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(dirname("path")).alias("dirs"), F.min("path").alias("_first")).filter(
         (F.col("n") >= SCATTERED_FILES) & (F.col("dirs") >= SCATTERED_DIRS))
-    many = source.filter(~python).withColumn("n", F.regexp_count("text", F.lit(JS_EXPORT))).filter(F.col("n") >= EXPORTS)
     dirs = source.groupBy(*AUDIT, dirname("path").alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("_first"))
-    readers = source.withColumns({"reads": F.regexp_count("text", F.lit(ENV_READ)), "top": F.when(
-        F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise("")}).filter("reads > 0")
+    readers = source.filter("reads > 0").withColumn("top", F.when(
+        F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(""))
     readers = readers.withColumn("central", settings & (F.col("reads") >= 3))
     env = readers.groupBy(*AUDIT).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("central"), 1)).alias("_out"),
@@ -428,19 +428,23 @@ def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
         F.min(F.when(~F.col("central"), F.col("path"))).alias("_first")).filter(
         F.col("_settings").isNotNull() & (F.col("n") >= CONFIG_BYPASS)).join(sprawl.select(*AUDIT), AUDIT, "left_anti")
     return union([
-        emit(querying.filter(F.col("sql_at").isNotNull()), NAME, SQL_HANDLER, path=F.col("path"), line=F.col("sql_at")),
-        emit(querying.filter(F.col("sql_at").isNull()), NAME, DATA_HANDLER, path=F.col("path"), line=F.col("data_at")),
-        emit(handlers.filter(F.col("model_at").isNotNull()), NAME, MIXED, path=F.col("path"), line=F.col("model_at")),
+        emit_each(rows, NAME, [
+            (handler & F.col("sql_at").isNotNull(), SQL_HANDLER, {"path": path, "line": F.col("sql_at")}),
+            (handler & F.col("sql_at").isNull() & F.col("data_at").isNotNull(), DATA_HANDLER,
+             {"path": path, "line": F.col("data_at")}),
+            (handler & F.col("model_at").isNotNull(), MIXED, {"path": path, "line": F.col("model_at")}),
+            (~exempt & ~python & (F.col("exports") >= EXPORTS), OVERSIZED, {"path": path, "title": F.concat(
+                F.lit("Module defines "), F.col("exports").cast("string"), F.lit(" exports"))})]),
         emit(per_audit.filter((F.col("n") >= NO_SERVICE_HANDLERS) & ~F.col("_service")), NAME, NO_SERVICE,
              path=F.col("_first"), title=F.concat(F.lit("No service layer: "), n, F.lit(" handler modules query the database"))),
         emit(scattered, NAME, SCATTERED, path=F.col("_first"), title=F.concat(
             F.lit("Database accessed directly from "), n, F.lit(" modules in "), F.col("dirs").cast("string"), F.lit(" packages"))),
-        emit(many, NAME, OVERSIZED, path=F.col("path"),
-             title=F.concat(F.lit("Module defines "), n, F.lit(" exports"))),
-        emit(dirs.filter((F.col("dir") == "") & (F.col("n") >= ROOT_FILES)), NAME, FLAT, path=F.col("_first"),
-             title=F.concat(n, F.lit(" source files at the repository root"))),
-        emit(dirs.filter((F.col("dir") != "") & (F.col("n") >= PACKAGE_FILES)), NAME, BIG_PACKAGE, path=F.col("_first"),
-             title=F.concat(F.lit("Package "), F.col("dir"), F.lit(" holds "), n, F.lit(" source files"))),
+        emit_each(dirs, NAME, [
+            ((F.col("dir") == "") & (F.col("n") >= ROOT_FILES), FLAT, {
+                "path": F.col("_first"), "title": F.concat(n, F.lit(" source files at the repository root"))}),
+            ((F.col("dir") != "") & (F.col("n") >= PACKAGE_FILES), BIG_PACKAGE, {
+                "path": F.col("_first"),
+                "title": F.concat(F.lit("Package "), F.col("dir"), F.lit(" holds "), n, F.lit(" source files"))})]),
         emit(sprawl, NAME, SPRAWL, path=F.col("_first"),
              title=F.concat(F.lit("Environment variables read in "), n, F.lit(" files"))),
         emit(around, NAME, BYPASS, path=F.col("_first"),
@@ -449,9 +453,9 @@ def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
 
 def architecture(tables: dict[str, DataFrame]) -> DataFrame:
     files, lines = tables["files"], tables["lines"]
-    edges = import_edges(lines, files)
-    table = layers(files)
-    components = strongly_connected(edges)
+    edges = cut_lineage(import_edges(lines, files))
+    table = cut_lineage(layers(files))
+    components = cut_lineage(strongly_connected(edges))
     return union([import_cycles(components), package_cycle_findings(edges, components), fan_out(edges),
                   dependency_direction(edges, table), boundary_findings(edges, files, table), structure(files, table)])
 

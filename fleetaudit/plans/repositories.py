@@ -34,8 +34,8 @@ def lines(t) -> DataFrame:
     return explode_lines(t.repo_files)
 
 
-def tables(t) -> dict[str, DataFrame]:
-    return PK.prepare(t.repo_files)
+def tables(t, *need: str) -> dict[str, DataFrame]:
+    return PK.prepare(t.repo_files, need=need)
 
 
 def _found(df: DataFrame) -> DataFrame:
@@ -430,11 +430,11 @@ PLANS = [
         SELECT repo_id, 'devops.no-ci' AS rule, '' AS file_path, CAST(NULL AS INT) AS line_start FROM cust WHERE k % 3 = 2
         UNION ALL SELECT repo_id, 'devops.ci-no-tests', '.github/workflows/ci.yml', NULL FROM cust WHERE k % 3 <> 2 AND k % 2 = 1
         UNION ALL SELECT repo_id, 'devops.missing-dockerignore', '', NULL FROM cust"""),
-    ("api_rules", lambda t: _found(WEB.api_security(tables(t))), f"""WITH {CUST}
+    ("api_rules", lambda t: _found(WEB.api_security(tables(t, "frameworks"))), f"""WITH {CUST}
         SELECT repo_id, 'api.cors-wildcard' AS rule, 'src/server.js' AS file_path, 3 AS line_start FROM cust WHERE k % 3 = 0
         UNION ALL SELECT repo_id, 'api.tls-verify-disabled', 'src/server.js', 4 FROM cust WHERE k % 4 = 0
         UNION ALL SELECT repo_id, 'api.express-no-helmet', '', NULL FROM cust"""),
-    ("configuration_rules", lambda t: _found(WEB.configuration(tables(t))), f"""WITH {CUST}
+    ("configuration_rules", lambda t: _found(WEB.configuration(tables(t, "frameworks"))), f"""WITH {CUST}
         SELECT repo_id, 'config.hardcoded-endpoint' AS rule, 'src/server.js' AS file_path, CAST(7 + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS INT) AS line_start
         FROM cust WHERE k % 6 = 0"""),
     ("routes", lambda t: TE.routes(t.repo_files).select("repo_id", "path", "line_no", "verb", "route"), f"""WITH {CUST}
@@ -442,7 +442,7 @@ PLANS = [
           '/payments/:id' AS route FROM cust"""),
     ("api_design_rules", lambda t: TE.api_design(tables(t)).select("repo_id", "title"), f"""WITH {CUST}
         SELECT repo_id, 'Payment or order endpoint without idempotency: POST /payments/:id' AS title FROM cust"""),
-    ("testing_rules", lambda t: _found(TE.testing(tables(t))).select("repo_id", "rule", "file_path"), f"""WITH {CUST}
+    ("testing_rules", lambda t: _found(TE.testing(tables(t, "profile"))).select("repo_id", "rule", "file_path"), f"""WITH {CUST}
         SELECT repo_id, 'testing.no-tests' AS rule, '' AS file_path FROM cust WHERE k % 2 = 1
         UNION ALL SELECT repo_id, 'testing.npm-default-test-script', 'package.json' FROM cust WHERE k % 8 = 0
         UNION ALL SELECT repo_id, 'testing.missing-api-tests', 'src/server.js' FROM cust WHERE k % 2 = 0"""),
@@ -452,7 +452,7 @@ PLANS = [
               WHERE path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.ts' GROUP BY ALL)
         SELECT repo_id, CAST(sum(n) FILTER (NOT t) AS BIGINT) AS source_lines, CAST(coalesce(sum(n) FILTER (t), 0) AS BIGINT) AS test_lines,
           CAST(coalesce(sum(f) FILTER (t), 0) AS BIGINT) AS tests, CAST(sum(f) FILTER (NOT t) + 1 AS BIGINT) AS sources FROM c GROUP BY 1"""),
-    ("observability_rules", lambda t: _found(packs(["observability"])[0].run(tables(t))), f"""WITH {CUST}
+    ("observability_rules", lambda t: _found(packs(["observability"])[0].run(tables(t, "frameworks"))), f"""WITH {CUST}
         SELECT repo_id, unnest(['devops.no-health-endpoint', 'devops.no-metrics', 'devops.no-error-tracking', 'devops.no-tracing',
           'devops.no-request-id']) AS rule, '' AS file_path, CAST(NULL AS INT) AS line_start FROM cust
         UNION ALL SELECT repo_id, 'devops.print-logging', 'src/server.js', CAST(5 + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS INT) FROM cust"""),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import AUDIT
 from ..operators import ai as AI
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from ..sources import sinks as SK
 from ..streaming import jobs as J
 from .core import SEV_RANK
@@ -19,17 +17,12 @@ NOW = TODAY + " 12:00:00"
 
 
 def _scratch(t) -> str:
-    """A new folder below the shared checkpoint folder, as a cluster names it."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return scratch_folder(t.spark, "stream")
 
 
 def event_stream(t) -> DataFrame:
-    return t.spark.readStream.schema(_schema(t)).parquet(f"{t.folder}/events*.parquet")
-
-
-def _schema(t):
-    return t.events.schema
+    rows = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _stamp(col: str):
@@ -148,7 +141,7 @@ PLANS = [
     ("first_hit_windows", lambda t: J.run_available(J.first_hit_windows(hits(event_stream(t)), 2, 3600), _scratch(t)).select(
         "scope", "ident", _stamp("ts").alias("ts"), "hits", "over"), f"""
         WITH RECURSIVE s AS (SELECT event_type AS scope, CAST(user_id AS VARCHAR) AS ident, {SEC} AS ts, count(*) AS n FROM events
-            WHERE {SEC} + INTERVAL '1 second' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events) GROUP BY ALL),
+            GROUP BY ALL),
         o AS (SELECT *, row_number() OVER (PARTITION BY scope, ident ORDER BY ts) AS rn FROM s),
         f AS (SELECT scope, ident, rn, ts, ts AS opened, n AS hits FROM o WHERE rn = 1
               UNION ALL SELECT o.scope, o.ident, o.rn, o.ts, CASE WHEN epoch(o.ts) - epoch(f.opened) > 3600 THEN o.ts ELSE f.opened END,

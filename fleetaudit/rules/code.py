@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.text import contains_secret, is_test_path, language, redact, split_lines
 from ..operators import AUDIT
-from .engine import Pack, Rule, emit, first_per_file, line_of, register, scan, union
+from .engine import Pack, Rule, emit, emit_each, first_per_file, line_of, register, scan, union
 
 # Patterns and limits.
 JS = r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)$"
@@ -104,12 +104,11 @@ def js_tests(files: DataFrame) -> DataFrame:
     """Tautological assertions, and test files that never assert."""
     tests = files.filter(F.col("path").rlike(JS) & is_test_path("path") & ~F.col("path").contains("node_modules/"))
     calls = F.regexp_count("text", F.lit(JS_TEST_CALL))
-    return union([
-        emit(tests.filter(F.col("text").rlike(JS_TAUTOLOGY)), "ai_code", TAUTOLOGY, path=F.col("path"),
-             line=line_of("text", JS_TAUTOLOGY)),
-        emit(tests.filter((calls > 0) & ~F.col("text").rlike(JS_ASSERT)), "ai_code", NO_EXPECT, path=F.col("path"),
-             line=line_of("text", JS_TEST_CALL),
-             title=F.concat(calls.cast("string"), F.lit(" test(s) without any assertion")))])
+    return emit_each(tests, "ai_code", [
+        (F.col("text").rlike(JS_TAUTOLOGY), TAUTOLOGY, {"path": F.col("path"), "line": line_of("text", JS_TAUTOLOGY)}),
+        ((calls > 0) & ~F.col("text").rlike(JS_ASSERT), NO_EXPECT, {
+            "path": F.col("path"), "line": line_of("text", JS_TEST_CALL),
+            "title": F.concat(calls.cast("string"), F.lit(" test(s) without any assertion"))})])
 
 
 register(Pack("ai_code", "AI-generated code patterns", ("dependencies", "maintainability", "testing"),
@@ -201,9 +200,8 @@ def readme(files: DataFrame) -> DataFrame:
     rows = files.groupBy(*AUDIT).agg(
         F.max(language("path").isin(*V.CODE_LANGUAGES)).alias("_code"),
         F.min(F.when(is_readme, F.struct("path", filled.alias("n")))).alias("_r")).filter("_code")
-    return union([
-        emit(rows.filter(F.col("_r").isNull()), "maintainability", NO_README),
-        emit(rows.filter(F.col("_r.n") < 8), "maintainability", THIN_README, path=F.col("_r.path"))])
+    return emit_each(rows, "maintainability", [
+        (F.col("_r").isNull(), NO_README), (F.col("_r.n") < 8, THIN_README, {"path": F.col("_r.path")})])
 
 
 def maintainability(tables: dict[str, DataFrame]) -> DataFrame:

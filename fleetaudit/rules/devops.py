@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, split_lines
 from ..operators import AUDIT
-from .engine import Pack, Rule, emit, line_of, register, scan, selects, union
+from .engine import Pack, Rule, emit, emit_each, finding, line_of, register, scan, selects, union
 
 NAME = "devops"
 
@@ -150,28 +150,29 @@ def dockerfiles(files: DataFrame) -> DataFrame:
         return (~F.coalesce(earlier, F.lit(False)) & (F.lower(image) != "scratch") & ~image.contains("$")
                 & ~image.contains("@sha256:") & (~tag.contains(":") | tag.endswith(":latest")))
 
-    bases = rows.select(*AUDIT, "path", F.explode(F.filter("_from", loose)).alias("f"))
+    path = F.col("path")
+    bases = F.transform(F.filter("_from", loose), lambda f: finding(UNPINNED_BASE, path=path, line=f["n"]))
     last = F.coalesce(F.array_max(F.transform("_from", lambda x: x["n"])), F.lit(1))
-    rows = rows.withColumn("_last", last)
+    rows = rows.withColumns({"_last": last, "_bases": bases})
     final = F.filter("_l", lambda x: x["n"] >= F.col("_last"))
     users = F.transform(F.filter(final, lambda x: F.upper(F.trim(x["t"])).startswith("USER ")),
                         lambda x: F.trim(F.regexp_extract(F.trim(x["t"]), r"^\S+\s+(.*)$", 1)))
     user = F.element_at(F.concat(F.array(F.lit("root")), users), -1)
     health = F.exists("_l", lambda x: F.upper(F.trim(x["t"])).startswith("HEALTHCHECK"))
-    staged = rows.filter(F.size("_from") > 0)
-    live = rows.filter(~F.col("path").rlike(DEV_DOCKERFILE))
     debug = F.filter(final, lambda x: F.upper(F.trim(x["t"])).startswith("ENV ") & F.regexp_replace(
         F.trim(x["t"]), r"(?i)^ENV\s+(\w+)\s+(?!.*=)", "$1=").rlike(DEBUG_SETTING))
     start = F.filter(final, lambda x: F.upper(F.trim(x["t"])).rlike("^(?:CMD|ENTRYPOINT)") & F.trim(x["t"]).rlike(DEV_SERVER))
-    return union([
-        emit(bases, NAME, UNPINNED_BASE, path=F.col("path"), line=F.col("f.n")),
-        emit(staged.filter(user.isin("root", "0", "0:0")), NAME, AS_ROOT, path=F.col("path"), line=F.col("_last")),
-        emit(staged.filter(~health), NAME, NO_HEALTHCHECK, path=F.col("path")),
-        emit(live.withColumn("_d", F.get(debug, F.lit(0))["n"]).filter(F.col("_d").isNotNull()), NAME, DEBUG_CONFIG,
-             path=F.col("path"), line=F.col("_d")),
-        emit(live.withColumn("_s", F.array_max(F.transform(start, lambda x: x["n"]))).filter(F.col("_s").isNotNull()),
-             NAME, DEV_START, path=F.col("path"), line=F.col("_s")),
-    ])
+    live = ~path.rlike(DEV_DOCKERFILE)
+    rows = rows.withColumns({
+        "_user": user, "_health": health, "_debug": F.when(live, F.get(debug, F.lit(0))["n"]),
+        "_start": F.when(live, F.array_max(F.transform(start, lambda x: x["n"])))})
+    staged = F.size("_from") > 0
+    return emit_each(rows, NAME, [
+        (staged & F.col("_user").isin("root", "0", "0:0"), AS_ROOT, {"path": path, "line": F.col("_last")}),
+        (staged & ~F.col("_health"), NO_HEALTHCHECK, {"path": path}),
+        (F.col("_debug").isNotNull(), DEBUG_CONFIG, {"path": path, "line": F.col("_debug")}),
+        (F.col("_start").isNotNull(), DEV_START, {"path": path, "line": F.col("_start")}),
+    ], (F.col("_bases"),))
 
 
 def yaml_children(files: DataFrame, key: str) -> DataFrame:
@@ -204,24 +205,23 @@ def compose_limits(files: DataFrame) -> DataFrame:
 def workflows(files: DataFrame) -> DataFrame:
     """Token permissions, untrusted checkouts, script injection and unpinned actions."""
     flows = files.filter(F.col("path").rlike(WORKFLOW))
-    whole = emit(flows.filter(selects(PR_TARGET)), NAME, PR_TARGET, path=F.col("path"),
-                 line=line_of("text", r"pull_request\.head")).unionByName(
-        emit(flows.filter(selects(GHA_PERMISSIONS)), NAME, GHA_PERMISSIONS, path=F.col("path")))
-    rows = flows.withColumn("_l", _numbered())
+    path = F.col("path")
 
     def loose(x: Column) -> Column:
         action, ref = F.regexp_extract(x["t"], ACTION_USES, 1), F.regexp_extract(x["t"], ACTION_USES, 2)
         return (action != "") & ~action.startswith("./") & ~ref.rlike("^[0-9a-f]{40}$")
 
-    pins = rows.withColumn("_u", F.filter("_l", loose)).filter(F.size("_u") > 0)
-    unpinned = emit(pins, NAME, GHA_UNPINNED, path=F.col("path"), line=F.get("_u", F.lit(0))["n"], title=F.concat(
-        F.size("_u").cast("string"), F.lit(" third-party action reference(s) not pinned to a commit SHA")))
     # a line runs when it carries the run/script key inline, or lies deeper than the key that opened a block scalar
-    opened = F.aggregate(
-        "_l", F.struct(F.lit(-1).alias("open"), F.array().cast("array<int>").alias("hits")),
-        _step)
-    hits = rows.withColumn("n", F.explode(opened["hits"]))
-    return union([whole, unpinned, emit(hits, NAME, GHA_INJECTION, path=F.col("path"), line=F.col("n"))])
+    rows = flows.withColumn("_l", _numbered())
+    rows = rows.withColumns({"_u": F.filter("_l", loose), "_x": F.aggregate(
+        "_l", F.struct(F.lit(-1).alias("open"), F.array().cast("array<int>").alias("hits")), _step)})
+    injected = F.transform(F.col("_x.hits"), lambda n: finding(GHA_INJECTION, path=path, line=n))
+    return emit_each(rows, NAME, [
+        (selects(PR_TARGET), PR_TARGET, {"path": path, "line": line_of("text", r"pull_request\.head")}),
+        (selects(GHA_PERMISSIONS), GHA_PERMISSIONS, {"path": path}),
+        (F.size("_u") > 0, GHA_UNPINNED, {"path": path, "line": F.get("_u", F.lit(0))["n"], "title": F.concat(
+            F.size("_u").cast("string"), F.lit(" third-party action reference(s) not pinned to a commit SHA"))}),
+    ], (injected,))
 
 
 def _step(acc: Column, x: Column) -> Column:
@@ -279,11 +279,10 @@ def deployment(files: DataFrame) -> DataFrame:
         F.min(F.struct("path", "line_no")).alias("_any"),
         F.min(F.when(~F.col("block").rlike(r"(?m)^\s+environment\s*:"), F.struct("path", "line_no"))).alias("_bare"))
     rows = first.join(hints, AUDIT)
-    bare = rows.filter(F.col("_bare").isNotNull() & ~F.col("_envs"))
-    return union([
-        gate, tags,
-        emit(bare, NAME, NO_ENVIRONMENTS, path=F.col("_bare.path"), line=F.col("_bare.line_no")),
-        emit(rows.filter(~F.col("_rollback")), NAME, NO_ROLLBACK, path=F.col("_any.path"), line=F.col("_any.line_no"))])
+    return union([gate, tags, emit_each(rows, NAME, [
+        (F.col("_bare").isNotNull() & ~F.col("_envs"), NO_ENVIRONMENTS,
+         {"path": F.col("_bare.path"), "line": F.col("_bare.line_no")}),
+        (~F.col("_rollback"), NO_ROLLBACK, {"path": F.col("_any.path"), "line": F.col("_any.line_no")})])])
 
 
 def pipeline_presence(files: DataFrame) -> DataFrame:
@@ -293,10 +292,9 @@ def pipeline_presence(files: DataFrame) -> DataFrame:
         F.max(ci).alias("_ci"), F.max(ci & F.col("text").rlike(TEST_COMMAND)).alias("_tests"),
         F.min(F.when(ci, F.col("path"))).alias("_first"), F.max(F.col("path").rlike(DOCKERFILE)).alias("_docker"),
         F.max(basename("path") == ".dockerignore").alias("_ignore"))
-    return union([
-        emit(flags.filter(~F.col("_ci")), NAME, NO_CI),
-        emit(flags.filter(F.col("_ci") & ~F.col("_tests")), NAME, CI_NO_TESTS, path=F.col("_first")),
-        emit(flags.filter(F.col("_docker") & ~F.col("_ignore")), NAME, NO_IGNORE)])
+    return emit_each(flags, NAME, [
+        (~F.col("_ci"), NO_CI), (F.col("_ci") & ~F.col("_tests"), CI_NO_TESTS, {"path": F.col("_first")}),
+        (F.col("_docker") & ~F.col("_ignore"), NO_IGNORE)])
 
 
 def kubernetes(files: DataFrame) -> DataFrame:
@@ -317,27 +315,26 @@ def kubernetes(files: DataFrame) -> DataFrame:
         "line_no": F.col("_base") + line_of("doc", K8S_WORKLOAD),
         "image": F.get(F.filter(F.regexp_extract_all("doc", F.lit(K8S_IMAGE), F.lit(1)), _floating), F.lit(0))})
 
-    def found(cond: Column, rule: Rule, words: str, **kw: Column) -> DataFrame:
-        at = kw.pop("line", F.col("line_no"))
-        title = F.lit(rule.title) if not words else F.concat("label", F.lit(words))
-        return emit(rows.filter(cond), NAME, rule, path=F.col("path"), line=at, title=title, **kw)
-
     doc = F.col("doc")
     explicit = doc.rlike(r"(?m)^\s*runAsUser:\s*0\s*$")
     debug = line_of("doc", K8S_DEBUG_ENV)
-    root = explicit | ~doc.rlike(r"runAsNonRoot:\s*true|runAsUser:\s*[1-9]")
     head = F.call_function("substring_index", doc, F.col("image"), F.lit(1))
     image_line = F.col("_base") + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-    return union([
-        found(~doc.rlike(r"(?m)^\s+limits\s*:"), K8S_LIMITS, " has no resource limits"),
-        found(F.col("kind_").isin("Deployment", "StatefulSet", "DaemonSet")
-              & ~doc.rlike(r"livenessProbe|readinessProbe|startupProbe"), K8S_PROBES, " has no liveness/readiness probes"),
-        found(root, K8S_ROOT, " may run containers as root",
-              confidence=F.when(explicit, "high").otherwise("medium")).withColumn(
-            "kind", F.when(F.col("confidence") == "high", "confirmed").otherwise("potential")),
-        found(doc.rlike(r"(?m)^\s*privileged:\s*true"), K8S_PRIVILEGED, " runs a privileged container"),
-        found(F.col("image").isNotNull(), K8S_UNPINNED, " uses an unpinned image", line=image_line),
-        found(debug.isNotNull(), DEBUG_CONFIG, "", line=F.col("_base") + debug),
+    here = {"path": F.col("path"), "line": F.col("line_no")}
+
+    def says(words: str) -> dict[str, Column]:
+        return {**here, "title": F.concat("label", F.lit(words))}
+
+    return emit_each(rows, NAME, [
+        (~doc.rlike(r"(?m)^\s+limits\s*:"), K8S_LIMITS, says(" has no resource limits")),
+        (F.col("kind_").isin("Deployment", "StatefulSet", "DaemonSet") & ~doc.rlike(r"livenessProbe|readinessProbe|startupProbe"),
+         K8S_PROBES, says(" has no liveness/readiness probes")),
+        (explicit | ~doc.rlike(r"runAsNonRoot:\s*true|runAsUser:\s*[1-9]"), K8S_ROOT, {
+            **says(" may run containers as root"), "confidence": F.when(explicit, "high").otherwise("medium"),
+            "kind": F.when(explicit, "confirmed").otherwise("potential")}),
+        (doc.rlike(r"(?m)^\s*privileged:\s*true"), K8S_PRIVILEGED, says(" runs a privileged container")),
+        (F.col("image").isNotNull(), K8S_UNPINNED, {**says(" uses an unpinned image"), "line": image_line}),
+        (debug.isNotNull(), DEBUG_CONFIG, {**here, "line": F.col("_base") + debug}),
     ])
 
 
@@ -350,11 +347,11 @@ def deployment_config(files: DataFrame) -> DataFrame:
     """Debug settings and development servers in platform and production files."""
     rows = files.filter(F.col("path").rlike(PROD_FILE))
     at = F.coalesce(line_of("text", DEBUG_SETTING), line_of("text", K8S_DEBUG_ENV))
-    proc = files.filter(basename("path") == "Procfile").withColumn("_l", F.get(F.filter(_numbered(), lambda x: (
+    web = F.when(basename("path") == "Procfile", F.get(F.filter(_numbered(), lambda x: (
         x["t"].rlike(r"^\s*(?:web|worker)\s*:") & x["t"].rlike(DEV_SERVER))), F.lit(0))["n"])
-    return emit(rows.withColumn("_at", at).filter(F.col("_at").isNotNull()), NAME, DEBUG_CONFIG, path=F.col("path"),
-                line=F.col("_at")).unionByName(
-        emit(proc.filter(F.col("_l").isNotNull()), NAME, DEV_START, path=F.col("path"), line=F.col("_l")))
+    return emit_each(rows.withColumns({"_at": at, "_web": web}), NAME, [
+        (F.col("_at").isNotNull(), DEBUG_CONFIG, {"path": F.col("path"), "line": F.col("_at")}),
+        (F.col("_web").isNotNull(), DEV_START, {"path": F.col("path"), "line": F.col("_web")})])
 
 
 def run(tables: dict[str, DataFrame]) -> DataFrame:

@@ -52,29 +52,45 @@ def selects(rule: Rule, text: str = "text") -> Column:
     return cond
 
 
-def emit(rows: DataFrame, analyzer: str, rule: Rule, *, path: Column | None = None, line: Column | None = None,
-         title: Column | None = None, severity: Column | None = None, confidence: Column | None = None,
-         evidence: Column | None = None, description: Column | None = None) -> DataFrame:
-    """Findings of one rule. The emission index orders by rule, then line."""
-    none = F.lit(None).cast("int")
-    line = none if line is None else line.cast("int")
-    path = F.lit("") if path is None else path
+def finding(rule: Rule, *, path: Column | None = None, line: Column | None = None, title: Column | None = None,
+            severity: Column | None = None, confidence: Column | None = None, kind: Column | None = None,
+            evidence: Column | None = None, description: Column | None = None) -> Column:
+    """One finding as a struct. The emission index orders by rule, then line."""
+    line = (F.lit(None) if line is None else line).cast("int")
     text = F.lit("") if evidence is None else F.substring(redact(evidence), 1, SNIPPET_TOTAL)
-    return rows.select(
-        *AUDIT, F.lit(analyzer).alias("analyzer"),
+
+    def given(value: Column | None, default: str) -> Column:
+        return F.lit(default) if value is None else value
+
+    return F.struct(
         (F.lit(rule.seq).cast("long") * 1_000_000_000 + F.coalesce(line, F.lit(0))).alias("emit_idx"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.substring(F.lit(rule.title) if title is None else title, 1, 300).alias("title"),
-        F.lit(rule.category).alias("category"),
-        (F.lit(rule.severity) if severity is None else severity).alias("severity"),
-        (F.lit(rule.confidence) if confidence is None else confidence).alias("confidence"),
-        F.lit(rule.kind).alias("kind"),
-        (F.lit(rule.description) if description is None else description).alias("description"),
-        F.lit(rule.remediation).alias("remediation"), path.alias("file_path"), line.alias("line_start"),
-        line.alias("line_end"), text.alias("evidence"), F.array().cast("array<string>").alias("references"),
+        F.lit(rule.rule_id).alias("rule_id"), F.substring(given(title, rule.title), 1, 300).alias("title"),
+        F.lit(rule.category).alias("category"), given(severity, rule.severity).alias("severity"),
+        given(confidence, rule.confidence).alias("confidence"), given(kind, rule.kind).alias("kind"),
+        given(description, rule.description).alias("description"), F.lit(rule.remediation).alias("remediation"),
+        given(path, "").alias("file_path"), line.alias("line_start"), line.alias("line_end"), text.alias("evidence"))
+
+
+def _stamped(rows: DataFrame, analyzer: str, struct: Column) -> DataFrame:
+    return rows.select(*AUDIT, F.lit(analyzer).alias("analyzer"), struct.alias("_f")).select(
+        *AUDIT, "analyzer", "_f.*", F.array().cast("array<string>").alias("references"),
         F.array(F.lit(analyzer)).alias("sources"))
 
 
+def emit(rows: DataFrame, analyzer: str, rule: Rule, **fields: Column) -> DataFrame:
+    """One finding of one rule per row."""
+    return _stamped(rows, analyzer, finding(rule, **fields))
+
+
+def emit_each(rows: DataFrame, analyzer: str, cases: list[tuple], lists: tuple[Column, ...] = ()) -> DataFrame:
+    """Findings of several rules in one pass: ``cases`` are (condition, rule[, fields]); ``lists`` are arrays of
+    ``finding`` structs for rules that may hit a row more than once."""
+    hits = F.array_compact(F.array(*[
+        F.when(case[0], finding(case[1], **(case[2] if len(case) > 2 else {}))) for case in cases]))
+    every = F.concat(hits, *lists) if lists else hits
+    return _stamped(rows, analyzer, F.explode(every))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, is_test_path
 from ..operators import AUDIT
-from .engine import Pack, Rule, emit, line_of, register, union
+from ..session import cut_lineage
+from .engine import Pack, Rule, emit, emit_each, line_of, register, union
 
 NAME = "observability"
 
@@ -97,17 +98,17 @@ def evidence_flags(files: DataFrame) -> DataFrame:
 def run(tables: dict[str, DataFrame]) -> DataFrame:
     """``frameworks``: (audit, framework) rows decide which repositories are web services."""
     files = tables["files"]
-    flags = evidence_flags(files)
     web = tables["frameworks"].filter(F.col("framework").isin(*WEB_FRAMEWORKS)).select(*AUDIT).distinct()
-    services = flags.join(web, AUDIT, "left_semi")
-    parts = [
-        emit(flags.filter((F.col("_py") >= 5) & ~F.col("_logging")), NAME, NO_LOGGING),
-        emit(services.filter(~F.col("_health")), NAME, NO_HEALTH),
-        *[emit(services.filter(~F.col(flag)), NAME, rule) for flag, rule in ABSENT.items()],
-        emit(services.filter(F.col("_text") & ~F.col("_structured")), NAME, PLAIN_LOGS),
-        emit(services.filter(F.col("_auth") & ~F.col("_audit")), NAME, NO_AUDIT)]
+    flags = cut_lineage(evidence_flags(files).join(web.withColumn("_web", F.lit(True)), AUDIT, "left").na.fill(
+        False, ["_web"]))
+    is_web = F.col("_web")
+    parts = [emit_each(flags, NAME, [
+        ((F.col("_py") >= 5) & ~F.col("_logging"), NO_LOGGING), (is_web & ~F.col("_health"), NO_HEALTH),
+        *[(is_web & ~F.col(flag), rule) for flag, rule in ABSENT.items()],
+        (is_web & F.col("_text") & ~F.col("_structured"), PLAIN_LOGS),
+        (is_web & F.col("_auth") & ~F.col("_audit"), NO_AUDIT)])]
     code = files.filter(F.col("path").rlike(CODE) & ~is_test_path("path") & ~F.col("path").contains("node_modules/"))
-    routed = code.filter(F.col("text").rlike(ROUTE)).join(services.select(*AUDIT, "_logger"), AUDIT)
+    routed = code.filter(F.col("text").rlike(ROUTE)).join(flags.filter(is_web).select(*AUDIT, "_logger"), AUDIT)
     at = F.when(F.col("path").endswith(".py"), line_of("text", PY_PRINT)).when(
         ~F.col("_logger"), line_of("text", JS_CONSOLE))
     parts.append(emit(routed.withColumn("_at", at).filter(F.col("_at").isNotNull()), NAME, PRINTS, path=F.col("path"),

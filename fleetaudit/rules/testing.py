@@ -11,7 +11,8 @@ from ..functions.text import basename, is_test_path, language, path_tokens, spli
 from ..operators import AUDIT
 from ..operators.findings import top_k
 from ..operators.graph import EXEMPT_DIRS, is_controller
-from .engine import Pack, Rule, emit, line_of, register, union
+from ..session import cut_lineage
+from .engine import Pack, Rule, emit, emit_each, line_of, register, union
 
 NAME = "testing"
 
@@ -121,23 +122,22 @@ def test_ratio(sizes: DataFrame) -> DataFrame:
 
 def presence(files: DataFrame) -> DataFrame:
     """Missing tests, ratios and languages nobody tests."""
-    sizes = code_sizes(files)
+    sizes = cut_lineage(code_sizes(files))
     total = test_ratio(sizes)
     ratio = F.col("test_lines") / F.greatest(F.col("source_lines"), F.lit(1))
-    judged = total.filter((F.col("tests") > 0) & (F.col("source_lines") >= RATIO_MIN))
     by_lang = sizes.groupBy(*AUDIT, "lang").agg(
         F.sum(F.when(~F.col("test"), F.col("lines")).otherwise(0)).alias("loc"),
         F.count(F.when(F.col("test"), 1)).alias("_t"), F.min(F.when(~F.col("test"), F.col("path"))).alias("_first"))
     untested = by_lang.filter((F.col("_t") == 0) & (F.col("loc") >= LANGUAGE_MIN)).join(
         total.filter("tests > 0").select(*AUDIT), AUDIT, "left_semi")
-    return union([
-        emit(total.filter("tests = 0"), NAME, NO_TESTS, evidence=F.concat(
+    judged = (F.col("tests") > 0) & (F.col("source_lines") >= RATIO_MIN)
+    return emit_each(total, NAME, [
+        (F.col("tests") == 0, NO_TESTS, {"evidence": F.concat(
             F.lit("0 test files; "), F.col("sources").cast("string"), F.lit(" source files ("),
-            F.col("source_lines").cast("string"), F.lit(" non-blank lines)"))),
-        emit(judged.filter(ratio < 0.1), NAME, LOW_RATIO),
-        emit(judged.filter((ratio >= 0.1) & (ratio < 0.3)), NAME, MODEST_RATIO),
-        emit(untested, NAME, NO_LANGUAGE, path=F.col("_first"),
-             title=F.concat(F.lit("No tests for the "), F.col("lang"), F.lit(" code")))])
+            F.col("source_lines").cast("string"), F.lit(" non-blank lines)"))}),
+        (judged & (ratio < 0.1), LOW_RATIO), (judged & (ratio >= 0.1) & (ratio < 0.3), MODEST_RATIO),
+    ]).unionByName(emit(untested, NAME, NO_LANGUAGE, path=F.col("_first"),
+                        title=F.concat(F.lit("No tests for the "), F.col("lang"), F.lit(" code"))))
 
 
 def scripts_and_ci(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, is_test_path, split_lines
 from ..operators import AUDIT
-from .engine import Pack, Rule, emit, first_per_file, line_of, register, scan, union
+from .engine import Pack, Rule, emit, emit_each, first_per_file, line_of, register, scan, union
 
 # Patterns.
 JS = r"(?i)\.(?:js|jsx|ts|tsx|mjs|cjs)$"
@@ -256,9 +256,10 @@ def api_security(tables: dict[str, DataFrame]) -> DataFrame:
         emit(open_upload, "api", UPLOAD, path=F.col("path"), line=line_of("text", r"\bmulter\s*\("),
              title=F.concat(F.lit(UPLOAD.title), F.when(F.col("text").contains("limits"), "").otherwise(" or size limits"))),
         unscoped_lookups(files),
-        emit(flags.filter(~F.col("_helmet")), "api", NO_HELMET),
-        emit(flags.filter(~F.col("_rate") & (F.col("_login") | (F.col("_routes") >= MIN_ROUTES))), "api", NO_RATE),
-        emit(flags.filter(~F.col("_handler") & (F.col("_routes") >= 3)), "api", NO_HANDLER)])
+        emit_each(flags, "api", [
+            (~F.col("_helmet"), NO_HELMET),
+            (~F.col("_rate") & (F.col("_login") | (F.col("_routes") >= MIN_ROUTES)), NO_RATE),
+            (~F.col("_handler") & (F.col("_routes") >= 3), NO_HANDLER)])])
 
 
 def auth(tables: dict[str, DataFrame]) -> DataFrame:
@@ -309,30 +310,28 @@ def performance(tables: dict[str, DataFrame]) -> DataFrame:
     write = F.concat(F.lit(r"\b"), F.col("d.name"), F.lit(r"(?:\[[^\]]+\]\s*=[^=]|\.(?:push|set|add)\()"))
     first = F.get(F.filter("_l", lambda x: (x["n"] > F.col("d.n")) & F.rlike(x["t"], write)), F.lit(0))["n"]
     kept = rows.withColumn("_w", first).filter(F.col("_w").isNotNull())
-    session = files.filter(
-        F.col("text").rlike(r"""require\(\s*["']express-session["']\s*\)|from\s+["']express-session["']""")
-        & F.col("text").rlike(r"\bsession\(\s*\{") & ~F.col("text").rlike(r"\bstore\s*:"))
-    disk = files.filter(F.col("text").rlike(r"\bmulter\(\s*\{\s*dest\s*:|multer\.diskStorage\("))
     size = F.regexp_extract
     limit = _line_hits(files, lambda x: F.when(
         x["t"].rlike("(?i)json|urlencoded|raw|text|bodyParser|bodyLimit") & x["t"].rlike(BODY_LIMIT),
         size(x["t"], BODY_LIMIT, 1).cast("double") * F.when(F.lower(size(x["t"], BODY_LIMIT, 2)) == "gb", 1024).otherwise(1)))
     limit = limit.filter(F.col("v") >= LARGE_BODY_MB)
     mb = F.regexp_replace(F.col("v").cast("string"), r"\.0$", "")
-    buffered = servers.filter(
-        ~F.col("text").rlike(r"(?i)maxBytes|max_?(?:body_?)?size|(?:byteLength|length|size|received)\s*>")
-        & F.col("text").rlike(r"\.push\(\s*chunk|\+=\s*chunk|Buffer\.concat")
-        & F.col("text").rlike(r"""\.on\(\s*['"]data['"]"""))
+    path, text = F.col("path"), F.col("text")
+    session = (text.rlike(r"""require\(\s*["']express-session["']\s*\)|from\s+["']express-session["']""")
+               & text.rlike(r"\bsession\(\s*\{") & ~text.rlike(r"\bstore\s*:"))
+    buffered = (text.rlike(SERVER) & ~text.rlike(r"(?i)maxBytes|max_?(?:body_?)?size|(?:byteLength|length|size|received)\s*>")
+                & text.rlike(r"\.push\(\s*chunk|\+=\s*chunk|Buffer\.concat") & text.rlike(r"""\.on\(\s*['"]data['"]"""))
+    whole = emit_each(files, "performance", [
+        (session, SESSION, {"path": path, "line": line_of("text", r"\bsession\(\s*\{")}),
+        (text.rlike(r"\bmulter\(\s*\{\s*dest\s*:|multer\.diskStorage\("), UPLOAD_DISK,
+         {"path": path, "line": line_of("text", r"multer\(\s*\{\s*dest|diskStorage")}),
+        (buffered, BUFFERED, {"path": path, "line": line_of("text", r"""\.on\(\s*['"]data['"]""")})])
     return union([
-        sync,
-        emit(kept, "performance", STATE, path=F.col("path"), line=F.col("_w"),
+        sync, whole,
+        emit(kept, "performance", STATE, path=path, line=F.col("_w"),
              title=F.concat(F.lit("Server stores state in module-level `"), F.col("d.name"), F.lit("`"))),
-        emit(session, "performance", SESSION, path=F.col("path"), line=line_of("text", r"\bsession\(\s*\{")),
-        emit(disk, "performance", UPLOAD_DISK, path=F.col("path"),
-             line=line_of("text", r"multer\(\s*\{\s*dest|diskStorage")),
-        emit(limit, "performance", BODY, path=F.col("path"), line=F.col("line_no"),
-             title=F.concat(F.lit("Request body limit raised to "), mb, F.lit(" MB"))),
-        emit(buffered, "performance", BUFFERED, path=F.col("path"), line=line_of("text", r"""\.on\(\s*['"]data['"]"""))])
+        emit(limit, "performance", BODY, path=path, line=F.col("line_no"),
+             title=F.concat(F.lit("Request body limit raised to "), mb, F.lit(" MB")))])
 
 
 def environment_reads(lines: DataFrame) -> DataFrame:

@@ -52,25 +52,26 @@ def rate_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
 def first_hit_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Windows that open at a key's first hit and close after ``seconds``, as a counter with expiry behaves.
 
-    Hits are counted per key and second first; the state of a key is one open window.
+    A key's hits are tallied per second while its chunks stream by, so a noisy key holds one number per second of the
+    micro-batch; its state is one open window.
     """
-    per_second = hits.withWatermark("ts", WATERMARK).groupBy(
-        F.window("ts", "1 second").alias("w"), "scope", "ident").agg(F.count(F.lit(1)).alias("n")).select(
-        "scope", "ident", F.col("w.start").alias("ts"), "n")
-
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened, count = state.get if state.exists else (None, 0)
+        tally: dict[int, int] = {}
+        for chunk in chunks:
+            for at, n in chunk["ts"].dt.floor("s").value_counts().items():
+                second = int(at.timestamp())
+                tally[second] = tally.get(second, 0) + int(n)
         out = []
-        for row in pd.concat(list(chunks)).sort_values("ts").itertuples(index=False):
-            at = int(row.ts.timestamp())
-            if opened is None or at - opened > seconds:
-                opened, count = at, 0
-            count += int(row.n)
-            out.append((*key, row.ts, count, count > limit))
+        for second in sorted(tally):
+            if opened is None or second - opened > seconds:
+                opened, count = second, 0
+            count += tally[second]
+            out.append((*key, pd.Timestamp(second, unit="s"), count, count > limit))
         state.update((opened, count))
         yield pd.DataFrame(out, columns=["scope", "ident", "ts", "hits", "over"])
 
-    return per_second.groupBy("scope", "ident").applyInPandasWithState(
+    return hits.groupBy("scope", "ident").applyInPandasWithState(
         step, "scope string, ident string, ts timestamp, hits long, over boolean", "opened long, count long", "append",
         GroupStateTimeout.NoTimeout)
 
