@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, split_lines
 from ..operators import AUDIT
+from ..session import cut_lineage
+from ..sources.files import explode_lines
 from .engine import Pack, Rule, emit, emit_each, finding, line_of, register, scan, selects, union
 
 NAME = "devops"
@@ -354,11 +356,21 @@ def deployment_config(files: DataFrame) -> DataFrame:
         (F.col("_web").isNotNull(), DEV_START, {"path": F.col("path"), "line": F.col("_web")})])
 
 
+def config_set(files: DataFrame) -> DataFrame:
+    """Container, pipeline and platform files only, written once for the rules below."""
+    path = F.col("path")
+    return cut_lineage(files.filter(
+        path.rlike(DOCKERFILE) | path.rlike(CI_MARKERS) | path.rlike(PROD_FILE) | path.rlike(r"\.ya?ml$")
+        | (basename("path") == ".dockerignore")).select(*AUDIT, "path", "text"))
+
+
 def run(tables: dict[str, DataFrame]) -> DataFrame:
-    files, lines = tables["files"], tables["lines"]
+    files, config = tables["files"], config_set(tables["files"])
+    every = tables["files"].select(*AUDIT).distinct().withColumns({"path": F.lit(""), "text": F.lit("")})
     return union([
-        scan(lines, [*DOCKER_LINES, *COMPOSE_LINES], NAME), dockerfiles(files), compose_limits(files),
-        workflows(files), deployment(files), pipeline_presence(files), kubernetes(files), deployment_config(files)])
+        scan(explode_lines(config), [*DOCKER_LINES, *COMPOSE_LINES], NAME), dockerfiles(config), compose_limits(config),
+        workflows(config), deployment(files), pipeline_presence(config.unionByName(every)), kubernetes(config),
+        deployment_config(config)])
 
 
 register(Pack(NAME, "DevOps & deployment configuration", ("devops",), run))
