@@ -12,7 +12,7 @@ import time
 from fleetaudit import build_session
 from fleetaudit.plans import registry
 
-HEADLINES = [
+HEADLINES = os.environ.get("BENCH_QUERIES", "").split() or [
     "scorecard_category", "scorecard_overall", "severity_counts", "fingerprints", "merge_duplicates", "baseline_asof",
     "lifecycle", "audit_compare", "policy_apply", "gate", "change_risk", "fix_verdict", "compliance_controls", "portfolio",
     "risk_register", "secret_scan", "duplicate_blocks", "pinned_dependencies", "pins_vs_advisories", "dockerfile_rules",
