@@ -324,6 +324,9 @@ PLANS = [
     ("js_manifest_rules", lambda t: D.js_manifest_rules(t.repo_files).select("repo_id", "title", "evidence"), f"""WITH {CUST}
         SELECT repo_id, concat(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END, ' dependency(ies) with wildcard or non-registry version') AS title,
           CASE WHEN k % 3 = 0 THEN 'any@*, lib@file:../lib' ELSE 'lib@file:../lib' END AS evidence FROM cust"""),
+    ("unused_packages", lambda t: D.unused(t.repo_files).select("repo_id", "path", "name"), f"""WITH {CUST}
+        SELECT repo_id, 'requirements.txt' AS path, 'reqeusts' AS name FROM cust
+        UNION ALL SELECT repo_id, 'pyproject.toml', 'attrs' FROM cust WHERE k % 5 = 0 AND k % 25 > 0"""),
     ("dependency_hygiene", lambda t: _found(D.hygiene(t.repo_files)), None),
     ("version_satisfies", lambda t: _versions(t).select("p_partkey", VR.satisfies("version", "spec").alias("ok")), """
         WITH v AS (SELECT p_partkey, p_size % 9 = 0 AS bad, p_size % 5 AS a, p_partkey % 7 AS b, p_partkey % 9 AS s FROM part)
