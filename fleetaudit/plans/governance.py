@@ -236,13 +236,13 @@ COMPLIANCE_CTES = f"""
   rids AS (SELECT DISTINCT rule_id FROM audit_findings),
   hit AS (SELECT rule_id, min(i) AS i FROM rids JOIN rows_ ON rule_id GLOB pattern GROUP BY 1),
   fb AS (SELECT * FROM (VALUES {_FB}) x(category, fowasp, fsoc2, fiso)),
-  texts AS (SELECT f.audit_id, f.emit_idx, f.rule_id, f.category, f.severity, coalesce(r.cwe, '') AS rcwe, coalesce(r.owasp, '') AS rowasp,
+  texts AS (SELECT f.org_id, f.kind, f.triage_status, f.audit_id, f.emit_idx, f.rule_id, f.category, f.severity, coalesce(r.cwe, '') AS rcwe, coalesce(r.owasp, '') AS rowasp,
               coalesce(r.asvs, '') AS rasvs, coalesce(r.soc2, '') AS rsoc2, coalesce(r.iso, '') AS riso,
               regexp_extract(description, '(?i)CWE[-_ ]?([0-9]+)', 1) AS dcwe
             FROM audit_findings f LEFT JOIN hit USING (rule_id) LEFT JOIN rows_ r ON r.i = hit.i),
   cwes AS (SELECT * EXCLUDE (rcwe, dcwe), CASE WHEN dcwe = '' OR list_contains(string_split(rcwe, ' '), dcwe) THEN rcwe
              ELSE trim(concat(rcwe, ' ', dcwe)) END AS cwe FROM texts),
-  mapped AS (SELECT c.audit_id, c.emit_idx, c.rule_id, c.severity, cwe, rasvs AS asvs,
+  mapped AS (SELECT c.org_id, c.kind, c.triage_status, c.audit_id, c.emit_idx, c.rule_id, c.severity, cwe, rasvs AS asvs,
       CASE WHEN rsoc2 <> '' THEN rsoc2 ELSE fsoc2 END AS soc2, CASE WHEN riso <> '' THEN riso ELSE fiso END AS iso27001,
       CASE WHEN oo <> '' THEN oo ELSE fowasp END AS owasp
     FROM (SELECT c.*, array_to_string(list_distinct_ordered, ' ') AS oo FROM (
@@ -324,7 +324,7 @@ PORTFOLIO_CTES = f"""{CATEGORY_CTES}, {LATEST_CTE},
       coalesce(review <= DATE '{TODAY}' + 14, false) AS due FROM rows_)"""
 
 CONTROL_SELECT = " UNION ALL ".join(
-    f"SELECT audit_id, emit_idx, severity, '{fw}' AS framework, unnest(string_split({fw}, ' ')) AS control FROM mapped WHERE {fw} <> ''"
+    f"SELECT org_id, kind, triage_status, severity, '{fw}' AS framework, unnest(string_split({fw}, ' ')) AS control FROM mapped WHERE {fw} <> ''"
     for fw in ("cwe", "owasp", "asvs", "soc2", "iso27001"))
 
 
@@ -524,10 +524,9 @@ PLANS = [
         "kind <> 'ai_observation' AND triage_status = 'open'"), ["org_id"]).select(
         "org_id", "framework", F.replace("control", F.lit("CWE-"), F.lit("")).alias("control"), "findings", "critical", "high"),
      f"""WITH {COMPLIANCE_CTES}, pairs AS ({CONTROL_SELECT})
-        SELECT org_id, framework, control, count(*) AS findings, count(*) FILTER (p.severity = 'critical') AS critical,
-               count(*) FILTER (p.severity = 'high') AS high
-        FROM pairs p JOIN audit_findings f ON f.audit_id = p.audit_id AND f.emit_idx = p.emit_idx
-        WHERE kind <> 'ai_observation' AND triage_status = 'open' GROUP BY ALL"""),
+        SELECT org_id, framework, control, count(*) AS findings, count(*) FILTER (severity = 'critical') AS critical,
+               count(*) FILTER (severity = 'high') AS high
+        FROM pairs WHERE kind <> 'ai_observation' AND triage_status = 'open' GROUP BY ALL"""),
     ("portfolio", _portfolio_plan, f"""WITH {PORTFOLIO_CTES}
         SELECT org_id, repo_id, audit_id, risk, coalesce(previous_risk, '') AS previous_risk, average_risk, attempt_status, age_days, open_critical,
           open_high, accepted_critical, accepted_high, owners, CAST(review AS VARCHAR) AS review, assessed, flat, failed, running, stale,

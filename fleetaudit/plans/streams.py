@@ -11,7 +11,7 @@ from ..session import scratch_folder
 from ..sources import sinks as SK
 from ..streaming import jobs as J
 from .core import SEV_RANK
-from .governance import TODAY, audit_findings, mapped
+from .governance import COMPLIANCE_CTES, CONTROL_SELECT, TODAY, audit_findings, mapped
 
 NOW = TODAY + " 12:00:00"
 
@@ -192,7 +192,11 @@ PLANS = [
     ("findings_csv", lambda t: SK.findings_csv(mapped(t)).select("audit_id", "rule_id", "title", "triage_status", "triage_review_date", "fingerprint"), """
         SELECT audit_id, rule_id, title, triage_status, coalesce(CAST(triage_expires_on AS VARCHAR), '') AS triage_review_date, fingerprint
         FROM audit_findings"""),
-    ("controls_csv", lambda t: SK.controls_csv(mapped(t)).groupBy("framework").agg(F.sum("open_findings").alias("findings")), None),
+    ("controls_csv", lambda t: SK.controls_csv(mapped(t)).groupBy("framework").agg(F.sum("open_findings").alias("findings")), f"""
+        WITH {COMPLIANCE_CTES}, pairs AS ({CONTROL_SELECT})
+        SELECT CASE framework WHEN 'cwe' THEN 'CWE' WHEN 'owasp' THEN 'OWASP Top 10 (2021)' WHEN 'asvs' THEN 'OWASP ASVS 4.0'
+            WHEN 'soc2' THEN 'SOC 2 (TSC 2017)' ELSE 'ISO/IEC 27001:2022 Annex A' END AS framework, count(*) AS findings
+        FROM pairs WHERE kind <> 'ai_observation' AND triage_status = 'open' GROUP BY 1"""),
     ("risk_register_csv", lambda t: SK.risk_register_csv(audit_findings(t)).select("audit_id", "title", "location", "status", "owner", "review_date"), """
         SELECT audit_id, title, CASE WHEN file_path = '' THEN '(repository)' WHEN line_start IS NULL THEN file_path
             ELSE concat(file_path, ':', line_start) END AS location, triage_status AS status, triage_owner AS owner,

@@ -177,8 +177,8 @@ def _line_hits(files: DataFrame, pick) -> DataFrame:
 def cookies(files: DataFrame) -> DataFrame:
     """Cookie flags turned off near cookie code, and session cookies set without options."""
     def off(x: Column) -> Column:
-        near = F.array_join(F.transform(F.filter("_l", lambda y: y["n"].between(x["n"] - 3, x["n"])),
-                                        lambda y: y["t"]), "\n")
+        first = F.greatest(x["n"] - 3, F.lit(1))
+        near = F.array_join(F.transform(F.slice("_l", first, x["n"] - first + 1), lambda y: y["t"]), "\n")
         flags = F.array_sort(F.array_distinct(F.regexp_extract_all(x["t"], F.lit(COOKIE_OFF), F.lit(1))))
         return F.when((F.size(flags) > 0) & near.rlike(COOKIE_CONTEXT), F.array_join(F.transform(
             flags, lambda f: F.concat(f, F.lit(": false"))), ", "))
@@ -226,7 +226,7 @@ def unscoped_lookups(files: DataFrame, window: int = 60) -> DataFrame:
         s["n"].alias("n"), s["t"].alias("t"),
         F.least(F.coalesce(F.get("_s", k + 1)["n"], F.size("_l") + 1), s["n"] + window).alias("end"))))
     rows = rows.withColumn("_g", F.col("text").rlike(GLOBAL_AUTH)).select("*", F.explode("_s").alias("s"))
-    body = F.filter("_l", lambda x: (x["n"] >= F.col("s.n")) & (x["n"] < F.col("s.end")))
+    body = F.slice("_l", F.col("s.n"), F.col("s.end") - F.col("s.n"))
     scoped = F.exists(body, lambda x: x["t"].rlike(OWNERSHIP))
     hit = F.get(F.filter(body, lambda x: x["t"].rlike(LOOKUP_BY_PARAM)), F.lit(0))["n"]
     authed = F.col("_g") | F.regexp_extract("s.t", ANY_ROUTE, 3).rlike(AUTH_HINT)
