@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetaudit.session import scratch_folder
 
-from . import packing, token_files
+from . import fingerprints, neighbours, packing, piece_encoding, quality, simhash, token_files, toxicity
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
 
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,10 +28,32 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.document_ids(token_files.read_token_files(spark, out))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, folder, "embeddings"))
+    return neighbours.nearest(vectors, vectors.where(F.col("id") % 50 == 0), k=5, factor=1.0)
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), BYTE_BPE, end_id=0, capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_files, op8_best_fit_packing)}
+def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_encoding.round_trip(table(spark, folder, "documents"), PIECE_BPE)
+
+
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_document_fingerprints, op3_token_files, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_best_fit_packing,
+    op9_piece_encoding, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
