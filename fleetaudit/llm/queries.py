@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetaudit.session import scratch_folder
 
-from . import fingerprints, neighbours, packing, piece_encoding, quality, simhash, token_files, toxicity
+from . import fingerprints, line_dedup, neighbours, packing, personal_data, piece_encoding, quality, simhash, token_files, toxicity
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,11 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, report=True)
+
+
 def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
@@ -28,6 +33,10 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.document_ids(token_files.read_token_files(spark, out))
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, folder, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -54,6 +63,6 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_document_fingerprints, op3_token_files, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_best_fit_packing,
+    op1_line_dedup, op2_document_fingerprints, op3_token_files, op4_personal_data, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_best_fit_packing,
     op9_piece_encoding, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
