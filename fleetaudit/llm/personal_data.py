@@ -261,8 +261,12 @@ def kept(found: Column, model: Model) -> Column:
     """The spans that stay: every base span, and the proposals the classifier takes that touch no span of their kind
     before them."""
     taken = F.filter(found, lambda s: s["base"] | (model.odds(s) > 0))
-    return F.filter(taken, lambda s: s["base"] | ~F.exists(taken, lambda o: (o["kind"] == s["kind"]) & (o["start"] < s["end"]) & (
-        s["start"] < o["end"]) & (o["base"] | (o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["end"] < s["end"])))))
+
+    def first(s: Column, o: Column) -> Column:
+        return (o["kind"] == s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"]) & (
+            o["base"] | (o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["end"] < s["end"])))
+
+    return _let(taken, lambda t: F.filter(t, lambda s: s["base"] | ~F.exists(t, lambda o: first(s, o))))
 
 
 def _written_out(spans: Column) -> Column:
@@ -291,17 +295,25 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first. All columns and rows stay; a null text stays null."""
     found = fresh(docs, "found_spans")
     model = train(written(proposals(docs.select(F.col(text_col).alias("text"))), "personal_data"))
-    rows = docs.withColumn(found, _let(F.coalesce(F.col(text_col), F.lit("")), lambda t: F.concat(*(_proposals(k, t) for k in KINDS))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    spans = _let(text, lambda t: kept(F.concat(*(_proposals(k, t) for k in KINDS)), model))
+    rows = docs.withColumn(found, spans)
 
     def masked(spans: Column) -> Column:
         # reach: where the text masked so far ends
         ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(
             F.signum(b["end"] - a["end"]).cast("int")))
         names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("reach"))
-        step = lambda a, s: F.when(s["start"] >= a["reach"], F.struct(
-            F.concat(a["out"], F.substring(text_col, a["reach"] + 1, s["start"] - a["reach"]), F.get(names, s["kind"])).alias("out"),
-            s["end"].alias("reach"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["reach"], s["end"]).alias("reach")))
-        return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text_col, a["reach"] + 1, F.length(text_col))))
 
-    return rows.withColumn(text_col, F.when(F.size(kept(F.col(found), model)) > 0, masked(kept(F.col(found), model))).otherwise(F.col(text_col))).drop(found)
+        def step(a: Column, s: Column) -> Column:
+            between = F.substring(text_col, a["reach"] + 1, s["start"] - a["reach"])
+            fresh_part = F.concat(between, F.get(names, s["kind"]))
+            return F.when(s["start"] >= a["reach"], F.struct(F.concat(a["parts"], F.array(fresh_part)).alias("parts"), s["end"].alias("reach"))
+                          ).otherwise(F.struct(a["parts"].alias("parts"), F.greatest(a["reach"], s["end"]).alias("reach")))
+
+        start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("reach"))
+        rest = F.col(text_col)
+        return F.aggregate(ordered, start, step, lambda a: F.concat(
+            F.array_join(a["parts"], ""), F.substring(rest, a["reach"] + 1, F.length(rest))))
+
+    return rows.withColumn(text_col, F.when(F.size(found) > 0, masked(F.col(found))).otherwise(F.col(text_col))).drop(found)

@@ -147,8 +147,10 @@ class PieceEncoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: pieces and bytes joined, without the space in front that encoding adds."""
-        joined = b"".join(map(self.raw.__getitem__, ids.tolist()))
-        return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
+        ids = ids.tolist()
+        joined = b"".join(map(self.raw.__getitem__, ids))
+        first = next((i for i in ids if i not in (self.bos, self.eos)), self.eos)
+        return (joined[1:] if joined[:1] == b" " and first != self.unk else joined).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -176,3 +176,22 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, fold:
     model = train(stats, labels, keep=lambda doc_id: crc_class(doc_id, modulus) != fold)
     return score(stats, model).select(
         "doc_id", (crc_class(F.col("doc_id"), modulus) == fold).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, fold: int = 1, id_col: str = "doc_id",
+              text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose whole text (null: empty) scores ``threshold`` or more, all columns kept. The model learns
+    from the labelled ids outside ``fold``; statistics of a row are made where the row is, so nothing else moves."""
+    keep = lambda doc_id: crc_class(doc_id, modulus) != fold
+    marked = labels.where(keep(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    model = train(written(document_statistics(documents(docs, id_col, text_col).join(marked, "doc_id", "left_semi")), "quality_statistics"),
+                  labels, keep=keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def quality(texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype="float64")
+        return pd.Series(shared.value.score(np.array([statistics(t) for t in texts], float)))
+
+    return docs.where(quality(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)

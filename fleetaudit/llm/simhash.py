@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, written
+from .common import documents, fresh, pieces, written
 from .components import components
 
 WORDS, SEED, BITS, POSITIONS = 3, 42, 3, 8
@@ -54,15 +54,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every whole text: A-Z lowered, words between ASCII white
-    space, three-word shingles with repeats, XXH64 with seed 42, a bit set if over half the hashes have it. Fewer words
-    make one shingle; a null, empty or blank text has fingerprint zero."""
+    """doc_id, text_key (a 64-bit hash of the text) and fp (the fingerprint's bits as a long) of every whole text: A-Z
+    lowered, words between ASCII white space, three-word shingles with repeats, XXH64 with seed 42, a bit set if over
+    half the hashes have it. Fewer words make one shingle; a null, empty or blank text has fingerprint zero."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
             fp = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy(), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy(), "text_key": batch["text_key"].to_numpy(), "fp": fp})
 
-    return documents(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+    keyed = documents(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInPandas(run, "doc_id long, text_key long, fp long")
 
 
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -145,12 +146,30 @@ def links(distinct: DataFrame, chunk: int = 4096) -> DataFrame:
             .mapInPandas(run, "a long, b long").distinct())
 
 
+def _grouped(found: DataFrame) -> DataFrame:
+    """fp, root (a fingerprint that names the component) and least (its smallest id) of every distinct fingerprint."""
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_distinct")
+    return components(links(distinct.select("fp")), distinct.select(F.col("fp").alias("node"), "least")).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest id reachable over links, per row.
 
     Null ids never name a component unless it has no other id; repeated rows are kept as they are."""
     found = written(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_distinct")
-    roots = components(links(distinct.select("fp")), distinct.select(F.col("fp").alias("node"), "least"))
-    return found.join(roots.withColumnRenamed("node", "fp"), "fp").select(
+    return found.join(written(_grouped(found), "simhash_groups"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: that of the smallest id (a null id comes first), of these
+    the smallest hash of the text, of equal rows any one."""
+    key, text_key, turn = (fresh(docs, n) for n in ("near_key", "near_text_key", "near_turn"))
+    found = written(fingerprints(docs, id_col, text_col), "simhash")
+    grouped = found.join(written(_grouped(found), "simhash_groups"), "fp")
+    first = written(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("f"))
+                    .select(F.col("f.doc_id").alias(key), F.col("f.text_key").alias(text_key)).distinct(), "simhash_kept")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(text_key)))
+    order = Window.partitionBy(key, text_key).orderBy(text_key)
+    return one.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(key, text_key, turn)
