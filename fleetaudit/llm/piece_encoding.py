@@ -60,17 +60,28 @@ class PieceEncoder:
         automaton = ahocorasick.Automaton()
         for piece in self.score:
             if len(piece) > 1:
-                automaton.add_word(piece, piece)
+                automaton.add_word(piece, (piece, len(piece)))
         automaton.make_automaton()
         self.automaton = automaton
-        crossing = any(MARK in piece.lstrip(MARK) for piece in self.score)
-        line = "" if any("\n" in p for p in self.score if len(p) > 1) else "\n"
-        self.cut = (lambda text: [text]) if crossing else re.compile(
-            f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else "")).findall
-        self.compatible: dict[tuple[str, str], bool] = {}
+        self.cut = self._cutter()
+        self.follows: dict[str, dict[str, bool]] = {}  # by piece: what may stand in front of it, "" for nothing
         self.known: dict[str, bytes] = {}
         self.limit, self.longest = limit, longest
 
+    def _cutter(self):
+        """Cuts a text at places no piece crosses: in front of a space mark behind another character, on both sides of a
+        line feed, and in front of a mark of punctuation behind a letter; of these, whichever the pieces allow."""
+        if any(MARK in piece.lstrip(MARK) for piece in self.score):
+            return lambda text: [text]
+        behind: dict[str, set[str]] = {}
+        for piece in self.score:
+            for a, b in zip(piece, piece[1:]):
+                behind.setdefault(b, set()).add(a)
+        line = "" if any("\n" in p for p in self.score if len(p) > 1) else "\n"
+        marks = "".join(re.escape(c) for c in ".,!?;:%&$#*|" if not any(a.isalpha() for a in behind.get(c, ())))
+        letters = f"{MARK}*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[{marks}])|" if marks else ""
+        return re.compile(letters + f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else "")).findall
+
     def merged(self, text: str) -> list[str]:
         """The model's own definition: join the neighbours of the best score, leftmost first, while any join is a
         piece. Only ever called on the text of two tokens."""
@@ -83,33 +94,33 @@ class PieceEncoder:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.compatible.get(key)
-        if known is None:
-            if len(self.compatible) > 2_000_000:
-                self.compatible.clear()
-            known = self.compatible[key] = self.merged(a + b) == [a, b]
-        return known
+    def fits(self, before: str, piece: str) -> bool:
+        """Whether a text can end in ``piece`` behind the token ``before`` (empty: behind nothing)."""
+        known = self.follows.get(piece)
+        if known is None or len(known) > 100_000:
+            known = self.follows[piece] = {}
+        got = known.get(before)
+        if got is None:
+            got = known[before] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return got
 
     def tokens(self, text: str) -> list[str]:
         """The tokens of ``text`` (marks already in place), by the prefix table."""
-        n = len(text)
-        if not n:
-            return []
-        ends: dict[int, list[str]] = {}
-        for end, piece in self.automaton.iter(text):
-            ends.setdefault(end, []).append(piece)
         last: list[str] = []
-        for i, char in enumerate(text):
-            for piece in ends.get(i, ()):
-                j = i - len(piece)
-                if (self.fits(last[j], piece) if j >= 0 else self.merged(piece) == [piece]):
-                    last.append(piece)
-                    break
-            else:
-                last.append(char)
-        out, i = [], n - 1
+        n = 0
+        # matches come by where they end, of one end the longest first
+        for end, (piece, size) in self.automaton.iter(text):
+            if n > end:
+                continue
+            while n < end:
+                last.append(text[n])
+                n += 1
+            j = end - size
+            if self.fits(last[j] if j >= 0 else "", piece):
+                last.append(piece)
+                n += 1
+        last.extend(text[n:])
+        out, i = [], len(text) - 1
         while i >= 0:
             out.append(last[i])
             i -= len(last[i])
