@@ -33,6 +33,27 @@ def normalize_line(col) -> Column:
     return F.substring(F.trim(F.regexp_replace(_c(col), WHITESPACE, " ")), 1, 300)
 
 
+def yaml_section(text: Column, key: str, indent: str = "") -> Column:
+    """Body of a YAML mapping key (a pattern) at a given indent: the lines below it that are blank or lie deeper; empty
+    without the key. It goes line by line, as a pattern that repeats whole lines needs a stack frame for each."""
+    lines = F.split(text, "\n")
+
+    def below(every: Column) -> Column:
+        return let(F.array_position(F.transform(every, lambda t: t.rlike(rf"^{indent}{key}:[ \t]*$")), True), lambda at: F.when(
+            at > 0, let(F.slice(every, at.cast("int") + 1, F.size(every)), upto)).otherwise(""))
+
+    def upto(rest: Column) -> Column:
+        out = F.array_position(F.transform(rest, lambda t: (t != "") & ~t.rlike(rf"^{indent}[ \t]")), True).cast("int")
+        return F.array_join(F.when(out > 0, F.slice(rest, 1, out - 1)).otherwise(rest), "\n")
+
+    return let(lines, below)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_lines(col) -> Column:
     """Lines of a text, without the empty piece after a final line break."""
     parts = F.split(_c(col), LINE_BREAK)
@@ -47,7 +68,7 @@ def line_count(col) -> Column:
 
 
 def normalize_path(col) -> Column:
-    return F.regexp_replace(F.translate(_c(col), "\\", "/"), r"^(\./)+", "")
+    return F.regexp_replace(F.translate(_c(col), "\\", "/"), r"^(?:\./)++", "")
 
 
 def relative_path(col, root: str) -> Column:
@@ -99,7 +120,7 @@ def is_test_path(col) -> Column:
 def rule_family(col) -> Column:
     """The cross-tool family of a rule, or null."""
     rule = _c(col)
-    table = {r: family for family, rules in V.RULE_FAMILIES.items() for r in rules}
+    table = V.RULE_FAMILY
     secret = rule.startswith(V.TRIVY_SECRET_PREFIX) | (
         rule.startswith(V.SECRET_RULE_PREFIX) & (rule != V.SECRET_RULE_EXCEPTION))
     semgrep = F.lit(None).cast("string")
@@ -142,7 +163,7 @@ def glob_regex(glob: Column) -> Column:
 
 def language(path) -> Column:
     """Language by file suffix, Dockerfiles by name."""
-    table = {ext: lang for lang, exts in V.EXTENSIONS.items() for ext in exts}
+    table = V.LANGUAGE_OF_SUFFIX
     name = basename(path)
     by_name = F.when((name == "Dockerfile") | name.startswith("Dockerfile."), F.lit("dockerfile"))
     return F.coalesce(lookup(suffix(path), table), by_name)

@@ -10,7 +10,7 @@ from .core import _c, lookup
 
 def version_tuple(version) -> Column:
     """Numbers of a plain release such as 1.2.3 or v2.0; null for anything else."""
-    text = F.regexp_extract(F.trim(_c(version)), r"^v?(\d+(?:\.\d+)*)$", 1)
+    text = F.regexp_extract(F.trim(_c(version)), r"^v?(\d+(?:\.\d+)*+)$", 1)
     return F.when(text != "", F.transform(F.split(text, r"\."), lambda x: x.cast("int")))
 
 

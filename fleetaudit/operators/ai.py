@@ -11,7 +11,7 @@ from . import AUDIT
 from .findings import ai_candidates
 
 # Response limits.
-TEXT, STEP, PATCH, STEPS, SUMMARY, RISKS, RISK, OBSERVATIONS = 2000, 500, 4000, 5, 3000, 5, 300, 5
+TEXT, STEP, PATCH, STEPS, SUMMARY, RISKS, RISK = 2000, 500, 4000, 5, 3000, 5, 300
 LIKELIHOODS = ["low", "medium", "high"]
 # End of fixed values
 
@@ -59,9 +59,9 @@ def explanations(responses: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def observations(responses: DataFrame, files: DataFrame) -> DataFrame:
-    """Unscored observations out of summary responses: known categories, at most five, unknown files blanked."""
+    """Unscored observations out of summary responses: known categories, unknown files blanked."""
     parsed = responses.withColumn("s", F.from_json("response", SUMMARIES)).filter(F.col("s.summary").isNotNull())
-    rows = parsed.select(*AUDIT, F.posexplode(F.slice("s.observations", 1, OBSERVATIONS)).alias("emit_idx", "o")).select(
+    rows = parsed.select(*AUDIT, F.posexplode("s.observations").alias("emit_idx", "o")).select(
         *AUDIT, F.col("emit_idx").cast("long").alias("emit_idx"), _clean(F.col("o.title"), 200).alias("title"),
         _clean(F.col("o.description"), 1500).alias("description"), F.col("o.category").alias("category"),
         F.coalesce("o.file_path", F.lit("")).alias("file_path"))

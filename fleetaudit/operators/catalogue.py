@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.core import _c
 from ..functions.text import snake
 from . import REPO
-from .findings import top_k
 
 # Type families, name patterns and limits.
 FAMILIES = [
@@ -47,14 +46,13 @@ REFERENCE_MODEL = (
     r"(?i)^(?:countr(?:y|ies)|currenc(?:y|ies)|languages?|locales?|time_?zones?|roles?|permissions?|settings?|"
     r"config(?:uration)?s?|feature_?flags?|features?|plans?|regions?|provinces?|states?|statuses|status|units?|"
     r"\w*types?|\w*kinds?|\w*categor(?:y|ies)|\w*choices?|\w*enums?)$")
-MAX_PER_RULE = 30
 # End of fixed values
 
 
 def type_family(col) -> Column:
     """Comparable family of a SQL or ORM type name; empty when unknown."""
     t = F.lower(F.trim(F.coalesce(_c(col), F.lit(""))))
-    t = F.regexp_replace(t, r"^(?:(?:db|sa|sqlalchemy|types|models|postgresql|mysql|sqlite|pg|dialects)\.)+", "")
+    t = F.regexp_replace(t, r"^(?:(?:db|sa|sqlalchemy|types|models|postgresql|mysql|sqlite|pg|dialects)\.)++", "")
     t = F.regexp_replace(t, r"^mapped\[(?:optional\[)?|\]+$", "")
     out = F.substring_index(t, "(", 1)
     for family, pattern in reversed(FAMILIES):
@@ -74,11 +72,6 @@ def issue(rows: DataFrame, rule: str, title: Column, severity, confidence: str =
         F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind"), "file", F.col("line").cast("int").alias("line"))
 
 
-def capped(issues: DataFrame, limit: int = MAX_PER_RULE) -> DataFrame:
-    order = [F.col("file"), F.coalesce("line", F.lit(0)), F.col("title")]
-    return top_k(issues, [*REPO, "rule"], order, limit).drop("rank")
-
-
 def leading(columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """(repo, tbl, col) of columns some key or index starts with."""
     keys = columns.filter(F.col("pk") | F.col("is_unique")).select(*REPO, "tbl", "col")
@@ -367,8 +360,7 @@ def migration_issues(ops: DataFrame, columns: DataFrame, dialects: DataFrame) ->
     hits = rows.withColumn("i", picked).filter(F.col("i").isNotNull()).select(
         *REPO, F.concat(F.lit("database."), F.col("i.rule")).alias("rule"), F.col("i.title").alias("title"),
         F.col("i.severity").alias("severity"), F.col("i.confidence").alias("confidence"), F.col("i.how").alias("kind"),
-        "file", F.col("line").cast("int").alias("line"), "mig_seq", "op_seq")
-    limited = top_k(hits, [*REPO, "rule"], [F.col("mig_seq"), F.col("op_seq")], MAX_PER_RULE).drop("rank", "mig_seq", "op_seq")
+        "file", F.col("line").cast("int").alias("line"))
     first = ops.filter((F.col("tool") == "alembic") & F.col("downgrade").isin("missing", "empty")).groupBy(*mig).agg(
         F.min_by(F.struct("file", "line"), "op_seq").alias("at")).select(*REPO, "at.file", "at.line")
     one_way = issue(first, "irreversible-migration", F.lit("Alembic migration has no downgrade"), "low")
@@ -376,7 +368,7 @@ def migration_issues(ops: DataFrame, columns: DataFrame, dialects: DataFrame) ->
         F.min_by(F.struct("kind", "file", "line"), "op_seq").alias("at")).select(*REPO, "at.*")
     label = F.when(F.col("kind") == "run_python", "RunPython").otherwise("RunSQL")
     titled = bare.withColumn("_t", F.concat(label, F.lit(" without a reverse operation"))).drop("kind")
-    return limited.unionByName(one_way).unionByName(issue(titled, "irreversible-migration", F.col("_t"), "low"))
+    return hits.unionByName(one_way).unionByName(issue(titled, "irreversible-migration", F.col("_t"), "low"))
 
 
 def missing_migrations(files: DataFrame, models: DataFrame) -> DataFrame:
@@ -403,4 +395,4 @@ def schema_issues(columns: DataFrame, indexes: DataFrame, relations: DataFrame,
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return capped(out)
+    return out

@@ -163,7 +163,7 @@ def search(findings: DataFrame, *, severity=None, category=None, kind=None, life
     if triage in V.TRIAGE_STATUSES:
         out = out.filter(F.col("triage_status") == triage)
     if text:
-        needle = f"%{text[:100]}%"
+        needle = f"%{text}%"
         out = out.filter(F.col("title").ilike(needle) | F.col("file_path").ilike(needle)
                          | F.col("rule_id").ilike(needle))
     return out

@@ -31,7 +31,8 @@ EXEMPT_DIRS = ["migrations", "alembic", "scripts", "bin", "seeds", "seed", "mana
 CONFIG_NAMES = ["config", "configuration", "settings", "env", "conf", "environment"]
 UNIT_MANIFESTS = ["package.json", "requirements.txt", "pyproject.toml", "setup.py", "go.mod", "Dockerfile"]
 LAYER_RANK = {"data": 0, "service": 1, "controller": 2}
-PY_ROUTE = r"(?m)^\s*@\w+(?:\.\w+)*\.(?:route|get|post|put|patch|delete|api_route|websocket)\("
+PY_ROUTE = (r"(?m)^\s*@\w+(?:\.(?!(?:route|get|post|put|patch|delete|api_route|websocket)\()\w+)*+"
+            r"\.(?:route|get|post|put|patch|delete|api_route|websocket)\(")
 DJANGO_VIEW = (r"(?m)^\s*(?:async\s+)?def\s+\w+\(\s*request\b|^class\s+\w+\([^)]*(?:View|ViewSet|APIView)\b")
 JS_ROUTE = r"\b(?:app|router|server|api|\w+Router)\.(?:get|post|put|patch|delete|all)\(\s*[\"'`]/"
 NEST_CONTROLLER = r"@Controller\("
@@ -58,7 +59,7 @@ JS_MODEL = r"\bmongoose\.model\(|\bnew\s+(?:mongoose\.)?Schema\(|\bsequelize\.de
 ENV_READ = r"os\.environ|os\.getenv|process\.env|import\.meta\.env"
 JS_EXPORT = (r"(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\b")
 FAN_OUT, CONFIG_SPRAWL, CONFIG_BYPASS, EXPORTS, PACKAGE_FILES, ROOT_FILES = 25, 12, 5, 40, 40, 15
-NO_SERVICE_HANDLERS, SCATTERED_FILES, SCATTERED_DIRS, MAX_PER_RULE, SHOWN = 4, 6, 3, 30, 12
+NO_SERVICE_HANDLERS, SCATTERED_FILES, SCATTERED_DIRS, SHOWN = 4, 6, 3, 12
 # End of fixed values
 
 NAME = "architecture"
@@ -252,7 +253,7 @@ def _shown(members: DataFrame, keys: list[str], n: int = SHOWN) -> DataFrame:
 
 
 def import_cycles(components: DataFrame) -> DataFrame:
-    rows = top_k(_shown(components, AUDIT), AUDIT, [F.col("component")], MAX_PER_RULE)
+    rows = _shown(components, AUDIT)
     return emit(rows, NAME, CYCLE, path=F.get("nodes", F.lit(0)),
                 title=F.concat(F.lit("Circular dependency between "), F.col("size").cast("string"), F.lit(" modules")),
                 severity=F.when(F.col("size") > 2, "medium").otherwise("low"),
@@ -279,7 +280,7 @@ def package_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def package_cycle_findings(edges: DataFrame, components: DataFrame) -> DataFrame:
-    rows = top_k(_shown(package_cycles(edges, components), AUDIT, 4), AUDIT, [F.col("component")], MAX_PER_RULE)
+    rows = _shown(package_cycles(edges, components), AUDIT, 4)
     return emit(rows, NAME, PACKAGE_CYCLE, path=F.get("nodes", F.lit(0)),
                 title=F.concat(F.lit("Packages depend on each other: "), F.array_join("nodes", ", ")))
 
@@ -326,7 +327,6 @@ def upward_imports(edges: DataFrame, layer_table: DataFrame) -> DataFrame:
 def dependency_direction(edges: DataFrame, layer_table: DataFrame) -> DataFrame:
     rows = upward_imports(edges, layer_table).groupBy(*AUDIT, "src", "src_layer").agg(
         F.max(F.col("dst_layer") == "controller").alias("_top"))
-    rows = top_k(rows, AUDIT, [F.col("src")], MAX_PER_RULE)
     return emit(rows, NAME, DIRECTION, path=F.col("src"),
                 title=F.concat(F.initcap("src_layer"), F.lit("-layer module imports a higher layer")),
                 severity=F.when(F.col("_top"), "medium").otherwise("low"))
@@ -382,7 +382,7 @@ def boundary_findings(edges: DataFrame, files: DataFrame, layer_table: DataFrame
              title=F.concat("ua", F.lit(" imports code from the "), "ub", F.lit(" service")))
     b = emit(inner, NAME, BOUNDARY, path=F.col("src"), evidence=F.concat("src", F.lit(" → "), F.col("at.dst")),
              title=F.concat(F.col("at.fa"), F.lit(" reaches into the internals of "), F.col("at.fb")))
-    return top_k(a.unionByName(b), AUDIT, [F.col("file_path"), F.col("evidence")], MAX_PER_RULE).drop("rank")
+    return a.unionByName(b)
 
 
 # --- structure -------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ severity_overrides array<struct<pattern, severity>>, disable_analyzers array<str
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import at_or_above, change_exceeds, is_scored
@@ -170,10 +170,9 @@ def evaluate(candidates: DataFrame, audits: DataFrame, outcomes: DataFrame, poli
                           "reasons")
 
 
-def annotations(candidates: DataFrame, policies: DataFrame, cap: int = 50) -> DataFrame:
-    """File-level gate notes per audit, blocking findings first."""
+def annotations(candidates: DataFrame, policies: DataFrame) -> DataFrame:
+    """File-level gate notes, numbered per audit, blocking findings first."""
     from ..functions.core import severity_rank
-    from .findings import top_k
 
     rows = candidates.filter(F.col("file_path") != "").join(
         compiled(policies).select(*REPO, "path_gates", "fail_on"), REPO)
@@ -181,7 +180,8 @@ def annotations(candidates: DataFrame, policies: DataFrame, cap: int = 50) -> Da
     order = [F.col("blocking").desc(), severity_rank().desc(), F.col("file_path"), F.coalesce("line_start", F.lit(0)),
              F.col("fingerprint"), F.col("emit_idx")]
     line = F.coalesce("line_start", F.lit(1))
-    return top_k(rows, AUDIT, order, cap).select(
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*AUDIT).orderBy(*order)))
+    return rows.select(
         *AUDIT, "rank", F.col("file_path").alias("path"), line.alias("start_line"),
         F.greatest(line, F.coalesce("line_end", line)).alias("end_line"),
         F.when(F.col("blocking"), "failure").otherwise("warning").alias("annotation_level"),

@@ -106,9 +106,7 @@ VALID_CTES = f"""
     FROM titled f JOIN files x ON x.audit_id = f.audit_id AND x.path = f.file_path WHERE f.file_path <> ''
     UNION ALL SELECT * FROM titled WHERE file_path = '')"""
 
-_FAMILY_ARMS = " ".join(
-    "WHEN rule_id IN (" + ", ".join(f"'{r}'" for r in rules) + f") THEN '{fam}'"
-    for fam, rules in V.RULE_FAMILIES.items())
+_FAMILY_ARMS = " ".join(f"WHEN rule_id = '{rule}' THEN '{family}'" for rule, family in V.RULE_FAMILY.items())
 FAMILY = (f"CASE {_FAMILY_ARMS} WHEN rule_id LIKE 'trivy:secret-%' OR (rule_id LIKE '{NS}secrets.%' AND rule_id <> "
           f"'{NS}secrets.env-file-committed') THEN 'hardcoded-secret' WHEN rule_id LIKE 'semgrep:%' THEN "
           "CASE WHEN lower(rule_id) LIKE '%sql%' THEN 'sql-injection' WHEN lower(rule_id) LIKE '%subprocess-shell%' "

@@ -395,7 +395,8 @@ PLANS = [
         SC.category_scores(findings(t), outcomes(t), t.audits), fix_pairs(t).select(
             *REPO, F.col("previous_audit_id").alias("base_id"), F.col("audit_id").alias("head_id"))).select(
         "base_id", "head_id", "category", (F.col("base_score") * 10).cast("int").alias("base10"),
-        (F.col("head_score") * 10).cast("int").alias("head10")), f"""WITH {BASE_CTES}, {CATEGORY_CTES}
+        (F.col("head_score") * 10).cast("int").alias("head10")), f"""WITH {BASE_CTES.replace('based AS (', 'based AS MATERIALIZED (')},
+        {CATEGORY_CTES.replace('category_scores AS (', 'category_scores AS MATERIALIZED (')}
         SELECT b.previous_audit_id AS base_id, b.audit_id AS head_id, h.category, p.score10 AS base10, h.score10 AS head10
         FROM based b JOIN category_scores h ON h.audit_id = b.audit_id
         JOIN category_scores p ON p.audit_id = b.previous_audit_id AND p.category = h.category"""),
@@ -496,7 +497,7 @@ PLANS = [
                  fingerprint, emit_idx) AS rank, file_path AS path, coalesce(line_start, 1) AS start_line,
                greatest(coalesce(line_start, 1), coalesce(line_end, line_start, 1)) AS end_line,
                CASE WHEN b THEN 'failure' ELSE 'warning' END AS annotation_level, concat('[', severity, '] ', title) AS title
-        FROM g QUALIFY rank <= 50"""),
+        FROM g"""),
     ("fix_resolution", lambda t: fix_runs(t)[0].select("audit_id", "emit_idx", "resolved"),
      f"WITH {FIX_CTES} SELECT audit_id, emit_idx, resolved FROM judged"),
     ("fix_introduced", lambda t: fix_runs(t)[1].select("audit_id", "rule_id", "file_path", "line_start"),

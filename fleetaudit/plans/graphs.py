@@ -117,8 +117,7 @@ MIG_SQL = """
       WHEN kind = 'add_unique' AND pg THEN struct_pack(r := 'unsafe-migration', t := concat('Unique constraint on ', w, ' built while blocking writes'), s := 'medium')
       WHEN kind = 'update' THEN struct_pack(r := 'unsafe-migration', t := concat('Data backfill of ', w, ' inside a schema migration'), s := 'low')
       END AS i FROM seen),
-  listed AS (SELECT repo_id, i.r AS rule, i.t AS title, i.s AS severity FROM judged WHERE i IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY repo_id, i.r ORDER BY mig_seq, op_seq) <= 30)"""
+  listed AS (SELECT repo_id, i.r AS rule, i.t AS title, i.s AS severity FROM judged WHERE i IS NOT NULL)"""
 
 PLANS = [
     ("import_cycles", lambda t: G.strongly_connected(_edges(t)).select("repo_id", "node", "component", "size"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +104,7 @@ def advisories(t) -> DataFrame:
 ADV = """adv AS (SELECT concat('GHSA-', p_partkey) AS vid, CASE WHEN p_partkey % 2 = 0 THEN 'PyYAML' ELSE 'flask' END AS name,
     CASE WHEN p_partkey % 2 = 0 THEN concat(p_size % 5, '.', p_partkey % 7) ELSE concat(p_size % 4, '.0') END AS version,
     CASE WHEN p_partkey % 2 = 0 THEN concat('CVE-2024-', p_partkey) ELSE concat('GHSA-', p_partkey) END AS shown,
-    CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'critical' END AS severity FROM part
-    QUALIFY row_number() OVER (PARTITION BY name, version ORDER BY vid) <= 50)"""
+    CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'critical' END AS severity FROM part)"""
 PINS = """pins AS (SELECT repo_id, 'PyPI' AS ecosystem, name, version, source FROM (
       SELECT repo_id, 'flask' AS name, '1.0' AS version, 'requirements.txt' AS source FROM cust WHERE k % 3 = 0
       UNION ALL SELECT repo_id, 'flask', '2.0', 'requirements.txt' FROM cust WHERE k % 6 = 0
@@ -221,7 +222,7 @@ def _popular(t) -> DataFrame:
 
 def _reachability(t) -> DataFrame:
     """Pinned packages with advisories, judged against the imports and declarations of their repository."""
-    found = D.vulnerabilities(MF.collect_pins(t.repo_files), advisories(t), 1)
+    found = D.vulnerabilities(MF.collect_pins(t.repo_files), advisories(t))
     direct = MF.python_declared(t.repo_files).select(*AUDIT, F.col("dist").alias("package"))
     return D.reachability(found, D.external_imports(lines(t)), direct)
 
@@ -348,11 +349,11 @@ PLANS = [
         SELECT repo_id, concat('vuln:', shown) AS rule_id, severity, concat(p.name, ' ', p.version, ': ', shown) AS title, source AS file_path
         FROM pins p JOIN adv ON adv.name = p.name AND adv.version = p.version AND p.ecosystem = 'PyPI'"""),
     ("reachability", lambda t: _reachability(t).select("repo_id", "rule_id", "title", "reachability", "confidence"), f"""
-        WITH {CUST}, {PINS}, {ADV}, one AS (SELECT * FROM adv QUALIFY row_number() OVER (PARTITION BY name, version ORDER BY vid) = 1)
+        WITH {CUST}, {PINS}, {ADV}
         SELECT repo_id, concat('vuln:', shown) AS rule_id, concat(p.name, ' ', p.version, ': ', shown) AS title,
           CASE WHEN lower(p.name) = 'pyyaml' THEN 'imported' ELSE 'not-imported' END AS reachability,
           CASE WHEN lower(p.name) = 'pyyaml' THEN 'high' ELSE 'medium' END AS confidence
-        FROM pins p JOIN one ON one.name = p.name AND one.version = p.version AND p.ecosystem = 'PyPI'"""),
+        FROM pins p JOIN adv ON adv.name = p.name AND adv.version = p.version AND p.ecosystem = 'PyPI'"""),
     ("registry_checks", lambda t: D.registry_findings(_declared(t), _registry(t), "2001-05-01").select("repo_id", "file_path", "title"), f"""
         WITH {CUST}, reg AS (SELECT s_suppkey % 4 AS c, min(s_suppkey) AS n FROM supplier GROUP BY 1),
         d AS (SELECT r.c, r.n, 31 * 0 AS z, date_diff('day', make_date(2001, CAST(n % 9 + 1 AS INT), 15), DATE '2001-05-01') AS age FROM reg r)
@@ -369,7 +370,7 @@ PLANS = [
         FROM pins p JOIN reg ON reg.name = lower(p.name) AND p.ecosystem = 'PyPI'
         WHERE CASE WHEN CAST(split_part(version, '.', 1) AS INT) > 0 OR mj > 0 THEN mj > CAST(split_part(version, '.', 1) AS INT)
               ELSE 1 > CAST(split_part(version, '.', 2) AS INT) END GROUP BY ALL"""),
-    ("undeclared_imports", lambda t: D.undeclared_imports(lines(t), t.repo_files, ["os", "sys"]).select(
+    ("undeclared_imports", lambda t: D.undeclared_imports(lines(t), t.repo_files, sorted(sys.stdlib_module_names)).select(
         "repo_id", "file_path", "line_start", "title"), f"""WITH {CUST}
         SELECT repo_id, 'app/services.py' AS file_path, 2 AS line_start, 'Import of undeclared package ''boto3''' AS title FROM cust WHERE k % 3 = 0
         UNION ALL SELECT repo_id, 'app/models.py', 1, 'Import of undeclared package ''sqlalchemy''' FROM cust
@@ -391,9 +392,8 @@ PLANS = [
      f"""WITH {DLINES}, n AS (SELECT doc_id, line_no, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS s FROM dlines),
         kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM n WHERE length(s) > 3
                  AND NOT regexp_matches(s, '^(import |from |#|//|\\}}|\\)|\\])')),
-        small AS (SELECT doc_id FROM documents WHERE len(string_split(text, chr(10))) <= 5000),
         w AS (SELECT doc_id, list(s) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS l FROM kept),
-        h AS (SELECT DISTINCT doc_id, sha1(array_to_string(l, chr(10))) AS hash FROM w JOIN small USING (doc_id) WHERE len(l) = 12)
+        h AS (SELECT DISTINCT doc_id, sha1(array_to_string(l, chr(10))) AS hash FROM w WHERE len(l) = 12)
         SELECT lang, source, hash, count(*) AS copies FROM h JOIN documents USING (doc_id) GROUP BY ALL HAVING count(*) > 1"""),
     ("maintainability_rules", lambda t: _found(CODE.maintainability(tables(t))), f"""WITH {CUST}
         SELECT repo_id, 'maintainability.swallowed-exception' AS rule, 'src/server.js' AS file_path,

@@ -104,6 +104,15 @@ def _decisions(t) -> DataFrame:
     return SK.decisions_csv(events, found, runs)
 
 
+def _report(t) -> DataFrame:
+    """The report lines, read back from their JSON."""
+    lines = SK.report_lines(audit_findings(t), t.audits).withColumn("j", F.from_json(
+        "value", "branch string, count int, rule_id string, fingerprint string, title string, severity string, file_path string, "
+                 "line_start int, triage_status string"))
+    return lines.select("audit_id", "section", "rank", "j.branch", F.col("j.count").alias("n"), "j.rule_id", "j.fingerprint", "j.title",
+                        "j.severity", "j.file_path", "j.line_start", "j.triage_status")
+
+
 def _responses(t) -> DataFrame:
     """Model answers for every request batch, derived from the payload ids: unknown, repeated and empty ones mixed in."""
     batches = AI.request_batches(audit_findings(t), 4, 2)
@@ -205,20 +214,37 @@ PLANS = [
     ("decision_log", lambda t: _decisions(t).select("audit_id", "time", "action", "actor", "details"), """
         SELECT a.audit_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, event_type AS action, CAST(user_id AS VARCHAR) AS actor, props AS details
         FROM events e JOIN audits a ON a.audit_id = CAST(e.event_id AS VARCHAR)"""),
-    ("report_documents", lambda t: SK.documents(audit_findings(t), t.audits).select(
-        "audit_id", F.get_json_object("document", "$.count").cast("int").alias("n"),
-        F.get_json_object("document", "$.meta.branch").alias("branch")), """
-        SELECT a.audit_id, CAST(count(f.audit_id) AS INT) AS n, branch FROM audits a LEFT JOIN audit_findings f ON f.audit_id = a.audit_id GROUP BY ALL"""),
+    ("report_lines", lambda t: _report(t), f"""
+        SELECT audit_id, 'audit' AS section, CAST(0 AS INT) AS rank, branch, CAST(count(f.emit_idx) AS INT) AS n, CAST(NULL AS VARCHAR) AS rule_id,
+          CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS file_path,
+          CAST(NULL AS INT) AS line_start, CAST(NULL AS VARCHAR) AS triage_status
+        FROM audits a LEFT JOIN (SELECT audit_id, emit_idx FROM audit_findings WHERE triage_status = 'open') f USING (audit_id) GROUP BY audit_id, branch
+        UNION ALL SELECT audit_id, 'finding', CAST(row_number() OVER (PARTITION BY audit_id ORDER BY {SEV_RANK} DESC, category, file_path,
+            coalesce(line_start, 0), fingerprint, emit_idx) AS INT), NULL, NULL, rule_id, fingerprint, title, severity, file_path, line_start, triage_status
+        FROM audit_findings WHERE triage_status = 'open'"""),
     ("sarif_results", lambda t: SK.sarif_results(audit_findings(t)).select(
-        "audit_id", "rule_id", F.col("result.level").alias("level"), F.col("result.suppressions").isNotNull().alias("suppressed")), """
+        "audit_id", "rule_id", F.col("result.level").alias("level"), F.col("result.message.text").alias("message"),
+        F.get("result.locations", F.lit(0))["physicalLocation"]["artifactLocation"]["uri"].alias("uri"),
+        F.get("result.locations", F.lit(0))["physicalLocation"]["region"]["startLine"].alias("start_line"),
+        F.col("result.suppressions").isNotNull().alias("suppressed")), """
         SELECT audit_id, rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
-          triage_status <> 'open' AS suppressed FROM audit_findings WHERE kind <> 'ai_observation' AND triage_status <> 'fixed'"""),
-    ("sarif_rules", lambda t: SK.sarif_rules(audit_findings(t)).groupBy("audit_id").agg(F.count(F.lit(1)).alias("rules")), """
-        SELECT audit_id, count(DISTINCT rule_id) AS rules FROM audit_findings WHERE kind <> 'ai_observation' GROUP BY 1"""),
-    ("sarif_documents", lambda t: SK.sarif(audit_findings(t)).select(
-        "audit_id", F.get_json_object("document", "$.version").alias("version"),
-        F.get_json_object("document", "$.runs[0].results[0].ruleId").isNotNull().alias("filled")), """
-        SELECT DISTINCT audit_id, '2.1.0' AS version, true AS filled FROM audit_findings f WHERE triage_status <> 'fixed' AND kind <> 'ai_observation'"""),
+          concat(title, '. ', description, ' Remediation: ', remediation) AS message, nullif(file_path, '') AS uri,
+          CASE WHEN file_path <> '' THEN line_start END AS start_line, triage_status <> 'open' AS suppressed
+        FROM audit_findings WHERE kind <> 'ai_observation' AND triage_status <> 'fixed'"""),
+    ("sarif_rules", lambda t: SK.sarif_rules(audit_findings(t)).select(
+        "audit_id", "rule_id", F.col("rule.shortDescription.text").alias("title"), F.col("rule.properties.category").alias("category"),
+        F.col("rule.properties.security-severity").alias("score")), f"""
+        WITH o AS (SELECT *, row_number() OVER (PARTITION BY audit_id, rule_id ORDER BY {SEV_RANK} DESC, category, file_path, coalesce(line_start, 0),
+            fingerprint) AS rn FROM audit_findings WHERE kind <> 'ai_observation')
+        SELECT audit_id, rule_id, left(title, 200) AS title, category, CASE severity WHEN 'critical' THEN '9.5' WHEN 'high' THEN '8.0'
+          WHEN 'medium' THEN '5.5' WHEN 'low' THEN '3.0' ELSE '0.0' END AS score FROM o WHERE rn = 1"""),
+    ("sarif_lines", lambda t: SK.sarif_lines(audit_findings(t)).select(
+        "audit_id", "section", F.coalesce(F.get_json_object("value", "$.ruleId"), F.get_json_object("value", "$.id")).alias("rule_id"),
+        F.get_json_object("value", "$.partialFingerprints.fingerprint/v1").alias("fingerprint"),
+        F.get_json_object("value", "$.properties.severity").alias("severity")), """
+        WITH s AS (SELECT * FROM audit_findings WHERE triage_status <> 'fixed' AND kind <> 'ai_observation')
+        SELECT DISTINCT audit_id, 'rule' AS section, rule_id, CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS severity FROM s
+        UNION ALL SELECT audit_id, 'result', rule_id, fingerprint, severity FROM s"""),
     ("ai_explanations", lambda t: _explained(t).select("audit_id", "batch", "id", "explanation"), f"""
         WITH c AS (SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY {SEV_RANK} DESC,
              CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, file_path, fingerprint) AS rank

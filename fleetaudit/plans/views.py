@@ -315,7 +315,6 @@ def oracle(sql: str) -> str:
 class Tables:
     """Reads base tables and views of one scale-factor folder."""
 
-    SPREAD = ("documents", "customer")  # tables whose views do real work per row
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -327,20 +326,11 @@ class Tables:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)
 
-    def _scan(self, name: str) -> str:
-        """A table smaller than one split would leave all cores but one idle: spread it. Large tables stay as read."""
-        path = f"{self.folder}/{name}.parquet"
-        hint, cores = "", self.spark.sparkContext.defaultParallelism
-        if name in self.SPREAD:
-            splits = self.spark.read.parquet(path).rdd.getNumPartitions()
-            hint = f"/*+ REPARTITION({cores}) */ " if splits < cores else ""
-        return f"SELECT {hint}* FROM parquet.`{path}`"
-
     def sql(self, text: str) -> DataFrame:
         """Run a view-level SELECT with base tables bound as CTEs (no session-wide names)."""
         used = [n for n in dict.fromkeys(_READS.findall(text)) if n in VIEWS]
         views = with_clause(used)
         body = f"WITH {views} {text}" if views else text
         tables = [n for n in BASE_TABLES if n in _READS.findall(body)]
-        bound = ", ".join(f"{n} AS ({self._scan(n)})" for n in tables)
+        bound = ", ".join(f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}.parquet`)" for n in tables)
         return self.spark.sql(f"WITH {bound}, {body[5:]}" if views else f"WITH {bound} {body}")

@@ -32,7 +32,7 @@ JS_TAUTOLOGY = r"expect\(\s*(true|1|false|null)\s*\)\s*\.\s*(?:toBe|toEqual|toSt
 DEBT_MARKER = r"(?i)(?:#|//|/\*|\*)\s*(?:TODO|FIXME|HACK|XXX)\b"
 EMPTY_CATCH = (r"\bcatch\s*(?:\(\s*\w*\s*\))?\s*\{\s*\}|\.catch\(\s*(?:\(\s*\w*\s*\)|\w+)\s*=>\s*"
                r"(?:\{\s*\}|null|undefined)\s*\)|\.catch\(\s*function\s*\(\s*\w*\s*\)\s*\{\s*\}\s*\)")
-FILE_LINES, DUPLICATE_WINDOW, DUPLICATE_LINES, DUPLICATE_REPORTS = 1000, 12, 5000, 40
+FILE_LINES, DUPLICATE_WINDOW = 1000, 12
 # End of fixed values
 
 
@@ -136,13 +136,12 @@ def kept_lines() -> Column:
     return F.filter(rows, lambda x: (F.length(x["t"]) > 3) & ~x["t"].rlike(r"^(?:import |from |#|//|\}|\)|\])"))
 
 
-def duplicate_windows(files: DataFrame, window: int = DUPLICATE_WINDOW, max_lines: int = DUPLICATE_LINES) -> DataFrame:
+def duplicate_windows(files: DataFrame, window: int = DUPLICATE_WINDOW) -> DataFrame:
     """(hash, path, line_no) of every window of kept lines, once per file and hash.
 
     Windows are cut inside the file's row with array slices: no shuffle until equal hashes meet.
     """
-    rows = files.filter(F.size(split_lines("text")) <= max_lines).select(
-        *AUDIT, "path", kept_lines().alias("_l")).filter(F.size("_l") >= window)
+    rows = files.select(*AUDIT, "path", kept_lines().alias("_l")).filter(F.size("_l") >= window)
     starts = rows.select(*AUDIT, "path", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("_l") - window + 1), lambda k: F.struct(
             F.element_at("_l", k)["n"].alias("line_no"),
@@ -155,21 +154,20 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
     """Blocks found in two or more files: (audit, hash, copies, path, line_no of the first copy).
 
     Copies are counted and the first ones kept with mergeable aggregates; a block copied into a third of all files
-    stays one row per task.
+    stays one row per task. The set of files is named by two independent sums of 64-bit hashes: two sets of one size are
+    taken for one with a probability of about 2^-128.
     """
     return duplicate_windows(files).groupBy(*AUDIT, "hash").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("path", "line_no")).alias("_first"),
-        F.sum(F.xxhash64("path").cast("decimal(38,0)")).alias("_set")).filter("copies > 1").select(
+        F.struct(*(F.sum(F.xxhash64(F.lit(i), "path").cast("decimal(38,0)")).alias(f"s{i}") for i in range(2))).alias("_set")
+    ).filter("copies > 1").select(
         *AUDIT, "hash", "copies", "_first.path", "_first.line_no", "_set")
 
 
 def duplicated_code(files: DataFrame) -> DataFrame:
-    """One finding per set of files that share a block, the first forty per audit."""
-    from ..operators.findings import top_k
-
+    """One finding per set of files that share a block."""
     blocks = duplicate_blocks(files)
-    once = blocks.groupBy(*AUDIT, "copies", "_set").agg(F.min(F.struct("path", "line_no", "hash")).alias("b"))
-    rows = top_k(once, AUDIT, [F.col("b.path"), F.col("b.line_no"), F.col("b.hash")], DUPLICATE_REPORTS)
+    rows = blocks.groupBy(*AUDIT, "copies", "_set").agg(F.min(F.struct("path", "line_no", "hash")).alias("b"))
     return emit(rows, "maintainability", DUPLICATED, path=F.col("b.path"), line=F.col("b.line_no"), title=F.concat(
         F.lit(f"Duplicated code block ({DUPLICATE_WINDOW}+ lines, "), F.col("copies").cast("string"), F.lit(" copies)")))
 

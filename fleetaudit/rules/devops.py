@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, split_lines
+from ..functions.text import basename, split_lines, yaml_section
 from ..operators import AUDIT
 from ..session import cut_lineage
 from ..sources.files import explode_lines
@@ -38,7 +38,7 @@ SCRIPT_KEY = r"^\s*(?:-\s+)?(?:run|script)\s*:(.*)$"
 TEST_COMMAND = (
     r"(?i)\bpytest\b|\bunittest\b|\btox\b|\bnox\b|manage\.py\s+test|\b(?:npm|pnpm|yarn|bun)\s+(?:run\s+)?"
     r"(?:test|ci|check|verify)\b|\bnpx\s+(?:jest|vitest|mocha|playwright|cypress)|\bjest\b|\bvitest\b|\bmocha\b|"
-    r"\bgo\s+test\b|\bcargo\s+test\b|\bmvnw?\s+(?:-\S+\s+)*(?:test|verify|install)\b|\bgradlew?\s+(?:\S+\s+)*"
+    r"\bgo\s+test\b|\bcargo\s+test\b|\bmvnw?\s+(?:-\S+\s+)*+(?:test|verify|install)\b|\bgradlew?\s(?s:.*?)(?<=\s)"
     r"(?:test|check|build)\b|\bmake\s+(?:test|check|ci)\b|\bphpunit\b|\brspec\b|\bdotnet\s+test\b|"
     r"\bplaywright\s+test\b|\bcypress\s+run\b|\bctest\b|\bbazel\s+test\b")
 DEPLOY_COMMAND = (
@@ -180,7 +180,7 @@ def dockerfiles(files: DataFrame) -> DataFrame:
 def yaml_children(files: DataFrame, key: str) -> DataFrame:
     """Children of a top-level YAML mapping: (audit, path, name, line_no, block)."""
     clean = F.regexp_replace("text", r"(?m)^[ \t]*(?:#.*)?\n", "")
-    body = F.regexp_extract(clean, rf"(?m)^{key}\s*:[ \t]*\n((?:[ \t]+.*(?:\n|\z))*)", 1)
+    body = F.rtrim(yaml_section(clean, rf"{key}\s*"), F.lit("\n"))
     rows = files.withColumn("_b", body).filter(F.col("_b") != "")
     rows = rows.withColumn("_i", F.length(F.regexp_extract("_b", r"^([ \t]+)", 1)))
     cut = F.concat(F.lit(r"\n(?=[ \t]{"), F.col("_i").cast("string"), F.lit(r"}[^ \t])"))
@@ -248,7 +248,7 @@ def workflow_jobs(files: DataFrame) -> DataFrame:
     """
     jobs = yaml_children(files.filter(F.col("path").rlike(WORKFLOW)), "jobs")
     inline = F.regexp_extract("block", r"(?m)^\s+needs\s*:[ \t]*(\S.*)$", 1)
-    listed = F.regexp_extract("block", r"(?m)^\s+needs\s*:[ \t]*\n((?:\s+-\s*[\"']?[\w.-]+.*(?:\n|\z))+)", 1)
+    listed = F.regexp_extract("block", r"(?m)^\s+needs\s*:[ \t]*\n((?:\s+-\s*[\"']?[\w.-]+.*(?:\n|\z))++)", 1)
     needs = F.regexp_extract_all(F.when(inline != "", inline).otherwise(
         F.regexp_replace(listed, r"(?m)^\s+-\s*[\"']?([\w.-]+).*$", "$1")), F.lit(r"[\w.-]+"), F.lit(0))
     jobs = jobs.withColumn("needs", needs)
@@ -311,7 +311,7 @@ def kubernetes(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("_base", before).filter(
         F.col("doc").rlike(K8S_WORKLOAD) & F.col("doc").contains("containers:") & ~F.col("doc").contains("{{"))
     kind = F.regexp_extract("doc", K8S_WORKLOAD, 1)
-    name = F.regexp_extract("doc", r"(?m)^metadata:\s*\n(?:[ \t]+.*\n)*?[ \t]+name:\s*[\"']?([\w.-]+)", 1)
+    name = F.regexp_extract(yaml_section(F.col("doc"), "metadata"), r"(?m)^[ \t]+name:\s*[\"']?([\w.-]+)", 1)
     rows = rows.withColumns({
         "kind_": kind, "label": F.concat(kind, F.lit(" `"), F.when(name == "", "?").otherwise(name), F.lit("`")),
         "line_no": F.col("_base") + line_of("doc", K8S_WORKLOAD),

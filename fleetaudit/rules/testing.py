@@ -21,7 +21,7 @@ SOURCE = r"(?i)\.(?:py|ts|tsx|js|jsx|mjs|cjs)$"
 CI_FILES = (r"^(?:\.github/workflows/|(?:\.gitlab-ci\.yml|Jenkinsfile|\.circleci/config\.yml|azure-pipelines\.yml|"
             r"bitbucket-pipelines\.yml)$)")
 CI_TESTS = (r"\b(?:pytest|tox|nox|python -m unittest|npm (?:run )?test|npm t\b|yarn test|pnpm test|jest|vitest|mocha|"
-            r"go test|cargo test|mvn (?:-\S+ )*test|gradlew? test|\./gradlew test|bundle exec rspec|rspec|phpunit|"
+            r"go test|cargo test|mvn (?:-\S+ )*+test|gradlew? test|\./gradlew test|bundle exec rspec|rspec|phpunit|"
             r"dotnet test|make test|playwright test|cypress run)\b")
 NPM_PLACEHOLDER = "no test specified"
 API_CLIENT = (
@@ -56,20 +56,25 @@ CRITICAL_NAMES = [
 ]
 GENERIC_MODULES = ["__init__", "__main__", "index", "main", "app", "conftest"]
 LANGUAGE_GROUPS = {"typescript": "javascript", "vue": "javascript", "svelte": "javascript"}
-PY_ROUTE_PATH = (r"""(?m)^\s*@\w+(?:\.\w+)*\.(route|get|post|put|patch|delete|api_route)\(\s*[rf]?["']([^"']*)["']""")
+PY_ROUTE_PATH = (r"""(?m)^\s*@\w+(?:\.(?!(?:route|get|post|put|patch|delete|api_route)\()\w+)*+"""
+                 r"""\.(route|get|post|put|patch|delete|api_route)\(\s*[rf]?["']([^"']*)["']""")
 JS_ROUTE_PATH = (r"""\b(?:app|router|server|api|\w+Router)\.(get|post|put|patch|delete|all)\(\s*["'`](/[^"'`\n]*)["'`]""")
 DJANGO_PATH = r"""\b(?:re_)?path\(\s*r?["']([^"']*)["']"""
 NEST_PREFIX = r"""@Controller\(\s*["'`]([^"'`]*)["'`]"""
 NEST_ROUTE = r"""@(Get|Post|Put|Patch|Delete|All)\(\s*(?:["'`]([^"'`]*)["'`])?\s*\)"""
-TEST_URL = r"""["'`](?:https?://[^/"'`\s]*)?(/(?:\$?\{[^{}\n]*\}|[^\s\\{"'`])*)"""
-VERSION_SEGMENT = r"(?i)(?:^|/)v\d+(?:[./]|$)"
-VERSION_CODE = r"(?i)accept-version|api-version|x-api-version|application/vnd\.|URLPathVersioning|NamespaceVersioning|AcceptHeaderVersioning|enableVersioning"
-IDEMPOTENCY = r"(?i)idempotency[-_]?key|idempotent"
-MONEY_WORDS = ["payment", "payments", "pay", "charge", "charges", "order", "orders", "checkout", "refund", "refunds",
-               "transfer", "transfers", "payout", "payouts", "purchase", "subscription", "subscriptions", "invoice",
-               "invoices", "deposit", "withdraw", "withdrawal"]
-NOT_A_CREATE = ["webhook", "webhooks", "callback", "search", "preview", "validate", "quote", "estimate", "calculate",
-                "cancel", "list", "export"]
+TEST_URL = r"""["'`](?:https?://[^/"'`\s]*)?(/(?:\$?\{[^{}\n]*\}|[^\s\\{"'`])*+)"""
+VERSION_SEGMENT = r"(?i)(?:^|/)v\d+(?:\.\d+)?(?:/|$)|\{version\}|<(?:\w+:)?version>|:version\b"
+VERSION_CODE = (r"(?i)api[_-]?version|accept-version|versioning|enableVersioning|@Version\(|"
+                r"application/vnd\.")
+IDEMPOTENCY = r"(?i)idempoten"
+MONEY_WORDS = ["pay", "payment", "payments", "charge", "charges", "checkout", "order", "orders", "purchase",
+               "purchases", "transfer", "transfers", "payout", "payouts", "refund", "refunds", "withdraw",
+               "withdrawal", "withdrawals", "deposit", "deposits", "invoice", "invoices", "subscribe", "subscription",
+               "subscriptions", "billing", "transaction", "transactions", "booking", "bookings", "reservation",
+               "reservations", "donate", "donation", "donations", "remit", "topup"]
+NOT_A_CREATE = ["webhook", "webhooks", "callback", "hook", "hooks", "notify", "ipn", "search", "query", "preview",
+                "quote", "estimate", "calculate", "validate", "verify", "status", "filter", "lookup", "export",
+                "report", "reports", "cancel", "list"]
 JS_ERROR_BODY = r"\.status\(\s*[45]\d\d\s*\)\s*\.(?:json|send)\(\s*\{\s*([^{}]*)"
 RATIO_MIN, LANGUAGE_MIN, SUITE_SITES, MODULE_SITES, SETUP_STATEMENTS, SETUP_TESTS = 200, 500, 5, 2, 3, 3
 MIN_API_ROUTES, LISTED = 5, 12

@@ -24,7 +24,7 @@ COOKIE_CONTEXT = r"(?i)cookie|session"
 BARE_COOKIE = r"""\bres\.cookie\(\s*["'`]([\w.-]+)["'`]\s*,\s*[^,()]+(?:\([^()]*\))?\s*\)"""
 SENSITIVE_COOKIE = r"(?i)(?:sess|token|auth|jwt|sid|remember|login|refresh|access|identity)"
 LOG_CALL = (r"\b(?:console|logger|log|winston|pino|this\.logger)\.(?:log|info|warn|error|debug|trace)\s*\((.*)$")
-IDENTIFIER = r"[A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*"
+IDENTIFIER = r"[A-Za-z_$][\w$]*+(?:\??\.[A-Za-z_$][\w$]*+)*+"
 SENSITIVE_WORD = (r"(?:^|_)(?:password|passwd|passphrase|secret|secret_key|api_key|apikey|token|bearer|"
                   r"authorization|credential|credentials|private_key|card_number|cvv|cvc|ssn)(?:_|$)")
 HARMLESS_PREFIX = ["is", "has", "num", "n", "len", "count", "max", "min", "should", "use", "needs", "show"]
@@ -39,14 +39,15 @@ MASKING = (r"(?i)(?:mask|redact|hash|digest|\blen\b|\bbool\b|\btype\b|truncat|ob
            r"sanitiz|anonymi)")
 ANY_ROUTE = r"""\b(?:app|router|server)\.(get|post|put|patch|delete|all)\(\s*["'`]([^"'`]+)["'`]\s*,(.*)$"""
 AUTH_HINT = r"(?i)(?:auth|jwt|passport|session|requireUser|isAuthenticated|protect|guard|verify)"
-GLOBAL_AUTH = (r"\.use\(\s*(?:[\"'`][^\"'`]*[\"'`]\s*,\s*)?(?:[\w.$]+\s*,\s*)*(?![\w$]*(?:Router|Routes|router|routes)\b)"
+GLOBAL_AUTH = (r"\.use\(\s*(?:[\"'`][^\"'`]*[\"'`]\s*,\s*)?(?:[\w.$]+\s*,\s*){0,40}(?![\w$]*(?:Router|Routes|router|routes)\b)"
                r"[\w.$]*(?:auth|Auth|jwt|Jwt|JWT|passport|requireUser|isAuthenticated|protect|guard|Guard)[\w.$]*\s*[(,)]")
 LOOKUP_BY_PARAM = (r"\.(?:findById|findByPk|findOne|findUnique|findFirst|findOneBy|getById|findByIdAndUpdate|findByIdAndDelete|deleteOne|"
                    r"updateOne|update|delete|destroy)\([^;]*req\.params")
 OWNERSHIP = (r"(?i)(?:req\.user|req\.auth|res\.locals\.(?:user|session)|owner|tenant|orgId|organizationId|\b403\b|"
              r"forbidden|authoriz|permission|can\(|ability|policy)")
 RATE_LIMIT = r"(?i)rate-?limit|slow-down|throttl"
-ERROR_HANDLER = r"\(\s*(?:err|error)\s*,\s*\w+\s*,\s*\w+\s*,\s*\w+\s*\)\s*(?:=>|\{)"
+ERROR_HANDLER = (r"\(\s*(?:err|error|e)\s*(?::\s*\w+)?\s*,\s*req\w*\s*(?::\s*\w+)?\s*,\s*res\w*\s*"
+                 r"(?::\s*\w+)?\s*,\s*next\w*|setErrorHandler\(")
 ENV_READ = r"\b(?:process\.env|import\.meta\.env)(?:\.([A-Za-z_]\w*)|\[\s*[\"'`]([A-Za-z_]\w*)[\"'`]\s*\])"
 LOCAL_ENDPOINT = (r"""(?i)["'`](?:[a-z][a-z0-9+.-]*://)(?:[^@/\s"'`]+@)?(?:localhost|127\.0\.0\.1|"""
                   r"""10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})"""
@@ -85,7 +86,7 @@ STATE_DECL = (r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:\{\
 STATE_NAME = (r"(?i)(?:cache|session|store|state|users|items|data|db|records|counter|count|queue|jobs|tokens|carts?|"
               r"orders|visits|memory|registry|buffer|pending|seen|results|messages|rooms|clients)")
 BODY_LIMIT = r"""(?i)\blimit\s*:\s*['"](\d+(?:\.\d+)?)\s*(mb|gb)['"]"""
-LARGE_BODY_MB, MIN_ROUTES, MAX_VARS = 10, 5, 40
+LARGE_BODY_MB, MIN_ROUTES = 10, 5
 # End of fixed values
 
 
@@ -194,10 +195,10 @@ def cookies(files: DataFrame) -> DataFrame:
              title=F.concat(F.lit("Cookie `"), F.col("v"), F.lit("` set without options"))))
 
 
-def logged_credentials(files: DataFrame, per_file: int = 20) -> DataFrame:
-    """Log calls whose arguments name a credential; the first twenty per file."""
+def logged_credentials(files: DataFrame) -> DataFrame:
+    """Log calls whose arguments name a credential."""
     def leak(x: Column) -> Column:
-        args = F.regexp_replace(F.regexp_extract(x["t"], LOG_CALL, 1), r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", "")
+        args = F.regexp_replace(F.regexp_extract(x["t"], LOG_CALL, 1), r"'(?:[^'\\]++|\\.)*+'|\"(?:[^\"\\]++|\\.)*+\"", "")
         names = F.regexp_extract_all(args, F.lit(IDENTIFIER), F.lit(0))
 
         def risky(name: Column) -> Column:
@@ -210,21 +211,20 @@ def logged_credentials(files: DataFrame, per_file: int = 20) -> DataFrame:
         return F.when(~args.rlike(MASKING), F.get(F.filter(names, risky), F.lit(0)))
 
     rows = files.withColumn("_l", _numbered())
-    hits = F.slice(F.filter(F.transform("_l", lambda x: F.struct(x["n"].alias("n"), leak(x).alias("v"))),
-                            lambda h: h["v"].isNotNull()), 1, per_file)
+    hits = F.filter(F.transform("_l", lambda x: F.struct(x["n"].alias("n"), leak(x).alias("v"))), lambda h: h["v"].isNotNull())
     rows = rows.withColumn("_h", F.explode(hits))
     return emit(rows, "api", LOGGED, path=F.col("path"), line=F.col("_h.n"),
                 title=F.concat(F.lit("Credential `"), F.col("_h.v"), F.lit("` written to a log")))
 
 
-def unscoped_lookups(files: DataFrame, window: int = 60) -> DataFrame:
+def unscoped_lookups(files: DataFrame) -> DataFrame:
     """Authenticated routes that load an object by URL parameter with no sign of an ownership check."""
     rows = files.filter(F.col("text").rlike("(?m)" + ANY_ROUTE)).withColumn("_l", _numbered())
     starts = F.filter("_l", lambda x: x["t"].rlike(ANY_ROUTE))
     rows = rows.withColumn("_s", starts)
     rows = rows.withColumn("_s", F.transform("_s", lambda s, k: F.struct(
         s["n"].alias("n"), s["t"].alias("t"),
-        F.least(F.coalesce(F.get("_s", k + 1)["n"], F.size("_l") + 1), s["n"] + window).alias("end"))))
+        F.coalesce(F.get("_s", k + 1)["n"], F.size("_l") + 1).alias("end"))))
     rows = rows.withColumn("_g", F.col("text").rlike(GLOBAL_AUTH)).select("*", F.explode("_s").alias("s"))
     body = F.slice("_l", F.col("s.n"), F.col("s.end") - F.col("s.n"))
     scoped = F.exists(body, lambda x: x["t"].rlike(OWNERSHIP))
@@ -347,8 +347,6 @@ def environment_reads(lines: DataFrame) -> DataFrame:
 
 def undocumented_variables(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Variables no documentation names. Documented words are distinct tokens, so the anti-join stays small."""
-    from ..operators.findings import top_k
-
     reads = environment_reads(js_files(lines))
     name = basename("path")
     docs = files.filter((F.col("path").rlike(DOC_FILE) | name.isin(*ENV_EXAMPLES)) & ~name.isin(*NOT_DOCS)
@@ -359,7 +357,7 @@ def undocumented_variables(files: DataFrame, lines: DataFrame) -> DataFrame:
     example = files.filter(name.isin(*ENV_EXAMPLES)).select(*AUDIT).distinct()
     bare = missing.join(example, AUDIT, "left_anti").groupBy(*AUDIT).agg(
         F.count(F.lit(1)).alias("n"), F.min_by(F.struct("path", "line_no"), "name").alias("at")).filter("n >= 3")
-    listed = top_k(missing.join(example, AUDIT, "left_semi"), AUDIT, [F.col("name")], MAX_VARS)
+    listed = missing.join(example, AUDIT, "left_semi")
     return emit(bare, "configuration", NO_EXAMPLE, path=F.col("at.path"), line=F.col("at.line_no"),
                 title=F.concat(F.col("n").cast("string"), F.lit(
                     " environment variable(s) used but no .env.example and no documentation")),

@@ -1,4 +1,4 @@
-"""Session defaults and the two lineage / broadcast helpers every operator shares."""
+"""Session defaults and the lineage helpers every operator shares."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast explicitly only when its rows are counted and stay under this bound.
-BROADCAST_ROW_LIMIT = 200_000
 
 
 def build_session(app: str = "fleetaudit", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,14 +28,15 @@ def build_session(app: str = "fleetaudit", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only a local master gets its own."""
+    """Use the shared folder the session names in ``spark.checkpoint.dir``. Where none is named, a local master (tests,
+    one machine) gets a folder of its own; a cluster has to name one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="run-checkpoint-")
     sc.setCheckpointDir(shared)
 
@@ -56,9 +53,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Mark ``df`` for broadcast when a bounded count proves it small; otherwise leave the choice to AQE."""
-    probe = df.limit(limit + 1).count()
-    return F.broadcast(df) if probe <= limit else df

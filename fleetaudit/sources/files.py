@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
 
-# Folders never scanned, and the size limit of one file.
+# Folders never scanned.
 SKIP_DIRS = [
     ".git", ".hg", ".svn", "node_modules", "bower_components", ".venv", "venv", "env", "__pycache__",
     ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "dist", "build", ".next", ".nuxt",
     "coverage", "htmlcov", "vendor", "third_party", ".terraform", ".gradle", "target", ".idea", ".vscode",
 ]
-MAX_FILE_BYTES = 2 * 1024 * 1024
 # End of fixed values
 
 
@@ -31,15 +30,14 @@ def decode(content) -> "F.Column":
     return F.when(~has_nul, text)
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Scan ``root/<org>/<repo>/<audit>/…``: one row per text file. Oversized files are pruned by their length
-    before their content is read."""
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """Scan ``root/<org>/<repo>/<audit>/…``: one row per text file of any size Spark's binary source reads (2 GB)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     local = F.regexp_replace("path", "^[a-z0-9]+:(?://[^/]*)?", "")
     parts = F.split(F.substr(local, F.lit(len(prefix) + 2)), "/")
     rel = F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), "/")
-    rows = raw.filter(F.col("length") <= max_bytes).select(
+    rows = raw.select(
         parts[0].alias("org_id"), parts[1].alias("repo_id"), parts[2].alias("audit_id"), rel.alias("path"),
         F.col("length").alias("size"), decode(F.col("content")).alias("text"))
     return rows.filter((F.col("path") != "") & scannable(F.col("path")) & F.col("text").isNotNull())

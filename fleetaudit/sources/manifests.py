@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, python_package, split_lines
+from ..functions.text import basename, python_package, split_lines, yaml_section
 from ..functions.versions import version_tuple
 from ..operators import AUDIT
 
@@ -125,14 +125,9 @@ def toml_lock_packages(files: DataFrame) -> DataFrame:
         (F.col("name") != "") & (F.col("version") != ""))
 
 
-def _section(text: Column, key: str, indent: str = "") -> Column:
-    """Body of a YAML mapping key at a given indent: the following more-indented lines."""
-    return F.regexp_extract(text, rf"(?m)^{indent}{key}:[ \t]*\n((?:(?:{indent}[ \t]+.*)?(?:\n|\z))*)", 1)
-
-
 def pnpm_versions(files: DataFrame) -> DataFrame:
     """Package keys of pnpm-lock.yaml: ``name@version`` or the older ``/name/version_peer``."""
-    keys = F.regexp_extract_all(_section(F.col("text"), "packages"), F.lit(r"(?m)^  ([^\s][^\n]*?):(?:[ \t].*)?$"), F.lit(1))
+    keys = F.regexp_extract_all(yaml_section(F.col("text"), "packages"), F.lit(r"(?m)^  ([^\s][^\n]*?):(?:[ \t].*)?$"), F.lit(1))
     rows = named(files, "pnpm-lock.yaml").select(*AUDIT, "path", F.explode(keys).alias("key"))
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace("key", r"^['\"]+|['\"]+$", ""), r"^/+", ""), r"\(.*$", "")
     rows = rows.withColumn("key", key)
@@ -149,10 +144,10 @@ def pnpm_versions(files: DataFrame) -> DataFrame:
 def pnpm_specifiers(files: DataFrame) -> DataFrame:
     """Declared specifiers of the root project as pnpm-lock.yaml records them (all lockfile versions)."""
     text = F.col("text")
-    root = F.when(text.rlike(r"(?m)^importers:"), _section(_section(text, "importers"), r"['\"]?\.['\"]?", "  ")) \
+    root = F.when(text.rlike(r"(?m)^importers:"), yaml_section(yaml_section(text, "importers"), r"['\"]?\.['\"]?", "  ")) \
         .otherwise(text)
     flat = F.regexp_extract_all(root, F.lit(r"(?m)^\s+(\S[^\n]*?):[ \t]*\n\s+specifier:[ \t]*[^\n]*"), F.lit(0))
-    old = F.regexp_extract_all(_section(root, "specifiers"), F.lit(r"(?m)^\s+\S[^\n]*?:[ \t]+[^\n]+"), F.lit(0))
+    old = F.regexp_extract_all(yaml_section(root, "specifiers"), F.lit(r"(?m)^\s+\S[^\n]*?:[ \t]+[^\n]+"), F.lit(0))
     rows = named(files, "pnpm-lock.yaml").select(*AUDIT, "path", F.explode(F.concat(flat, old)).alias("entry"))
 
     def clean(col: Column) -> Column:

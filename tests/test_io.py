@@ -32,10 +32,10 @@ def test_file_scan(spark):
     write(root, "o/r/a/src/x.py", b"\xef\xbb\xbfa = 1\r\nb = 2\n")
     write(root, "o/r/a/node_modules/m/i.js", b"x")
     write(root, "o/r/a/bin.dat", b"ab\x00cd")
-    write(root, "o/r/a/big.txt", b"x" * 50)
-    files = FS.read_files(spark, root, max_bytes=40)
-    assert {(r.org_id, r.repo_id, r.audit_id, r.path) for r in files.collect()} == {("o", "r", "a", "src/x.py")}
-    assert [(r.line_no, r.text) for r in FS.explode_lines(files).collect()] == [(1, "a = 1"), (2, "b = 2")]
+    write(root, "o/r/a/big.txt", b"x" * 3_000_000)
+    files = FS.read_files(spark, root)
+    assert {(r.org_id, r.repo_id, r.audit_id, r.path) for r in files.collect()} == {("o", "r", "a", "src/x.py"), ("o", "r", "a", "big.txt")}
+    assert [(r.line_no, r.text) for r in FS.explode_lines(files.filter("path = 'src/x.py'")).collect()] == [(1, "a = 1"), (2, "b = 2")]
 
 
 def test_lockfiles(repo):
