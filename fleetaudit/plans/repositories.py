@@ -44,19 +44,30 @@ def _found(df: DataFrame) -> DataFrame:
     return df.select("repo_id", F.expr(f"substring(rule_id, {len(NS) + 1})").alias("rule"), "file_path", "line_start")
 
 
+# One token per customer, composed from its key in both engines, so that no file holds one.
+KEYED_TEXT = """concat('key: ', CASE c_custkey % 9 WHEN 0 THEN concat('AK', 'IA', upper(substr(md5(CAST(c_custkey AS STRING)), 1, 16)))
+    WHEN 1 THEN concat('gh', 'p_', md5(CAST(c_custkey AS STRING)))
+    WHEN 2 THEN concat('github', '_pat_', md5(CAST(c_custkey AS STRING)), md5(CAST(c_custkey AS STRING)))
+    WHEN 3 THEN concat('sk-', 'ant-', md5(CAST(c_custkey AS STRING))) WHEN 4 THEN concat('xo', 'xb-', md5(CAST(c_custkey AS STRING)))
+    WHEN 5 THEN concat('sk_', 'live_', md5(CAST(c_custkey AS STRING))) WHEN 6 THEN concat('AI', 'za', md5(CAST(c_custkey AS STRING)), 'abc')
+    WHEN 7 THEN concat('postgres://user:', md5(CAST(c_custkey AS STRING)), '@host/db') ELSE 'nothing' END)"""
+
+
 def _texts(t) -> DataFrame:
-    """Every given text: documents, pages and conversation turns."""
+    """Every given text (documents, pages, conversation turns), and a keyed one per customer."""
     def part(df: DataFrame, name: str, key, text: str) -> DataFrame:
         return df.select(F.lit(name).alias("kind"), key.cast("string").alias("id"), F.col(text).alias("text"))
 
     return part(t.documents, "document", F.col("doc_id"), "text").unionByName(
         part(t.pages, "page", F.col("page_id"), "html")).unionByName(
-        part(t.conversations, "turn", F.concat("conv_id", F.lit("-"), "turn"), "text"))
+        part(t.conversations, "turn", F.concat("conv_id", F.lit("-"), "turn"), "text")).unionByName(
+        part(t.customer.withColumn("text", F.expr(KEYED_TEXT)), "key", F.col("c_custkey"), "text"))
 
 
-TEXTS = """texts AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+TEXTS = f"""texts AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents
     UNION ALL SELECT 'page', CAST(page_id AS VARCHAR), html FROM pages
-    UNION ALL SELECT 'turn', concat(conv_id, '-', turn), text FROM conversations)"""
+    UNION ALL SELECT 'turn', concat(conv_id, '-', turn), text FROM conversations
+    UNION ALL SELECT 'key', CAST(c_custkey AS VARCHAR), {KEYED_TEXT} FROM customer)"""
 # RE2 has no look-around; the scan patterns need none
 SCAN = " OR ".join(f"regexp_matches(text, '{p.removeprefix('()')}')" for n, p in V.SECRET_PATTERNS if n not in V.REDACT_ONLY)
 

@@ -44,8 +44,11 @@ def finished(events: DataFrame) -> DataFrame:
 
 
 def deliveries(events: DataFrame) -> DataFrame:
-    return events.select("ts", F.lit("push").alias("event"), F.lit("").alias("action"), F.col("user_id").cast("string").alias("repo_id"),
-                         F.col("event_type").alias("sha"), F.lit(0).alias("pr"))
+    n = F.col("event_id")
+    kind = F.get(F.split(F.lit("push,pull_request,check_run,ping,installation,release"), ","), (n % 6).cast("int"))
+    action = F.get(F.split(F.lit("opened,closed,rerequested,synchronize,labeled"), ","), (n % 5).cast("int"))
+    return events.select("ts", kind.alias("event"), action.alias("action"), (F.col("user_id") % 7).cast("string").alias("org_id"),
+                         F.col("user_id").cast("string").alias("repo_id"), F.col("event_type").alias("sha"), F.lit(0).alias("pr"))
 
 
 def changes(events: DataFrame) -> DataFrame:
@@ -94,13 +97,15 @@ def _gauge(t) -> DataFrame:
 
 
 def _decisions(t) -> DataFrame:
-    """Events whose target is an audit: the event's user names it."""
+    """Events about the audit of their number, odd ones about its first finding."""
+    key = F.col("event_id").cast("string")
     events = t.events.select(
         F.col("ts").alias("created_at"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor"),
-        F.col("event_id").cast("string").alias("target_id"), F.col("props").alias("details"))
+        key.alias("audit_id"), F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("f-"), key, F.lit("-1"))).otherwise(key).alias("target_id"),
+        F.col("props").alias("details"))
     runs = t.audits.select(*AUDIT)
-    events = events.join(runs.select("org_id", F.col("audit_id").alias("target_id")), "target_id")
-    found = audit_findings(t).select(*AUDIT, F.concat(F.lit("f-"), F.col("emit_idx").cast("string")).alias("finding_id"))
+    events = events.join(runs.select("org_id", "audit_id"), "audit_id").drop("audit_id")
+    found = audit_findings(t).select(*AUDIT, F.concat(F.lit("f-"), F.col("audit_id"), F.lit("-"), F.col("emit_idx").cast("string")).alias("finding_id"))
     return SK.decisions_csv(events, found, runs)
 
 
@@ -167,13 +172,16 @@ PLANS = [
         UNION ALL SELECT repo_id, audit_id, 'gate.failed' FROM g WHERE NOT passed AND coalesce(was, true)"""),
     ("dedupe_deliveries", lambda t: J.route_deliveries(deliveries(t.events)).groupBy("repo_id", "sha", "pr", "route").agg(
         F.min("ts").alias("_t")).select("repo_id", "sha", "pr", "route"), """
-        SELECT DISTINCT CAST(user_id AS VARCHAR) AS repo_id, event_type AS sha, 0 AS pr, 'audit_push' AS route FROM events"""),
+        SELECT DISTINCT CAST(user_id AS VARCHAR) AS repo_id, event_type AS sha, 0 AS pr, CASE event_id % 6 WHEN 3 THEN 'ping'
+          WHEN 0 THEN 'audit_push' WHEN 4 THEN 'installation' WHEN 1 THEN CASE WHEN event_id % 5 IN (0, 3) THEN 'audit_pull' ELSE 'ignored' END
+          WHEN 2 THEN CASE WHEN event_id % 5 = 2 THEN 'audit_pull' ELSE 'ignored' END ELSE 'ignored' END AS route FROM events"""),
     ("dedupe_within_watermark", lambda t: J.run_available(J.unique_deliveries(deliveries(event_stream(t))), _scratch(t)).select(
         "repo_id", "sha"), None),
     ("already_audited", lambda t: J.not_yet_audited(
-        t.orders.select(F.col("o_custkey").cast("string").alias("repo_id"), (F.col("o_orderkey") % 100).alias("sha"),
-                        F.lit(0).cast("long").alias("pr"), "o_orderkey"),
-        t.audits.select("repo_id", F.col("sha_no").alias("sha"), "pr_number", "status")).select("repo_id", "o_orderkey"), """
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("c_nationkey").cast("string").alias("org_id"), F.col("o_custkey").cast("string").alias("repo_id"),
+            (F.col("o_orderkey") % 100).alias("sha"), F.lit(0).cast("long").alias("pr"), "o_orderkey"),
+        t.audits.select("org_id", "repo_id", F.col("sha_no").alias("sha"), "pr_number", "status")).select("repo_id", "o_orderkey"), """
         SELECT CAST(o_custkey AS VARCHAR) AS repo_id, o_orderkey FROM orders o WHERE NOT EXISTS (
           SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderkey % 100 = o.o_orderkey % 100 AND x.o_orderkey % 7 > 0
             AND x.o_orderstatus IN ('F', 'O'))"""),
@@ -213,7 +221,8 @@ PLANS = [
         WHERE triage_status IN ('accepted_risk', 'false_positive')"""),
     ("decision_log", lambda t: _decisions(t).select("audit_id", "time", "action", "actor", "details"), """
         SELECT a.audit_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, event_type AS action, CAST(user_id AS VARCHAR) AS actor, props AS details
-        FROM events e JOIN audits a ON a.audit_id = CAST(e.event_id AS VARCHAR)"""),
+        FROM events e JOIN audits a ON a.audit_id = CAST(e.event_id AS VARCHAR)
+        WHERE event_id % 2 = 0 OR EXISTS (SELECT 1 FROM audit_findings f WHERE f.audit_id = a.audit_id AND f.emit_idx = 1)"""),
     ("report_lines", lambda t: _report(t), f"""
         SELECT audit_id, 'audit' AS section, CAST(0 AS INT) AS rank, branch, CAST(count(f.emit_idx) AS INT) AS n, CAST(NULL AS VARCHAR) AS rule_id,
           CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS file_path,

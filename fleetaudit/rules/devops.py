@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, split_lines, yaml_section
 from ..operators import AUDIT
+from ..operators.findings import top_k
 from ..session import cut_lineage
 from ..sources.files import explode_lines
 from .engine import Pack, Rule, emit, emit_each, finding, line_of, register, scan, selects, union
@@ -196,9 +197,10 @@ def yaml_children(files: DataFrame, key: str) -> DataFrame:
 
 def compose_limits(files: DataFrame) -> DataFrame:
     services = yaml_children(files.filter(F.col("path").rlike(COMPOSE)), "services").filter(~F.col("block").rlike(LIMITS))
-    rows = services.groupBy(*AUDIT, "path").agg(
-        F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"),
-        F.slice(F.array_sort(F.collect_list(F.struct("line_no", "name"))), 1, 15).alias("names"))
+    keys = [*AUDIT, "path"]
+    first = top_k(services, keys, [F.col("line_no"), F.col("name")], 15).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "name"))).alias("names"))
+    rows = services.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no")).join(first, keys)
     return emit(rows, NAME, COMPOSE_LIMITS, path=F.col("path"), line=F.col("line_no"),
                 title=F.concat(F.col("n").cast("string"), F.lit(" Compose service(s) without memory/CPU limits")),
                 evidence=F.concat(F.lit("no limits: "), F.array_join(F.col("names.name"), ", ")))

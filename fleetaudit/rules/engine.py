@@ -119,12 +119,15 @@ def scan(rows: DataFrame, rules: list[Rule], analyzer: str, line: str | None = "
 
 def first_per_file(findings: DataFrame) -> DataFrame:
     """Keep the first line of each (file, rule) and say how many there were and where."""
-    rows = findings.groupBy(*AUDIT, "file_path", "rule_id").agg(
-        F.min_by(F.struct(*[c for c in findings.columns if c not in (*AUDIT, "file_path", "rule_id")]),
-                 "line_start").alias("_f"),
-        F.count(F.lit(1)).alias("sites"),
-        F.slice(F.array_sort(F.collect_set("line_start")), 1, 10).alias("site_lines"))
-    return rows.select(*AUDIT, "file_path", "rule_id", "_f.*", "sites", "site_lines")
+    from ..operators.findings import top_k
+
+    keys = [*AUDIT, "file_path", "rule_id"]
+    rows = findings.groupBy(*keys).agg(
+        F.min_by(F.struct(*[c for c in findings.columns if c not in keys]), "line_start").alias("_f"), F.count(F.lit(1)).alias("sites"))
+    lines = top_k(findings.select(*keys, "line_start").distinct(), keys, [F.col("line_start")], 10).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("line_start")).alias("site_lines"))
+    return rows.join(lines, keys, "left").select(*keys, "_f.*", "sites", F.coalesce(
+        "site_lines", F.array().cast("array<int>")).alias("site_lines"))
 
 
 def line_of(text: str, pattern: str) -> Column:

@@ -128,15 +128,15 @@ def route_deliveries(events: DataFrame) -> DataFrame:
 
 
 def unique_deliveries(deliveries: DataFrame) -> DataFrame:
-    """First delivery of each (repository, commit, pull request) within the watermark."""
-    return deliveries.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["repo_id", "sha", "pr"])
+    """First delivery of each (organization, repository, commit, pull request) within the watermark."""
+    return deliveries.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["org_id", "repo_id", "sha", "pr"])
 
 
 def not_yet_audited(deliveries: DataFrame, audits: DataFrame) -> DataFrame:
     """Batch form: deliveries whose commit and pull request have no queued, running or succeeded audit."""
     done = audits.filter(F.col("status").isin("queued", "running", "succeeded")).select(
-        "repo_id", "sha", F.coalesce("pr_number", F.lit(0)).alias("pr")).distinct()
-    return deliveries.join(done, ["repo_id", "sha", "pr"], "left_anti")
+        "org_id", "repo_id", "sha", F.coalesce("pr_number", F.lit(0)).alias("pr")).distinct()
+    return deliveries.join(done, ["org_id", "repo_id", "sha", "pr"], "left_anti")
 
 
 # --- T5 --------------------------------------------------------------------------------------------
