@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetaudit.session import scratch_folder
 
 from . import fingerprints, line_dedup, neighbours, packing, personal_data, piece_encoding, quality, simhash, token_files, toxicity
-from .common import table
+from .common import documents, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,8 +19,9 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, report=True)
+    docs = documents(table(spark, folder, "documents"))
+    own, kept = F.struct("doc_id", "text_key", "line_no"), F.struct("kept_doc", "kept_text_key", "kept_line")
+    return line_dedup.line_classes(docs).select("doc_id", "line_no", "kept_doc", "kept_line", own.eqNullSafe(kept).alias("stays"))
 
 
 def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
