@@ -18,6 +18,7 @@ from ..operators import verify as VE
 from .. import compliance_map as M
 from .. import vocab as V
 from ..vocab import RULE_NAMESPACE as NS
+from ..session import cut_lineage
 from .core import BOUND, CATEGORY_CTES, LEVEL, RISK10, SEV_RANK, findings, outcomes
 from .views import TODAY
 
@@ -177,11 +178,13 @@ def fix_pairs(t) -> DataFrame:
 
 
 def fix_runs(t):
-    pairs = fix_pairs(t)
-    rows = audit_findings(t)
-    after = rows.join(pairs.select(*AUDIT), AUDIT, "left_semi")
-    baseline = rows.withColumnRenamed("audit_id", "previous_audit_id").join(
-        pairs, [*REPO, "previous_audit_id"]).drop("previous_audit_id")
+    """The findings before and after every re-audit, read once: a finding is tagged with the run and the side it is on."""
+    pairs = cut_lineage(fix_pairs(t))
+    sides = F.array(F.struct(F.col("previous_audit_id").alias("source"), F.lit(True).alias("before")),
+                    F.struct(F.col("audit_id").alias("source"), F.lit(False).alias("before")))
+    roles = pairs.select(*AUDIT, F.explode(sides).alias("r")).select(*AUDIT, "r.source", "r.before")
+    tagged = cut_lineage(audit_findings(t).withColumnRenamed("audit_id", "source").join(roles, [*REPO, "source"]).drop("source"))
+    baseline, after = tagged.filter("before").drop("before"), tagged.filter("NOT before").drop("before")
     changed = baseline.filter(F.col("file_path") != "").select(*AUDIT, F.col("file_path").alias("path")).distinct()
     targets = baseline.filter(F.col("severity").isin("critical", "high"))
     failed = outcomes(t).filter(F.col("status") != "ok").join(pairs.select(*AUDIT), AUDIT, "left_semi")
