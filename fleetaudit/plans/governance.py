@@ -30,6 +30,13 @@ def audit_findings(t) -> DataFrame:
         "references": F.col("refs"), "sources": F.array("analyzer")}).drop("refs")
 
 
+def shared_findings(t) -> DataFrame:
+    """The same, written once for a query that reads them on several ways."""
+    if "findings_table" not in vars(t):
+        t.findings_table = cut_lineage(audit_findings(t))
+    return t.findings_table
+
+
 def audits(t) -> DataFrame:
     return t.audits.withColumn("overall_score", (F.col("score10") / 10).cast("decimal(5,1)"))
 
@@ -150,7 +157,7 @@ INTRO_CTE = """intro AS (SELECT f.* FROM audit_findings f JOIN changed c ON c.au
 def change_risk(t) -> DataFrame:
     files = changed_files(t)
     prs = t.audits.filter("pr_number IS NOT NULL")
-    return CR.assess(files, PO.introduced(audit_findings(t), files), prs)
+    return CR.assess(files, PO.introduced(shared_findings(t), files), prs)
 
 
 AUTH_RE = V.SENSITIVE_AREAS[0][2]
@@ -267,7 +274,7 @@ def latest_scores(t) -> DataFrame:
 
 
 def portfolio(t) -> DataFrame:
-    return PF.portfolio(t.repositories, audits(t), audit_findings(t), latest_scores(t), NOW)
+    return PF.portfolio(t.repositories, audits(t), shared_findings(t), latest_scores(t), NOW)
 
 
 def _portfolio_plan(t):
@@ -333,7 +340,7 @@ CONTROL_SELECT = " UNION ALL ".join(
 
 def _gate_plan(t):
     files = changed_files(t)
-    rows = PO.gate_candidates(audit_findings(t), t.audits, files)
+    rows = PO.gate_candidates(shared_findings(t), t.audits, files)
     policies = PO.layered(policy_layers(t))
     return PO.evaluate(rows, t.audits, outcomes(t), policies, change_risk(t)).select(
         "audit_id", "passed", "blocking", "candidates", "fail_on", F.array_join("reasons", "; ").alias("reasons"))
@@ -373,19 +380,19 @@ PLANS = [
         SELECT org_id, repo_id, audit_id, was, now, worse, chr(CAST(65 + k AS INT)) AS rev FROM r"""),
     ("baseline_asof", lambda t: H.with_baseline(t.audits).select("audit_id", "previous_audit_id"),
      f"WITH {BASE_CTES} SELECT audit_id, previous_audit_id FROM based"),
-    ("lifecycle", lambda t: H.classify(audit_findings(t), H.with_baseline(t.audits)).select(
+    ("lifecycle", lambda t: H.classify(shared_findings(t), cut_lineage(H.with_baseline(t.audits))).select(
         "audit_id", "emit_idx", "rule_id", "lifecycle"),
      f"{CLASSIFY_SQL} SELECT audit_id, emit_idx, rule_id, lifecycle FROM labelled"),
-    ("resolved", lambda t: H.resolved(audit_findings(t), H.with_baseline(t.audits)).select(
+    ("resolved", lambda t: H.resolved(shared_findings(t), cut_lineage(H.with_baseline(t.audits))).select(
         "audit_id", "fingerprint"), f"{CLASSIFY_SQL} SELECT audit_id, fingerprint FROM gone"),
     ("lifecycle_counts", lambda t: (lambda f, a: H.lifecycle_counts(H.classify(f, a), H.resolved(f, a)))(
-        audit_findings(t), H.with_baseline(t.audits)).select("audit_id", "new", "existing", "recurring", "resolved"),
+        shared_findings(t), cut_lineage(H.with_baseline(t.audits))).select("audit_id", "new", "existing", "recurring", "resolved"),
      f"""{CLASSIFY_SQL}, c AS (SELECT audit_id, count(*) FILTER (lifecycle = 'new') AS n, count(*) FILTER (lifecycle = 'existing') AS e,
            count(*) FILTER (lifecycle = 'recurring') AS r FROM labelled GROUP BY 1),
          g AS (SELECT audit_id, count(*) AS g FROM gone GROUP BY 1)
         SELECT audit_id, coalesce(n, 0) AS new, coalesce(e, 0) AS existing, coalesce(r, 0) AS recurring, coalesce(g, 0) AS resolved
         FROM c FULL OUTER JOIN g USING (audit_id)"""),
-    ("audit_compare", lambda t: H.compare_audits(audit_findings(t), fix_pairs(t).select(
+    ("audit_compare", lambda t: H.compare_audits(shared_findings(t), fix_pairs(t).select(
         *REPO, F.col("previous_audit_id").alias("base_id"), F.col("audit_id").alias("head_id"))).select(
         "base_id", "head_id", "fingerprint", "change"), f"""WITH {BASE_CTES},
         prints AS (SELECT DISTINCT audit_id, fingerprint FROM audit_findings),
