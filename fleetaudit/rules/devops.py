@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, split_lines, yaml_section
+from ..functions.text import basename, let, split_lines, yaml_section
 from ..operators import AUDIT
 from ..operators.findings import top_k
 from ..session import cut_lineage
@@ -179,20 +179,31 @@ def dockerfiles(files: DataFrame) -> DataFrame:
 
 
 def yaml_children(files: DataFrame, key: str) -> DataFrame:
-    """Children of a top-level YAML mapping: (audit, path, name, line_no, block)."""
-    clean = F.regexp_replace("text", r"(?m)^[ \t]*(?:#.*)?\n", "")
-    body = F.rtrim(yaml_section(clean, rf"{key}\s*"), F.lit("\n"))
-    rows = files.withColumn("_b", body).filter(F.col("_b") != "")
-    rows = rows.withColumn("_i", F.length(F.regexp_extract("_b", r"^([ \t]+)", 1)))
-    cut = F.concat(F.lit(r"\n(?=[ \t]{"), F.col("_i").cast("string"), F.lit(r"}[^ \t])"))
-    rows = rows.select(*AUDIT, "path", "text", F.explode(F.split("_b", cut)).alias("block"))
-    head = F.regexp_extract("block", r"^([^\n]*)", 1)
-    name = F.regexp_extract(head, r"""^\s*["']?([\w.-]+)["']?\s*:\s*$""", 1)
-    at = F.instr(F.concat(F.lit("\n"), F.col("text"), F.lit("\n")), F.concat(F.lit("\n"), head, F.lit("\n")))
-    before = F.substr(F.col("text"), F.lit(1), at - 1)
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumns({"name": name, "line_no": line, "block": F.regexp_replace("block", r"^[^\n]*\n?", "")}).filter(
-        F.col("name") != "").select(*AUDIT, "path", "name", "line_no", "block")
+    """Children of a top-level YAML mapping: (audit, path, name, line_no, block). Blank and comment lines are left out.
+
+    One walk over the numbered lines of a file; a child's block is a slice of them, so the work grows with the file only."""
+    def starts(lines: Column, test) -> Column:
+        return F.array_position(F.transform(lines, test), True).cast("int")
+
+    def body(lines: Column) -> Column:
+        return let(starts(lines, lambda x: x["t"].rlike(rf"^{key}\s*:[ \t]*$")), lambda at: F.when(at > 0, let(
+            F.slice(lines, at + 1, F.size(lines)), lambda rest: let(starts(rest, lambda x: ~x["t"].rlike("^[ \t]")), lambda end: F.when(
+                end > 0, F.slice(rest, 1, end - 1)).otherwise(rest)))))
+
+    def children(own: Column) -> Column:
+        indent = F.length(F.regexp_extract(F.get(own, F.lit(0))["t"], r"^([ \t]+)", 1))
+        head = F.concat(F.lit("^[ \t]{"), indent.cast("string"), F.lit("}[^ \t]"))
+        heads = F.filter(F.transform(own, lambda x, k: F.struct(k.alias("k"), x["n"].alias("n"), x["t"].alias("t"))), lambda x: F.rlike(x["t"], head))
+        return let(heads, lambda hs: F.transform(hs, lambda h, j: F.struct(
+            F.regexp_extract(h["t"], r"""^\s*["']?([\w.-]+)["']?\s*:\s*$""", 1).alias("name"), h["n"].alias("line_no"),
+            F.array_join(F.transform(F.slice(own, h["k"] + 2, F.coalesce(F.get(hs, j + 1)["k"], F.size(own)) - h["k"] - 1),
+                                     lambda x: x["t"]), "\n").alias("block"))))
+
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t")))
+    kept = F.filter(lines, lambda x: ~x["t"].rlike(r"^[ \t]*(?:#.*)?$"))
+    found = let(kept, lambda every: let(body(every), lambda own: F.when(F.size(own) > 0, children(own))))
+    rows = files.select(*AUDIT, "path", F.explode(found).alias("c")).select(*AUDIT, "path", "c.name", "c.line_no", "c.block")
+    return rows.filter(F.col("name") != "")
 
 
 def compose_limits(files: DataFrame) -> DataFrame:
