@@ -90,6 +90,24 @@ def test_line_classes_against_all_pairs(spark):
     assert len(wrong) <= 0.005 * len(want)
 
 
+def linked_in_one_bucket(spark, monkeypatch, texts):
+    """The components ``links`` finds, as sets of indexes, when all of ``texts`` share one bucket and no other."""
+    monkeypatch.setattr(line_dedup, "buckets", lambda lines: lines.select("k1", F.lit(0).cast("long").alias("band")).distinct())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = {(r["k1"], r["k2"]): r["doc_id"] for r in line_dedup._lines(docs).collect()}
+    root = list(range(len(texts)))
+    for r in line_dedup.links(line_dedup._lines(docs)).collect():
+        a, b = (root[named[(x["k1"], x["k2"])]] for x in (r["a"], r["b"]))
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    return sorted(sorted(i for i, x in enumerate(root) if x == at) for at in set(root))
+
+
+def test_a_mixed_bucket_is_served_to_its_end(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij", k=80)) for _ in range(30)]
+    assert linked_in_one_bucket(spark, monkeypatch, texts + [texts[7] + "k"]) == sorted([[7, 30], *([i] for i in range(30) if i != 7)])
+
+
 def test_dedup_lines_keeps_rows_and_columns(spark):
     rows = line_rows()
     docs = spark.createDataFrame([(k, t, "q", 7) for k, t in rows + rows[:2]], "doc_id long, text string, line_no string, removed_lines int")
