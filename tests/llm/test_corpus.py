@@ -108,6 +108,17 @@ def test_a_mixed_bucket_is_served_to_its_end(spark, monkeypatch):
     assert linked_in_one_bucket(spark, monkeypatch, texts + [texts[7] + "k"]) == sorted([[7, 30], *([i] for i in range(30) if i != 7)])
 
 
+def test_matched_members_link_those_their_leader_does_not_match(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(6):  # families that drift: neighbours alike, ends unlike
+        line = rng.choices("abcdefghij", k=120)
+        for step in range(12):
+            texts.append("".join(line))
+            line[8 * step] = "z"
+    assert linked_in_one_bucket(spark, monkeypatch, texts) == [list(range(12 * i, 12 * i + 12)) for i in range(6)]
+
+
 def test_dedup_lines_keeps_rows_and_columns(spark):
     rows = line_rows()
     docs = spark.createDataFrame([(k, t, "q", 7) for k, t in rows + rows[:2]], "doc_id long, text string, line_no string, removed_lines int")
