@@ -119,6 +119,24 @@ def test_matched_members_link_those_their_leader_does_not_match(spark, monkeypat
     assert linked_in_one_bucket(spark, monkeypatch, texts) == [list(range(12 * i, 12 * i + 12)) for i in range(6)]
 
 
+def test_lines_that_differ_in_numbers_share_a_band(spark):
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 9))) for _ in range(30))[:150]
+    rows = []
+    for i in range(200):
+        body = prose()
+        a, b = (f"2024-05-17 {rng.randrange(24):02}:{rng.randrange(60):02}:{rng.randrange(60):02} {body}" for _ in range(2))
+        if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
+            rows += [(2 * i, a), (2 * i + 1, b)]
+    lines = line_dedup._lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    named = {r["k1"]: r["doc_id"] for r in lines.collect()}
+    bands = {}
+    for r in line_dedup.buckets(lines).collect():
+        bands.setdefault(named[r["k1"]], set()).add(r["band"])
+    met = sum(bool(bands[i] & bands[i + 1]) for i, _ in rows[::2])
+    assert len(rows) >= 100 and met >= 0.96 * len(rows) / 2
+
+
 def test_dedup_lines_keeps_rows_and_columns(spark):
     rows = line_rows()
     docs = spark.createDataFrame([(k, t, "q", 7) for k, t in rows + rows[:2]], "doc_id long, text string, line_no string, removed_lines int")
