@@ -137,6 +137,15 @@ def test_lines_that_differ_in_numbers_share_a_band(spark):
     assert len(rows) >= 100 and met >= 0.96 * len(rows) / 2
 
 
+def test_leaders_are_aggregates_without_a_window(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: df)
+    members = spark.range(100).selectExpr("id % 3 cell", "0 role", "id k1", "0d away")
+    leaders = line_dedup._leaders(members, 0)
+    plan = leaders._jdf.queryExecution().toString()
+    assert "Window" not in plan and "partial_min" in plan
+    assert sorted(r["cell"] for r in leaders.collect()) == [0, 1, 2]
+
+
 def test_dedup_lines_keeps_rows_and_columns(spark):
     rows = line_rows()
     docs = spark.createDataFrame([(k, t, "q", 7) for k, t in rows + rows[:2]], "doc_id long, text string, line_no string, removed_lines int")
