@@ -24,7 +24,7 @@ from .common import fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "valid", "gazetteer", "context", "border")
-N_FEATURES, N_VALUES = 7, 8
+N_FEATURES, N_VALUES = 8, 8
 
 _MAIL = "A-Za-z0-9._%+-"
 # Matches as the plain form would: a match starts at the start of a run of its first characters, or where the last ended.
@@ -146,7 +146,7 @@ def _features(base: Column, m: Column, before: Column, after: Column, votes: Col
 
     marks = sum((F.when(m.contains(c), 1 << i).otherwise(0) for i, c in enumerate(" -.")), F.lit(0))
     return [F.when(base, 1).otherwise(0), F.get(votes, F.lit(1)), F.get(votes, F.lit(2)), F.get(votes, F.lit(3)),
-            F.least(F.floor(digits / 3).cast("int"), F.lit(7)), marks, border(F.substring(before, -1, 1)) * 0 + border(after)]
+            F.least(F.floor(digits / 3).cast("int"), F.lit(7)), marks, border(F.substring(before, -1, 1)), border(after)]
 
 
 def _proposals(kind: str, text: Column) -> Column:

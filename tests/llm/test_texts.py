@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fleetaudit.llm import fingerprints, packing, personal_data, piece_encoding, simhash, subwords, token_files
@@ -275,6 +276,15 @@ def test_loose_spans_are_judged(spark):
     assert added == set(texts[60:80])
 
 
+def test_the_left_border_is_a_feature(spark):
+    rows = spark.createDataFrame([("a ", "."), ("a(", "."), ("a ", "!"), ("", "x")], "before string, after string")
+    votes = F.array(*(F.lit(0) for _ in range(5)))
+    got = rows.select(F.array(*personal_data._features(F.lit(False), F.lit("555 1234"), F.col("before"), F.col("after"), votes)).alias("f"))
+    found = [r["f"] for r in got.collect()]
+    assert all(len(f) == personal_data.N_FEATURES and max(f) < personal_data.N_VALUES for f in found)
+    assert found[0] != found[1] and found[0] == found[2] and found[3] != found[0]
+
+
 def test_masking(spark):
     texts = ["mail a@b.co now +1 212 555 7713", None, "", "none here", "4111 1111 1111 1111", "x 1.2.3.4 y 1.2.3.4"]
     docs = table(spark, texts)
