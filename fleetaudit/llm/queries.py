@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetaudit.session import scratch_folder
 
-from . import fingerprints, line_dedup, neighbours, packing, personal_data, piece_encoding, quality, simhash, token_files, toxicity
+from . import divergence, fingerprints, line_dedup, neighbours, packing, personal_data, piece_encoding, quality, simhash, token_files, toxicity
 from .common import documents, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,7 +63,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_document_fingerprints, op3_token_files, op4_personal_data, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_best_fit_packing,
-    op9_piece_encoding, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+    op9_piece_encoding, op10_simhash, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.SQL}
