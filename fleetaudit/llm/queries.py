@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetaudit.session import scratch_folder
 
-from . import centroids, divergence, fingerprints, line_dedup, neighbours, packing, personal_data, piece_encoding, quality, simhash, token_files, toxicity
+from . import centroids, divergence, fingerprints, jaccard_join, line_dedup, neighbours, packing, personal_data, piece_encoding, quality, simhash, token_files, toxicity
 from .common import documents, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,11 +67,15 @@ def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings"), clusters=8, rounds=10, dims=64, scale=1024, salt="3")
 
 
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents"), words=4, percent=85)
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_document_fingerprints, op3_token_files, op4_personal_data, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_best_fit_packing,
-    op9_piece_encoding, op10_simhash, op11_centroid_clusters, op13_source_divergence)}
+    op9_piece_encoding, op10_simhash, op11_centroid_clusters, op12_jaccard_join, op13_source_divergence)}
 ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.SQL}

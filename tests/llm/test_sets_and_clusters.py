@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetaudit.llm import centroids, divergence
+from fleetaudit.llm import centroids, divergence, jaccard_join
 from fleetaudit.llm.transducer import Transducer
 
 SF = "/root/testdata/sf0.001"
@@ -152,3 +152,115 @@ def test_transducer_ordinals_and_size():
     assert len(machine.final) == len({frozenset(r) for r in rest.values()})
     empty = Transducer.from_bytes(Transducer.build([]).to_bytes())
     assert empty.ordinals([b"", b"a"]).tolist() == [-1, -1]
+
+
+# n-gram Jaccard join
+
+def plain_sets(rows, words=4):
+    out = []
+    for _, text in rows:
+        parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        out.append({tuple(parts[i:i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set())
+    return out
+
+
+def plain_similar(rows, percent=85):
+    """Sorted (doc_id, n_shingles, component_id) by all pairs."""
+    sets = plain_sets(rows)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= percent * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(k)
+    name = lambda ks: min((k for k in ks if k is not None), default=None)
+    return sorted(((k, len(sets[i]), name(least[find(i)])) for i, (k, _) in enumerate(rows)), key=repr)
+
+
+def similar(spark, rows, **args):
+    frame = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in rows], "doc_id long, text string, n long, key long, `set` string")
+    return sorted((tuple(r) for r in jaccard_join.similar_documents(frame.repartition(4), **args).collect()), key=repr)
+
+
+def jaccard_rows(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+
+    def edited(text, share):
+        return [rng.choice(words) if rng.random() < share else w for w in text]
+
+    def put(text):
+        rows.append((len(rows), " ".join(text)))
+
+    for _ in range(25):  # families around the threshold, of every size
+        text = rng.choices(words, k=rng.choice([1, 3, 4, 6, 9, 12, 20, 40, 90, 250]))
+        for _ in range(rng.randrange(1, 8)):
+            put(edited(text, rng.choice([0, 0.005, 0.01, 0.02, 0.04])))
+            if rng.random() < 0.4:
+                put(text[:-rng.randrange(1, 4)] or text)
+            if rng.random() < 0.3:
+                text = edited(text, 0.03)
+    passage = rng.choices(words, k=70)
+    for _ in range(90):  # a passage that unlike documents share, with some near copies among them
+        own = rng.choices(words, k=rng.randrange(14, 40))
+        put(own + passage)
+        if rng.random() < 0.2:
+            put(edited(own, 0.04) + passage)
+    return rows + [(9000, None), (9001, ""), (9002, " \t\r\n"), (9003, None), (None, "A b C d E"), (9004, "a B c D e"), (9005, "a b c d e"),
+                   (9006, "É b c d"), (9007, "é b c d"), (9008, "x " * 30_000), (9009, "y x " * 20_000), (3, rows[3][1]), (3, rows[3][1]), (None, None),
+                   (9010, " ".join(rng.choices(words, k=12_000)))]
+
+
+@pytest.mark.parametrize("seed, costly", [(1, 64), (2, 3)])
+def test_similar_documents_against_all_pairs(spark, seed, costly):
+    rows = jaccard_rows(seed)
+    want = plain_similar(rows)
+    assert len({c for _, _, c in want}) < len(rows) - 40
+    assert similar(spark, rows, costly=costly) == want
+
+
+def test_similar_documents_of_no_rows(spark):
+    assert similar(spark, []) == []
+    assert similar(spark, [(1, None), (2, " ")]) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_bands_hold_all_partners_and_credits_cover_all_differences():
+    for percent in (50, 80, 85, 99):
+        scheme = jaccard_join.Scheme(percent)
+        for s in range(1, 400):
+            for r in range(s, s * 100 // percent + 1):
+                bands = {band: need for _, band, need in scheme.roles(r)}
+                assert scheme.band(s) in bands
+                # the fewest common elements that still link
+                both = -(-percent * (r + s) // (100 + percent))
+                if both <= s:
+                    assert r + s - 2 * both <= bands[scheme.band(s)] - 1 < scheme.segments(scheme.band(s))
+
+
+def test_sketches_never_tell_more_differences_than_there_are():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 40), (200, 210), (1000, 100), (5000, 5000)):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: m // 2], rng.integers(0, 2 ** 63, m).astype(np.uint64))))
+        assert jaccard_join.sketch_difference(jaccard_join.odd_sketch(a), jaccard_join.odd_sketch(b)) <= len(np.setxor1d(a, b))
+    assert jaccard_join.sketch_difference(jaccard_join.odd_sketch(a), jaccard_join.odd_sketch(a)) == 0
+
+
+@pytest.mark.parametrize("costly", [0, 10 ** 9])
+def test_credits_alone_find_every_link(spark, monkeypatch, costly):
+    """Without the stars every link has to come from look-ups (10 ** 9) or look-ups and neighbourhoods (0)."""
+    monkeypatch.setattr(jaccard_join, "_star", lambda shared: shared.where("false").select(*jaccard_join._pair("set", "leader")))
+    rows = jaccard_rows(7)
+    assert similar(spark, rows, costly=costly) == plain_similar(rows)
