@@ -18,7 +18,9 @@ from ..rules import devops as DO
 from ..rules import packs as PK
 from ..rules import testing as TE
 from ..rules import web as WEB
-from ..rules.engine import applicability, packs, with_snippets
+from ..rules import runner as RN
+from ..rules.engine import Pack, Rule, applicability, packs, scan, with_snippets
+from ..session import scratch_folder
 from ..sources import manifests as MF
 from ..sources import reports as RP
 from ..sources.files import explode_lines
@@ -262,6 +264,44 @@ def _snippets(t) -> DataFrame:
     return with_snippets(found.withColumn("evidence", F.lit("")), rows)
 
 
+PASSWORD = Rule("password-mentioned", "Password mentioned", "security", "low", "low", "finding", "password")
+
+
+def _stuck(lines: DataFrame) -> DataFrame:
+    def wait(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(3600)
+            yield batch
+
+    return lines.mapInPandas(wait, lines.schema)
+
+
+def _isolated(t) -> DataFrame:
+    """Five packs over the conversations at once: one that ends well, one that breaks in a task, one that gives its reason,
+    one that never ends, and one whose language does not occur."""
+    files = t.conversations.select(F.lit("o").alias("org_id"), F.col("conv_id").cast("string").alias("repo_id"), F.lit("a").alias("audit_id"),
+                                   F.concat(F.lit("turn-"), "turn", F.lit(".txt")).alias("path"), F.col("text"))
+    tables = {"files": files, "lines": explode_lines(files)}
+
+    def refuse(_):
+        raise RN.AnalyzerError("no access with password = hunter2hunter2")
+
+    broken = F.when(F.length("text") >= 0, F.raise_error(F.lit("broken in a task"))).otherwise(F.col("text"))
+    selected = [Pack("mentions", "Mentions", ("security",), lambda x: scan(x["lines"], [PASSWORD], "mentions")),
+                Pack("broken", "Broken", ("security",), lambda x: scan(x["lines"].withColumn("text", broken), [PASSWORD], "broken")),
+                Pack("refused", "Refused", ("security",), refuse),
+                Pack("stuck", "Stuck", ("security",), lambda x: scan(_stuck(x["lines"]), [PASSWORD], "stuck"), seconds=5),
+                Pack("cobol", "Cobol", ("security",), lambda x: scan(x["lines"], [PASSWORD], "cobol"), languages=("COBOL",))]
+    found, outcomes = RN.run_packs(tables, selected, scratch_folder(t.spark, "packs"))
+    audits = files.select(*AUDIT).distinct()
+    rows = RN.outcome_rows(audits, L.language_stats(files), selected, outcomes).groupBy("name", "status", "reason").agg(F.count("*").alias("audits"))
+    counts = found.groupBy(F.col("analyzer").alias("name")).agg(F.count("*").alias("findings"))
+    shown = F.when(F.col("status") == "ok", F.coalesce("findings", F.lit(0))).otherwise(0)
+    return rows.join(counts, "name", "left").select("name", "status", "reason", "audits", shown.alias("findings"))
+
+
 PLANS = [
     ("file_lines", lambda t: lines(t).select("repo_id", "path", "line_no", "text"),
      f"WITH {LINES} SELECT repo_id, path, line_no, text FROM flines"),
@@ -281,6 +321,14 @@ PLANS = [
     ("analyzer_outcomes", lambda t: applicability(
         t.repo_files.select(*AUDIT).distinct(), L.language_stats(t.repo_files), packs()).groupBy("name", "status").agg(
         F.count(F.lit(1)).alias("audits")), None),
+    ("isolated_packs", _isolated, """
+        WITH a AS (SELECT count(DISTINCT conv_id) AS audits FROM conversations),
+        l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations),
+        o(name, status, reason) AS (VALUES ('mentions', 'ok', ''), ('broken', 'failed', 'internal analyzer error (SparkRuntimeException)'),
+          ('refused', 'failed', 'no access with password = [REDACTED]'), ('stuck', 'timeout', 'took more than 5 seconds'),
+          ('cobol', 'skipped', 'no COBOL files detected'))
+        SELECT name, status, reason, audits, CASE status WHEN 'ok' THEN (SELECT count(*) FROM l WHERE line LIKE '%password%') ELSE 0 END AS findings
+        FROM o, a"""),
     ("requirement_entries", lambda t: MF.requirement_entries(t.repo_files).select("repo_id", "path", "line_no", "name", "spec"),
      f"""WITH {LINES}, r AS (SELECT *, trim(split_part(text, '#', 1)) AS s FROM flines WHERE path LIKE 'requirements%.txt')
         SELECT repo_id, path, line_no, regexp_extract(s, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS name,

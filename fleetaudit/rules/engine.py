@@ -169,6 +169,7 @@ class Pack:
     categories: tuple[str, ...]
     run: Callable[[dict[str, DataFrame]], DataFrame]
     languages: tuple[str, ...] = ()
+    seconds: float | None = None  # time limit of its own
 
 
 _REGISTRY: dict[str, Pack] = {}
@@ -205,20 +206,3 @@ def applicability(audits: DataFrame, language_stats: DataFrame, selected: list[P
         *AUDIT, "p.name", F.when(ok, "ok").otherwise("skipped").alias("status"),
         F.when(ok, "").otherwise(F.concat(F.lit("no "), F.array_join("p.languages", "/"), F.lit(" files detected")))
         .alias("reason"), "p.categories")
-
-
-def run_packs(tables: dict[str, DataFrame], selected: list[Pack]) -> tuple[DataFrame | None, list[tuple[str, str, str]]]:
-    """Union of the findings of every pack whose plan can be built, and (name, status, reason) per pack.
-
-    A pack that raises while building or analysing its plan is reported as failed and contributes nothing.
-    """
-    parts, status = [], []
-    for pack in selected:
-        try:
-            found = pack.run(tables)
-            found.schema  # noqa: B018 - forces analysis
-            parts.append(found)
-            status.append((pack.name, "ok", ""))
-        except Exception as exc:  # noqa: BLE001 - one broken pack must not fail the job
-            status.append((pack.name, "failed", f"internal analyzer error ({type(exc).__name__})"))
-    return (union(parts) if parts else None), status
