@@ -165,7 +165,8 @@ PLANS = [
     ("audit_alerts", lambda t: J.run_available(J.audit_alerts(finished(event_stream(t))), _scratch(t)).select(
         "repo_id", "audit_id", "event"), """
         WITH f AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, CAST(event_id AS VARCHAR) AS audit_id, ts, event_type = 'error' AS bad,
-                     floor(value) AS score, event_id % 11 = 0 AS severe, event_id % 3 > 0 AS passed FROM events),
+                     floor(value) AS score, event_id % 11 = 0 AS severe, event_id % 3 > 0 AS passed FROM events
+                   WHERE time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' < (SELECT max(ts) - INTERVAL '10 minutes' FROM events)),
         g AS (SELECT *, lag(score) OVER w AS before, lag(passed) OVER w AS was FROM f WHERE NOT bad WINDOW w AS (PARTITION BY repo_id ORDER BY ts, audit_id))
         SELECT repo_id, audit_id, 'audit.failed' AS event FROM f WHERE bad
         UNION ALL SELECT repo_id, audit_id, 'audit.regressed' FROM g WHERE before IS NOT NULL AND (before - score >= 5 OR severe)
@@ -185,7 +186,15 @@ PLANS = [
         SELECT CAST(o_custkey AS VARCHAR) AS repo_id, o_orderkey FROM orders o WHERE NOT EXISTS (
           SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderkey % 100 = o.o_orderkey % 100 AND x.o_orderkey % 7 > 0
             AND x.o_orderstatus IN ('F', 'O'))"""),
-    ("expired_in_stream", lambda t: J.run_available(J.expire_stale(changes(event_stream(t))), _scratch(t)).select("audit_id", "status"), None),
+    ("expired_in_stream", lambda t: J.run_available(J.expire_stale(changes(event_stream(t))), _scratch(t)).select(
+        "audit_id", "status", _stamp("since").alias("since")), """
+        WITH c AS (SELECT CAST(user_id AS VARCHAR) AS audit_id, ts, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'queued'
+                ELSE 'succeeded' END AS status FROM events),
+        n AS (SELECT *, lead(ts) OVER (PARTITION BY audit_id ORDER BY ts, status) AS next,
+                ts + CASE status WHEN 'running' THEN INTERVAL 2100 SECOND ELSE INTERVAL 6 HOUR END AS ends FROM c)
+        SELECT audit_id, 'failed' AS status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since FROM n
+        WHERE status <> 'succeeded' AND (next IS NULL OR next > ends)
+          AND time_bucket(INTERVAL '1 minute', ends) + INTERVAL '1 minute' < (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"""),
     ("stale_audits", lambda t: J.stale_audits(t.audits, NOW).select("audit_id"), f"""
         SELECT audit_id FROM audits WHERE status = 'running' AND started_at < TIMESTAMP '{NOW}' - INTERVAL 2100 SECOND"""),
     ("due_repositories", lambda t: J.due_repositories(t.repositories, t.audits, NOW).select("repo_id", "schedule"), f"""

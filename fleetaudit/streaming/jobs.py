@@ -3,14 +3,13 @@ the end of its input with exactly-once file output."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import vocab as V
+from . import timers
 
 WATERMARK = "10 minutes"  # our own policy; later rows go to the side table of ``split_late``
 RUNNING_LIMIT_SECONDS = 6 * 300 + 300
@@ -50,30 +49,10 @@ def rate_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def first_hit_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Windows that open at a key's first hit and close after ``seconds``, as a counter with expiry behaves.
-
-    A key's hits are tallied per second while its chunks stream by, so a noisy key holds one number per second of the
-    micro-batch; its state is one open window.
-    """
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, count = state.get if state.exists else (None, 0)
-        tally: dict[int, int] = {}
-        for chunk in chunks:
-            for at, n in chunk["ts"].dt.floor("s").value_counts().items():
-                second = int(at.timestamp())
-                tally[second] = tally.get(second, 0) + int(n)
-        out = []
-        for second in sorted(tally):
-            if opened is None or second - opened > seconds:
-                opened, count = second, 0
-            count += tally[second]
-            out.append((*key, pd.Timestamp(second, unit="s"), count, count > limit))
-        state.update((opened, count))
-        yield pd.DataFrame(out, columns=["scope", "ident", "ts", "hits", "over"])
-
-    return hits.groupBy("scope", "ident").applyInPandasWithState(
-        step, "scope string, ident string, ts timestamp, hits long, over boolean", "opened long, count long", "append",
-        GroupStateTimeout.NoTimeout)
+    """Windows that open at a key's first hit and close after ``seconds``, as a counter with expiry behaves. A key whose
+    window has passed has no state (see ``timers.FirstHit``)."""
+    return timers.timed(hits, ["scope", "ident"], timers.FirstHit(limit, seconds),
+                        "scope string, ident string, ts timestamp, hits long, over boolean", WATERMARK)
 
 
 # --- T2, T4 ----------------------------------------------------------------------------------------
@@ -82,33 +61,13 @@ ALERT = ("org_id string, repo_id string, branch string, audit_id string, event s
 
 
 def audit_alerts(finished: DataFrame) -> DataFrame:
-    """Regressions and gate failures per branch, pull requests excluded.
+    """Regressions and gate failures per branch, pull requests excluded, in event-time order as the watermark passes.
 
     ``finished``: org_id, repo_id, branch, audit_id, ts, status, pr_number, score, new_severe, gate_passed. State per
-    branch is the last score and gate verdict. A failed audit alerts and leaves the state alone.
-    """
+    branch is the last score and gate verdict and what the watermark has not passed. A failed audit alerts and leaves the
+    verdict alone."""
     branch = finished.filter(F.col("pr_number").isNull() & F.col("status").isin("succeeded", "failed"))
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, passed = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(chunks)).sort_values(["ts", "audit_id"]).itertuples(index=False):
-            head = (*key, row.audit_id)
-            if row.status == "failed":
-                out.append((*head, "audit.failed", None, None, None))
-                continue
-            if last is not None and (round(last - row.score, 1) >= V.REGRESSION_POINTS or row.new_severe > 0):
-                out.append((*head, "audit.regressed", last, row.score, row.new_severe))
-            if not row.gate_passed and passed is not False:
-                out.append((*head, "gate.failed", last, row.score, row.new_severe))
-            last, passed = float(row.score), bool(row.gate_passed)
-        if last is not None:
-            state.update((last, passed))
-        yield pd.DataFrame(out, columns=["org_id", "repo_id", "branch", "audit_id", "event", "score_before",
-                                         "score_after", "new_severe"])
-
-    return branch.groupBy("org_id", "repo_id", "branch").applyInPandasWithState(
-        step, ALERT, "score double, passed boolean", "append", GroupStateTimeout.NoTimeout)
+    return timers.timed(branch, ["org_id", "repo_id", "branch"], timers.Alerts(), ALERT, WATERMARK)
 
 
 def notify(alerts: DataFrame, channels: DataFrame) -> DataFrame:
@@ -141,34 +100,13 @@ def not_yet_audited(deliveries: DataFrame, audits: DataFrame) -> DataFrame:
 
 # --- T5 --------------------------------------------------------------------------------------------
 def expire_stale(changes: DataFrame) -> DataFrame:
-    """Audits whose last status stays queued or running past its limit in event time.
-
-    ``changes``: org_id, audit_id, ts, status. Finished audits drop their state; a timer fires for the others.
-    """
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame(columns=["org_id", "audit_id", "status", "since"])
-        if state.hasTimedOut:
-            status, since = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, "failed", pd.Timestamp(since, unit="s"))], columns=empty.columns)
-            return
-        status, since = state.get if state.exists else (None, -1)
-        for chunk in chunks:
-            for row in chunk.itertuples(index=False):
-                at = int(row.ts.timestamp())
-                if at >= since:
-                    status, since = row.status, at
-        if status in V.ACTIVE_STATUSES:
-            state.update((status, since))
-            limit = RUNNING_LIMIT_SECONDS if status == "running" else QUEUED_LIMIT_SECONDS
-            state.setTimeoutTimestamp(max(since + limit, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
-        elif state.exists:
-            state.remove()
-        yield empty
-
-    return changes.withWatermark("ts", WATERMARK).groupBy("org_id", "audit_id").applyInPandasWithState(
-        step, "org_id string, audit_id string, status string, since timestamp", "status string, since long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    """Audits whose status stays queued or running past its limit in event time.
+
+    ``changes``: org_id, audit_id, ts, status. Changes are taken in event-time order, whatever the triggers they came in;
+    of changes at the same time the last in text order counts."""
+    limits = {s: RUNNING_LIMIT_SECONDS if s == "running" else QUEUED_LIMIT_SECONDS for s in V.ACTIVE_STATUSES}
+    return timers.timed(changes, ["org_id", "audit_id"], timers.Expiry(limits),
+                        "org_id string, audit_id string, status string, since timestamp", WATERMARK)
 
 
 def stale_audits(audits: DataFrame, now: str) -> DataFrame:
