@@ -68,7 +68,7 @@ def reported(events: DataFrame) -> DataFrame:
 
 def _tail(t) -> DataFrame:
     folder = _scratch(t)
-    tail = J.ActivityTail(t.spark, folder, 5)
+    tail = J.ActivityTail(t.spark, folder)
     stream = activity(event_stream(t))
     J.run_batches(stream, folder, tail.merge)
     return tail.read(stream.schema).select("audit_id", "seq", "msg")
@@ -203,7 +203,7 @@ PLANS = [
           epoch(TIMESTAMP '{NOW}') - epoch(a) >= CASE schedule WHEN 'daily' THEN 86400 ELSE 604800 END - 1800)"""),
     ("activity_tail", _tail, """
         SELECT CAST(user_id AS VARCHAR) AS audit_id, event_id AS seq, event_type AS msg FROM events
-        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5"""),
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 400"""),
     ("first_seen", _first_seen, """
         SELECT CAST(user_id AS VARCHAR) AS repo_id, concat(event_type, ':', event_id % 5) AS fingerprint,
           strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen_at FROM events GROUP BY ALL"""),

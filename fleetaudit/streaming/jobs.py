@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from . import timers
+from . import blooms, timers
+from .versions import Versioned
 
 WATERMARK = "10 minutes"  # our own policy; later rows go to the side table of ``split_late``
 RUNNING_LIMIT_SECONDS = 6 * 300 + 300
@@ -134,49 +135,82 @@ def due_repositories(repositories: DataFrame, audits: DataFrame, now: str) -> Da
 
 # --- T7 --------------------------------------------------------------------------------------------
 class ActivityTail:
-    """Keeps the last events per audit. Every epoch writes a new version, so a replayed epoch rewrites its own."""
+    """Keeps the last events per audit. An epoch reads and rewrites the buckets its audits fall into; a reader needs only
+    the folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, limit: int = V.ACTIVITY_RING):
-        self.spark, self.folder, self.limit = spark, folder, limit
+    KEYS = ("org_id", "audit_id")
 
-    def _path(self, epoch: int) -> str:
-        return f"{self.folder}/tail/epoch={epoch}"
+    def __init__(self, spark: SparkSession, folder: str, limit: int = V.ACTIVITY_RING, buckets: int = 64):
+        self.table, self.limit = Versioned(spark, f"{folder}/tail", buckets), limit
 
     def merge(self, batch: DataFrame, epoch: int) -> None:
         from ..operators.history import activity_tail
 
-        rows = batch
-        if epoch > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(self._path(epoch - 1)))
-        activity_tail(rows, ["org_id", "audit_id"], self.limit).drop("rank").write.mode("overwrite").parquet(
-            self._path(epoch))
-        self.last = epoch
+        if self.table.done(epoch):
+            return
+        batch.persist()
+        touched = [r[0] for r in batch.select(self.table.bucket(*self.KEYS)).distinct().collect()]
+        kept = self.table.read(batch.schema, touched).unionByName(batch)
+        rows = activity_tail(kept, list(self.KEYS), self.limit).drop("rank").withColumn("bucket", self.table.bucket(*self.KEYS))
+        entries = (self.table.pointer() or {"entries": {}})["entries"]
+        self.table.commit(epoch, entries | {b: [epoch] for b in self.table.write(rows, epoch)})
+        batch.unpersist()
 
     def read(self, schema, after: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(schema).parquet(self._path(self.last))
+        rows = self.table.read(schema)
         return rows if after is None else rows.filter(F.col("seq") > after)
 
 
 # --- T8 --------------------------------------------------------------------------------------------
 class FirstSeen:
-    """First time each (repository, fingerprint) was reported, as an append-only table of new fingerprints."""
+    """First time each (repository, fingerprint) was reported, as a table of new fingerprints in hash buckets.
 
-    SCHEMA = "org_id string, repo_id string, fingerprint string, first_seen_at timestamp, epoch int"
+    Every folder has Bloom filters of its fingerprints. An epoch asks the filters of the buckets it touches and reads only
+    folders that may hold one of its fingerprints. A bucket of more than ``runs`` folders is merged into one."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, f"{folder}/first_seen"
+    KEYS = ("org_id", "repo_id", "fingerprint")
+    SCHEMA = "org_id string, repo_id string, fingerprint string, first_seen_at timestamp"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, runs: int = 8):
+        self.spark, self.runs = spark, runs
+        self.table = Versioned(spark, f"{folder}/first_seen", buckets)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        return self.table.read(self.SCHEMA)
+
+    def _filters(self, epoch: int) -> str:
+        return f"{self.table.folder}/filters/epoch={epoch}"
+
+    def may_hold(self, fresh: DataFrame, entries: dict[int, list[int]], touched: list[int]) -> dict[int, list[int]]:
+        """The folders (bucket -> epochs) that may hold a fingerprint of ``fresh``; at most all folders of its buckets."""
+        epochs = sorted({e for b in touched for e in entries.get(b, [])})
+        if not epochs:
+            return {}
+        live = self.spark.createDataFrame([(b, e) for b in touched for e in entries.get(b, [])], "bucket int, epoch int")
+        filters = self.spark.read.schema(blooms.SCHEMA).parquet(*map(self._filters, epochs)).join(F.broadcast(live), ["bucket", "epoch"])
+        out: dict[int, list[int]] = {}
+        for r in blooms.hits(fresh.select("bucket", blooms.hashed(*self.KEYS).alias("h")), filters).distinct().collect():
+            out.setdefault(r["bucket"], []).append(r["epoch"])
+        return out
 
     def merge(self, batch: DataFrame, epoch: int) -> None:
-        """Append this epoch's new fingerprints; a replay overwrites only its own epoch folder."""
-        keys = ["org_id", "repo_id", "fingerprint"]
-        seen = batch.groupBy(*keys).agg(F.min("ts").alias("first_seen_at"))
-        if epoch > 0:
-            known = batch.sparkSession.read.schema(self.SCHEMA).parquet(self.folder).filter(F.col("epoch") < epoch)
-            seen = seen.join(known.select(*keys), keys, "left_anti")
-        seen.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+        if self.table.done(epoch):
+            return
+        found = batch.groupBy(*self.KEYS).agg(F.min("ts").alias("first_seen_at")).withColumn("bucket", self.table.bucket(*self.KEYS)).persist()
+        touched = [r[0] for r in found.select("bucket").distinct().collect()]
+        entries = (self.table.pointer() or {"entries": {}})["entries"]
+        seen = self.may_hold(found, entries, touched)
+        fresh = found.join(self.table.read(self.SCHEMA, only=seen).select(*self.KEYS), list(self.KEYS), "left_anti") if seen else found
+        full = {b: entries[b] for b in touched if len(entries.get(b, [])) >= self.runs}
+        if full:  # their folders go into this epoch's
+            fresh = fresh.unionByName(self.table.read(self.SCHEMA, only=full).withColumn("bucket", self.table.bucket(*self.KEYS)))
+        written = self.table.write(fresh, epoch)
+        if written:
+            rows = self.table.read(self.SCHEMA, only={b: [epoch] for b in written})
+            blooms.build(rows.select(self.table.bucket(*self.KEYS).alias("bucket"), blooms.hashed(*self.KEYS).alias("h")), epoch).write.mode(
+                "overwrite").parquet(self._filters(epoch))
+        self.table.commit(epoch, entries | {b: ([] if b in full else entries.get(b, [])) + [epoch] for b in written})
+        found.unpersist()
 
 
 # --- T9 --------------------------------------------------------------------------------------------

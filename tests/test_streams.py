@@ -170,3 +170,78 @@ def test_a_branch_with_many_rows_is_held_a_bucket_at_a_time():
 @pytest.mark.parametrize("micro, end", [(0, 60_000_000), (59_999_999, 60_000_000), (60_000_000, 120_000_000), (-1, 0)])
 def test_bucket_ends(micro, end):
     assert timers.bucket_end(micro) == end
+
+
+ACTIVITY = "org_id string, audit_id string, seq long, ts timestamp, msg string"
+
+
+def events(spark, audits, first, n=3):
+    return spark.createDataFrame([("o", a, first + i, at(first + i), f"m{first + i}") for a in audits for i in range(n)], ACTIVITY)
+
+
+def test_tail_rewrites_touched_buckets_only_and_survives_restarts(spark, tmp_path):
+    tail = J.ActivityTail(spark, str(tmp_path), limit=4, buckets=8)
+    assert tail.read(ACTIVITY).count() == 0
+    names = [f"a{i}" for i in range(60)]
+    tail.merge(events(spark, names, 0), 0)
+    before = tail.table.pointer()["entries"]
+    assert len(before) == 8
+    tail.merge(events(spark, ["a7"], 3), 1)
+    after = J.ActivityTail(spark, str(tmp_path), limit=4, buckets=99).table.pointer()  # a restart keeps the number of buckets
+    moved = [b for b in before if after["entries"][b] != before[b]]
+    assert len(moved) == 1 and after["buckets"] == 8 and after["epoch"] == 1
+    files = sorted((tmp_path / "tail").rglob("*.parquet"))
+    tail.merge(events(spark, ["a7", "a8"], 100), 1)  # a replayed epoch changes nothing
+    assert sorted((tmp_path / "tail").rglob("*.parquet")) == files
+    rows = J.ActivityTail(spark, str(tmp_path)).read(ACTIVITY)
+    assert sorted(r["seq"] for r in rows.where("audit_id = 'a7'").collect()) == [2, 3, 4, 5]
+    assert rows.count() == 59 * 3 + 4 and {r["seq"] for r in tail.read(ACTIVITY, after=4).collect()} == {5}
+    # an epoch that breaks before its pointer is not seen, and its replay is whole
+    tail.table.write(events(spark, names, 50).selectExpr("*", "0 as bucket"), 2)
+    assert tail.read(ACTIVITY).count() == rows.count()
+    tail.merge(events(spark, ["a8"], 60, 1), 2)
+    assert sorted(r["seq"] for r in tail.read(ACTIVITY).where("audit_id = 'a8'").collect()) == [0, 1, 2, 60]
+
+
+REPORTED = "org_id string, repo_id string, fingerprint string, ts timestamp"
+
+
+def prints(spark, numbers, minute):
+    return spark.createDataFrame([("o", f"r{i % 3}", f"f{i}", at(minute)) for i in numbers], REPORTED)
+
+
+def test_first_seen_reads_only_folders_that_may_match(spark, tmp_path, monkeypatch):
+    table = J.FirstSeen(spark, str(tmp_path), buckets=16, runs=3)
+    table.merge(prints(spark, range(500), 0), 0)
+    asked = []
+    whole = table.table.read
+    monkeypatch.setattr(table.table, "read", lambda schema, buckets=None, only=None: asked.append(only) or whole(schema, buckets, only))
+    table.merge(prints(spark, range(500, 520), 1), 1)  # all new: the filters keep nearly all folders closed
+    opened = sum(len(e) for e in (asked[0] or {}).values()) if asked[0] and all(e == [0] for e in asked[0].values()) else 0
+    assert opened <= 2
+    asked.clear()
+    table.merge(prints(spark, [3, 3, 600], 2), 2)  # one known: its folder, perhaps one more
+    assert 1 <= sum(len(e) for e in asked[0].values()) <= 3
+    table.merge(prints(spark, [3, 3, 600, 700], 9), 2)  # a replay
+    monkeypatch.undo()
+    for epoch, minute in ((3, 3), (4, 4), (5, 5), (6, 6)):
+        table.merge(prints(spark, [*range(0, 500, 7), 1000 + epoch, 1010 + epoch], minute), epoch)
+    rows = {r["fingerprint"]: r["first_seen_at"] for r in J.FirstSeen(spark, str(tmp_path)).read().collect()}
+    stamp = lambda m: at(m).replace(tzinfo=None)
+    expected = {f"f{i}": stamp(0) for i in range(500)} | {f"f{i}": stamp(1) for i in range(500, 520)} | {"f600": stamp(2)}
+    expected |= {f"f{k + e}": stamp(e) for e in (3, 4, 5, 6) for k in (1000, 1010)}
+    assert rows == expected
+    assert table.read().count() == len(expected)
+    assert max(len(e) for e in table.table.pointer()["entries"].values()) <= 3
+
+
+def test_filters_miss_nothing_and_hit_little():
+    import numpy as np
+
+    from fleetaudit.streaming import blooms
+
+    rng = np.random.default_rng(1)
+    h = rng.integers(-2 ** 63, 2 ** 63, 20_000, dtype=np.int64)
+    bits = blooms.filter_of(h[:10_000])
+    assert blooms.may_have(bits, h[:10_000]).all() and blooms.may_have(bits, h[10_000:]).mean() < 0.005
+    assert not blooms.may_have(blooms.filter_of(h[:0]), h[:5]).any()
