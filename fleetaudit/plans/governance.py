@@ -57,6 +57,13 @@ BASE_CTES = f"""
          AND p.status = 'succeeded' AND p.pr_number IS NULL AND p.audit_id <> a.audit_id
          AND p.created_at <= a.created_at)).i AS previous_audit_id
     FROM audits a)"""
+# the same with window frames, which need no look-up per audit
+FRAME = "ORDER BY created_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW"
+BASE_WINDOW = f"""
+  runs_good AS MATERIALIZED (SELECT *, CASE WHEN {GOOD} THEN struct_pack(c := created_at, i := audit_id) END AS good FROM audits),
+  based AS MATERIALIZED (
+    SELECT *, coalesce(max(good) OVER (PARTITION BY repo_id, branch {FRAME}), max(good) OVER (PARTITION BY repo_id {FRAME})).i AS previous_audit_id
+    FROM runs_good)"""
 LATEST_CTE = f"latest AS (SELECT repo_id, arg_max(audit_id, struct_pack(c := created_at, i := audit_id)) AS audit_id FROM audits WHERE {GOOD} GROUP BY 1)"
 
 CLASSIFY_SQL = f"""WITH {BASE_CTES},
@@ -405,7 +412,7 @@ PLANS = [
         SC.category_scores(findings(t), outcomes(t), t.audits), fix_pairs(t).select(
             *REPO, F.col("previous_audit_id").alias("base_id"), F.col("audit_id").alias("head_id"))).select(
         "base_id", "head_id", "category", (F.col("base_score") * 10).cast("int").alias("base10"),
-        (F.col("head_score") * 10).cast("int").alias("head10")), f"""WITH {BASE_CTES.replace('based AS (', 'based AS MATERIALIZED (')},
+        (F.col("head_score") * 10).cast("int").alias("head10")), f"""WITH {BASE_WINDOW},
         {CATEGORY_CTES.replace('category_scores AS (', 'category_scores AS MATERIALIZED (')}
         SELECT b.previous_audit_id AS base_id, b.audit_id AS head_id, h.category, p.score10 AS base10, h.score10 AS head10
         FROM based b JOIN category_scores h ON h.audit_id = b.audit_id
