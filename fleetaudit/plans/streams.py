@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import AUDIT
 from ..operators import ai as AI
 from ..session import scratch_folder
+from ..sources import documents as DOC
 from ..sources import sinks as SK
 from ..streaming import jobs as J
 from .core import SEV_RANK
@@ -118,6 +119,27 @@ def _report(t) -> DataFrame:
                         "j.severity", "j.file_path", "j.line_start", "j.triage_status")
 
 
+def _sarif_files(t) -> DataFrame:
+    """The SARIF file of every audit, read back."""
+    folder = scratch_folder(t.spark, "sarif")
+    DOC.write_sarif(audit_findings(t), t.audits, folder)
+    rows = DOC.read_documents(t.spark, folder, "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, "
+                              "results: array<struct<ruleId: string, level: string>>>>")
+    run = F.get("document.runs", F.lit(0))
+    return rows.select(F.regexp_extract("path", "([^/]+)[.]sarif$", 1).alias("audit_id"), F.col("document.version").alias("version"),
+                       F.size(run["tool"]["driver"]["rules"]).alias("rules"), F.size(run["results"]).alias("results"),
+                       F.size(F.filter(run["results"], lambda r: r["level"] == "error")).alias("errors"))
+
+
+def _report_files(t) -> DataFrame:
+    """The JSON report of every audit, read back."""
+    folder = scratch_folder(t.spark, "reports")
+    DOC.write_reports(audit_findings(t), t.audits, folder)
+    rows = DOC.read_documents(t.spark, folder, "audit_id string, branch string, count int, findings array<struct<rule_id: string, severity: string>>")
+    return rows.select("document.audit_id", "document.branch", F.col("document.count").alias("n"), F.size("document.findings").alias("listed"),
+                       F.get("document.findings", F.lit(0))["severity"].alias("worst"))
+
+
 def _responses(t) -> DataFrame:
     """Model answers for every request batch, derived from the payload ids: unknown, repeated and empty ones mixed in."""
     batches = AI.request_batches(audit_findings(t), 4, 2)
@@ -263,6 +285,15 @@ PLANS = [
         WITH s AS (SELECT * FROM audit_findings WHERE triage_status <> 'fixed' AND kind <> 'ai_observation')
         SELECT DISTINCT audit_id, 'rule' AS section, rule_id, CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS severity FROM s
         UNION ALL SELECT audit_id, 'result', rule_id, fingerprint, severity FROM s"""),
+    ("sarif_files", _sarif_files, """
+        WITH s AS (SELECT * FROM audit_findings WHERE triage_status <> 'fixed' AND kind <> 'ai_observation')
+        SELECT a.audit_id, '2.1.0' AS version, CAST(count(DISTINCT rule_id) AS INT) AS rules, CAST(count(s.audit_id) AS INT) AS results,
+          CAST(count(*) FILTER (severity IN ('critical', 'high')) AS INT) AS errors
+        FROM audits a LEFT JOIN s ON s.audit_id = a.audit_id GROUP BY a.audit_id"""),
+    ("report_files", _report_files, f"""
+        SELECT a.audit_id, any_value(a.branch) AS branch, CAST(count(f.audit_id) AS INT) AS n, CAST(count(f.audit_id) AS INT) AS listed,
+          arg_max(severity, {SEV_RANK}) AS worst
+        FROM audits a LEFT JOIN (SELECT * FROM audit_findings WHERE triage_status = 'open') f ON f.audit_id = a.audit_id GROUP BY a.audit_id"""),
     ("ai_explanations", lambda t: _explained(t).select("audit_id", "batch", "id", "explanation"), f"""
         WITH c AS (SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY {SEV_RANK} DESC,
              CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, file_path, fingerprint) AS rank
