@@ -14,6 +14,7 @@ from ..streaming import jobs as J
 from .core import SEV_RANK
 from .governance import COMPLIANCE_CTES, CONTROL_SELECT, TODAY, audit_findings, mapped
 
+ORG = "3"
 NOW = TODAY + " 12:00:00"
 
 
@@ -119,6 +120,50 @@ def _report(t) -> DataFrame:
                         "j.severity", "j.file_path", "j.line_start", "j.triage_status")
 
 
+def _channels(t) -> DataFrame:
+    """Two channels of the events' organization, one of them not enabled, and one of each nation's."""
+    rows = t.nation.select(F.col("n_name").alias("org_id"), F.concat(F.lit("c-"), "n_nationkey").alias("channel_id"), F.lit("email").alias("kind"),
+                           F.array(F.lit("audit.failed")).alias("events"), F.lit(True).alias("enabled"))
+    own = t.region.select(F.lit("org").alias("org_id"), F.concat(F.lit("r-"), "r_regionkey").alias("channel_id"),
+                          F.when(F.col("r_regionkey") % 2 == 0, "slack").otherwise("webhook").alias("kind"),
+                          F.when(F.col("r_regionkey") < 2, F.array(F.lit("audit.failed"), F.lit("gate.failed"))).otherwise(F.array(F.lit("audit.regressed"))).alias("events"),
+                          (F.col("r_regionkey") != 3).alias("enabled"))
+    return rows.unionByName(own)
+
+
+def _alert_deliveries(t) -> DataFrame:
+    folder = _scratch(t)
+    desk = J.FanOut(_channels(t), folder)
+    J.run_batches(J.audit_alerts(finished(event_stream(t))), folder, desk.merge)
+    return desk.deliveries(J.ALERT + ", channel_id string, kind string").select("repo_id", "audit_id", "event", "channel_id", "kind")
+
+
+def _late_rows(t) -> DataFrame:
+    """The events in four triggers by their number, so that many come after later ones."""
+    folder = _scratch(t)
+    late = J.LateRows(t.spark, folder)
+    names = ["event_id", "ts", "user_id"]
+    for part in range(4):
+        t.events.where(F.col("event_id") % 4 == part).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id").coalesce(1).write.mode(
+            "append").parquet(f"{folder}/in")
+        schema = t.spark.read.parquet(f"{folder}/in").select(*names).schema
+        J.run_batches(t.spark.readStream.schema(schema).parquet(f"{folder}/in"), folder, late.merge)
+    kept = late.read("event_id long, ts timestamp, user_id long", late=True)
+    told = late.marks().agg(F.sum("late")).first()[0]
+    return kept.groupBy("user_id").agg(F.count("*").alias("late"), F.max("event_id").alias("last")).withColumn("told", F.lit(told))
+
+
+def _tenant_findings(t) -> DataFrame:
+    """All findings in monthly batches, the even months twice; read back for one organization."""
+    folder = scratch_folder(t.spark, "findings")
+    runs = t.audits.select("org_id", "audit_id", F.date_format("created_at", "yyyy-MM").alias("batch"))
+    found = audit_findings(t)
+    SK.write_findings(found, runs, folder)
+    SK.write_findings(found, runs.where(F.substring("batch", 6, 2).cast("int") % 2 == 0), folder)
+    schema = "audit_id string, rule_id string, severity string, title string, org_id string, batch string"
+    return SK.read_findings(t.spark, folder, schema, ORG).groupBy("audit_id", "batch").agg(F.count("*").alias("findings"), F.max("title").alias("title"))
+
+
 def _sarif_files(t) -> DataFrame:
     """The SARIF file of every audit, read back."""
     folder = scratch_folder(t.spark, "sarif")
@@ -166,6 +211,14 @@ def _assistant(t) -> DataFrame:
             .alias("observations"))).alias("response"))
 
 
+ALERT_SQL = """
+    WITH f AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, CAST(event_id AS VARCHAR) AS audit_id, ts, event_type = 'error' AS bad,
+                 floor(value) AS score, event_id % 11 = 0 AS severe, event_id % 3 > 0 AS passed FROM events
+               WHERE time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' < (SELECT max(ts) - INTERVAL '10 minutes' FROM events)),
+    g AS (SELECT *, lag(score) OVER w AS before, lag(passed) OVER w AS was FROM f WHERE NOT bad WINDOW w AS (PARTITION BY repo_id ORDER BY ts, audit_id))
+    SELECT repo_id, audit_id, 'audit.failed' AS event FROM f WHERE bad
+    UNION ALL SELECT repo_id, audit_id, 'audit.regressed' FROM g WHERE before IS NOT NULL AND (before - score >= 5 OR severe)
+    UNION ALL SELECT repo_id, audit_id, 'gate.failed' FROM g WHERE NOT passed AND coalesce(was, true)"""
 SEC = "date_trunc('second', ts)"
 PLANS = [
     ("rate_windows", lambda t: J.run_available(J.rate_windows(hits(event_stream(t)), 2, 3600), _scratch(t)).select(
@@ -185,14 +238,7 @@ PLANS = [
               FROM f JOIN o ON o.scope = f.scope AND o.ident = f.ident AND o.rn = f.rn + 1)
         SELECT scope, ident, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(hits AS BIGINT) AS hits, hits > 2 AS over FROM f"""),
     ("audit_alerts", lambda t: J.run_available(J.audit_alerts(finished(event_stream(t))), _scratch(t)).select(
-        "repo_id", "audit_id", "event"), """
-        WITH f AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, CAST(event_id AS VARCHAR) AS audit_id, ts, event_type = 'error' AS bad,
-                     floor(value) AS score, event_id % 11 = 0 AS severe, event_id % 3 > 0 AS passed FROM events
-                   WHERE time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' < (SELECT max(ts) - INTERVAL '10 minutes' FROM events)),
-        g AS (SELECT *, lag(score) OVER w AS before, lag(passed) OVER w AS was FROM f WHERE NOT bad WINDOW w AS (PARTITION BY repo_id ORDER BY ts, audit_id))
-        SELECT repo_id, audit_id, 'audit.failed' AS event FROM f WHERE bad
-        UNION ALL SELECT repo_id, audit_id, 'audit.regressed' FROM g WHERE before IS NOT NULL AND (before - score >= 5 OR severe)
-        UNION ALL SELECT repo_id, audit_id, 'gate.failed' FROM g WHERE NOT passed AND coalesce(was, true)"""),
+        "repo_id", "audit_id", "event"), ALERT_SQL),
     ("dedupe_deliveries", lambda t: J.route_deliveries(deliveries(t.events)).groupBy("repo_id", "sha", "pr", "route").agg(
         F.min("ts").alias("_t")).select("repo_id", "sha", "pr", "route"), """
         SELECT DISTINCT CAST(user_id AS VARCHAR) AS repo_id, event_type AS sha, 0 AS pr, CASE event_id % 6 WHEN 3 THEN 'ping'
@@ -285,6 +331,20 @@ PLANS = [
         WITH s AS (SELECT * FROM audit_findings WHERE triage_status <> 'fixed' AND kind <> 'ai_observation')
         SELECT DISTINCT audit_id, 'rule' AS section, rule_id, CAST(NULL AS VARCHAR) AS fingerprint, CAST(NULL AS VARCHAR) AS severity FROM s
         UNION ALL SELECT audit_id, 'result', rule_id, fingerprint, severity FROM s"""),
+    ("alert_deliveries", _alert_deliveries, f"""
+        WITH alerts AS ({ALERT_SQL}),
+        channels AS (SELECT concat('r-', r_regionkey) AS channel_id, CASE WHEN r_regionkey % 2 = 0 THEN 'slack' ELSE 'webhook' END AS kind,
+            unnest(CASE WHEN r_regionkey < 2 THEN ['audit.failed', 'gate.failed'] ELSE ['audit.regressed'] END) AS event
+          FROM region WHERE r_regionkey <> 3)
+        SELECT repo_id, audit_id, event, channel_id, kind FROM alerts JOIN channels USING (event)"""),
+    ("late_rows", _late_rows, """
+        WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_id % 4 AS part FROM events),
+        m AS (SELECT part, max(ts) AS latest FROM e GROUP BY 1),
+        l AS (SELECT user_id, event_id FROM e WHERE ts < (SELECT max(latest) FROM m WHERE m.part < e.part) - INTERVAL 10 MINUTE)
+        SELECT user_id, count(*) AS late, max(event_id) AS last, (SELECT count(*) FROM l)::BIGINT AS told FROM l GROUP BY user_id"""),
+    ("tenant_findings", _tenant_findings, f"""
+        SELECT f.audit_id, strftime(a.created_at, '%Y-%m') AS batch, count(*) AS findings, max(title) AS title
+        FROM audit_findings f JOIN audits a USING (audit_id) WHERE a.org_id = '{ORG}' GROUP BY ALL"""),
     ("sarif_files", _sarif_files, """
         WITH s AS (SELECT * FROM audit_findings WHERE triage_status <> 'fixed' AND kind <> 'ai_observation')
         SELECT a.audit_id, '2.1.0' AS version, CAST(count(DISTINCT rule_id) AS INT) AS rules, CAST(count(s.audit_id) AS INT) AS results,

@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from . import blooms, timers
 from .versions import Versioned
 
-WATERMARK = "10 minutes"  # our own policy; later rows go to the side table of ``split_late``
+WATERMARK = "10 minutes"  # our own policy; ``LateRows`` keeps later rows in a side table
 RUNNING_LIMIT_SECONDS = 6 * 300 + 300
 QUEUED_LIMIT_SECONDS = 6 * 3600
 
@@ -32,13 +32,6 @@ def run_batches(stream: DataFrame, folder: str, merge: Callable[[DataFrame, int]
     query.awaitTermination()
 
 
-def split_late(batch: DataFrame, seen_until, delay: str = WATERMARK) -> tuple[DataFrame, DataFrame]:
-    """Rows on time and rows older than the watermark of the previous batch."""
-    bound = F.lit(seen_until).cast("timestamp") - F.expr(f"INTERVAL {delay}")
-    late = F.col("ts") < bound if seen_until is not None else F.lit(False)
-    return batch.filter(~late), batch.filter(late)
-
-
 # --- T1 --------------------------------------------------------------------------------------------
 def rate_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Hits per (scope, ident) in fixed windows, flagged above the limit. Counts combine before the shuffle, so one
@@ -77,6 +70,57 @@ def notify(alerts: DataFrame, channels: DataFrame) -> DataFrame:
     return alerts.join(wanted, ["org_id", "event"])
 
 
+class FanOut:
+    """Alerts of a stream to their sinks, each micro-batch read once: the log of all alerts, and deliveries by kind of
+    channel. An epoch that runs again writes the same folders again."""
+
+    def __init__(self, channels: DataFrame, folder: str):
+        self.channels, self.folder = channels, folder
+
+    def merge(self, batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{self.folder}/log/epoch={epoch}")
+        notify(batch, self.channels).write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/deliveries/epoch={epoch}")
+        batch.unpersist()
+
+    def deliveries(self, schema: str) -> DataFrame:
+        """``schema`` has the columns of an alert and of a channel, kind included."""
+        return self.channels.sparkSession.read.schema(schema).parquet(f"{self.folder}/deliveries")
+
+
+class LateRows:
+    """Rows behind the watermark, kept in a table of their own and counted, next to those on time. The watermark of an epoch
+    follows the rows of the epochs before; it is written with the epoch, so a restart goes on with it."""
+
+    def __init__(self, spark: SparkSession, folder: str, delay: str = WATERMARK):
+        self.spark, self.folder, self.delay = spark, folder, delay
+
+    def _seen(self, before: int):
+        """The latest time of the epochs before ``before``; null without any."""
+        if before == 0:
+            return None
+        marks = self.spark.read.schema("epoch int, seen timestamp, rows long, late long").parquet(f"{self.folder}/marks")
+        return marks.where(F.col("epoch") < before).agg(F.max("seen")).first()[0]
+
+    def merge(self, batch: DataFrame, epoch: int) -> None:
+        seen = self._seen(epoch)
+        watched = Observation()
+        is_late = F.lit(False) if seen is None else F.col("ts") < F.lit(seen) - F.expr(f"INTERVAL {self.delay}")
+        marked = batch.withColumn("late", is_late).observe(
+            watched, F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"), F.max("ts").alias("seen"))
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{self.folder}/rows/epoch={epoch}")
+        told = watched.get
+        latest = max((t for t in (seen, told.get("seen")) if t is not None), default=None)
+        self.spark.createDataFrame([(latest, told["rows"], told["late"])], "seen timestamp, rows long, late long").coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.folder}/marks/epoch={epoch}")
+
+    def read(self, schema: str, late: bool) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, late boolean").parquet(f"{self.folder}/rows").where(F.col("late") == late).drop("late")
+
+    def marks(self) -> DataFrame:
+        return self.spark.read.schema("epoch int, seen timestamp, rows long, late long").parquet(f"{self.folder}/marks")
+
+
 # --- T3 --------------------------------------------------------------------------------------------
 def route_deliveries(events: DataFrame) -> DataFrame:
     """Which handler a webhook delivery goes to."""

@@ -3,7 +3,7 @@
 A timer fires once the watermark has passed it, so by then every row before it that is not late has come. What arrives
 before its turn waits in map state, one entry per bucket of ``BUCKET`` seconds; a timer at the end of a bucket takes that
 bucket's rows in order. A task holds one bucket of one key and one Arrow batch of input at a time, however many rows a key
-has in a trigger. Rows behind the watermark never reach a step; ``jobs.split_late`` sets them aside."""
+has in a trigger. Rows behind the watermark never reach a step; ``jobs.LateRows`` keeps them aside."""
 
 from __future__ import annotations
 

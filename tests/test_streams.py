@@ -245,3 +245,32 @@ def test_filters_miss_nothing_and_hit_little():
     bits = blooms.filter_of(h[:10_000])
     assert blooms.may_have(bits, h[:10_000]).all() and blooms.may_have(bits, h[10_000:]).mean() < 0.005
     assert not blooms.may_have(blooms.filter_of(h[:0]), h[:5]).any()
+
+
+def test_late_rows_are_kept_counted_and_survive_restarts(spark, tmp_path):
+    batch = lambda *minutes: spark.createDataFrame([(m, at(m)) for m in minutes], "n int, ts timestamp")
+    late = J.LateRows(spark, str(tmp_path))
+    late.merge(batch(100, 0, 50), 0)  # nothing has been seen before
+    late.merge(batch(90, 89, 120, 95), 1)
+    late = J.LateRows(spark, str(tmp_path))
+    late.merge(batch(109, 110, 111), 2)
+    late.merge(batch(109, 110, 111), 2)  # a replay
+    late.merge(batch(), 3)
+    late.merge(batch(5), 4)
+    got = lambda x: sorted(r["n"] for r in late.read("n int, ts timestamp", x).collect())
+    assert got(True) == [5, 89, 109] and got(False) == [0, 50, 90, 95, 100, 110, 111, 120]
+    assert sorted((r["epoch"], r["rows"], r["late"]) for r in late.marks().collect()) == [(0, 3, 0), (1, 4, 1), (2, 3, 1), (3, 0, 0), (4, 1, 1)]
+
+
+def test_fan_out_by_channel_and_replayed(spark, tmp_path):
+    alerts = spark.createDataFrame([("o", "r", "main", f"a{i}", e, None, None, None) for i, e in enumerate(["audit.failed", "gate.failed", "audit.regressed"])], J.ALERT)
+    channels = spark.createDataFrame([("o", "c1", "email", ["audit.failed", "gate.failed"], True), ("o", "c2", "slack", ["gate.failed"], True),
+                                      ("o", "c3", "slack", ["audit.failed"], False), ("p", "c4", "email", ["audit.failed"], True), ("o", "c5", "email", None, True)],
+                                     "org_id string, channel_id string, kind string, events array<string>, enabled boolean")
+    desk = J.FanOut(channels, str(tmp_path))
+    for epoch in (0, 1, 1):
+        desk.merge(alerts, epoch)
+    rows = desk.deliveries(J.ALERT + ", channel_id string, kind string").collect()
+    once = [("a0", "c1", "email"), ("a1", "c1", "email"), ("a1", "c2", "slack")]
+    assert sorted((r["audit_id"], r["channel_id"], r["kind"]) for r in rows) == sorted(once * 2)
+    assert spark.read.schema(J.ALERT).parquet(f"{tmp_path}/log").count() == 6
