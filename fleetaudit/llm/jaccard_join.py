@@ -32,6 +32,7 @@ from .common import documents, pieces, written
 from .components import components, stars
 
 OWN, BELOW = 0, 1
+SHORT = 32  # bytes of the shortest sketch, which joins compare
 COSTLY = 64  # look-ups that find more sets than this are weighed against deletion neighbourhoods
 SMALL = 1_000_000  # rows of a few numbers that may be broadcast
 
@@ -43,18 +44,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the shingles: A-Z lowered, words between ASCII white space; fewer words make one
-    shingle, none make none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-    width = min(words, len(own))
-    out = np.full(len(own) - width + 1, width, np.uint64)
+class Words(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 600_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def shingle_sets(texts: list[str | None], words: int, known: Words) -> list[np.ndarray]:
+    """Of every text the ascending distinct 64-bit hashes of its shingles: A-Z lowered, words between ASCII white space; fewer
+    words make one shingle, none make none. The words of all texts are mixed together."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    count = sum(map(len, parts))
+    own = np.fromiter((known[w] for p in parts for w in p), np.uint64, count)
+    whole = _windows(own, words)
+    out, at = [], 0
+    for p in parts:
+        n = len(p)
+        out.append(np.unique(whole[at:at + n - words + 1]) if n >= words else _windows(own[at:at + n], n) if n else own[:0])
+        at += n
+    return out
+
+
+def _windows(own: np.ndarray, width: int) -> np.ndarray:
+    out = np.full(max(0, len(own) - width + 1), width, np.uint64)
     for i in range(width):
         out = mixed((out ^ own[i:i + len(out)]) + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(out)
+    return out
 
 
 class Scheme:
@@ -66,6 +85,7 @@ class Scheme:
         while lows[-1] < 1 << 40:
             lows.append(lows[-1] * 100 // percent + 1)
         self.lows = np.array(lows)
+        self.starts: dict[int, np.ndarray] = {}
 
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, side="right")) - 1
@@ -89,21 +109,34 @@ class Scheme:
             out.append((BELOW, band - 1, self.differences(n, self.top(band - 1)) + 1))
         return out
 
-    def parts(self, elements: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per segment the key of the part, and per element its segment and the key of that part without it."""
-        count = self.segments(band)
-        segment = ((elements >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
-        spread = mixed(elements)
-        order = np.argsort(segment, kind="stable")
-        border = np.searchsorted(segment[order], np.arange(count + 1))
-        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread[order], dtype=np.uint64)))
-        sums = running[border[1:]] - running[border[:-1]]
-        salt = mixed(np.arange(count, dtype=np.uint64) + np.uint64((band + 1) << 40))
-        return (mixed(sums ^ salt).view(np.int64), segment, mixed((sums[segment] - spread) ^ salt[segment]).view(np.int64))
+    def borders(self, elements: np.ndarray, band: int) -> np.ndarray:
+        """Where the segments of ``band`` start in the ascending ``elements``: equal ranges of the hashes."""
+        if band not in self.starts:
+            count = self.segments(band)
+            self.starts[band] = np.array([-(-(i << 64) // count) for i in range(count)], np.uint64)
+        return np.append(np.searchsorted(elements, self.starts[band]), len(elements))
+
+    def parts(self, sums: np.ndarray, borders: np.ndarray, band: int) -> np.ndarray:
+        """The key of the part in every segment. ``sums`` are the running sums of the spread elements, from zero."""
+        return mixed((sums[borders[1:]] - sums[borders[:-1]]) ^ _salt(band, len(borders) - 1)).view(np.int64)
+
+    def shortened(self, spread: np.ndarray, sums: np.ndarray, borders: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of every element its segment and the key of the part without it."""
+        segment = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+        whole = sums[borders[1:]] - sums[borders[:-1]]
+        return segment, mixed((whole[segment] - spread) ^ _salt(band, len(borders) - 1)[segment]).view(np.int64)
+
+
+def _salt(band: int, count: int) -> np.ndarray:
+    return mixed(np.arange(count, dtype=np.uint64) + np.uint64((band + 1) << 40))
+
+
+def _sums(spread: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)))
 
 
 def odd_sketch(elements: np.ndarray) -> bytes:
-    size = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    size = max(8 * SHORT, 1 << (2 * len(elements) - 1).bit_length())
     parity = np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -127,10 +160,10 @@ def _entries(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     for or is indexed under (key, set, role, segment)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
+        known = Words()
         for batch in pieces(batches, chars=2_000_000):
             infos, keys, sets, roles, segments = [], [], [], [], []
-            for doc_id, text_key, text in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"]):
-                elements = shingles(text, words)
+            for doc_id, text_key, elements in zip(batch["doc_id"].astype("Int64"), batch["text_key"], shingle_sets(list(batch["text"]), words, known)):
                 name = _set_id(elements)
                 infos.append((name, len(elements), doc_id, text_key, odd_sketch(elements) if len(elements) else None))
                 if not len(elements) or name in done:
@@ -138,8 +171,9 @@ def _entries(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 if len(done) >= 1_000_000:
                     done.clear()
                 done.add(name)
+                sums = _sums(mixed(elements))
                 for role, band, _ in scheme.roles(len(elements)):
-                    own = scheme.parts(elements, band)[0]
+                    own = scheme.parts(sums, scheme.borders(elements, band), band)
                     keys.append(own)
                     sets.append(np.full(len(own), name))
                     roles.append(np.full(len(own), role, np.int32))
@@ -162,6 +196,8 @@ def _shared(entries: DataFrame) -> DataFrame:
         held = None  # the last row, whose successor is not known yet
         last_key = last_leader = None  # the part before that row
         for batch in batches:
+            if not len(batch):
+                continue
             frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
             key, name = frame["key"].to_numpy(), frame["set"].to_numpy()
             fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
@@ -217,16 +253,22 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _texts(asked: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
+    """The text of every set asked for."""
+    wanted = _few(written(asked.join(homes, "set").select(F.col("doc_id").alias("home"), "text_key"), "jaccard_wanted"))
+    return (docs.withColumn("text_key", F.xxhash64("text")).join(wanted, "text_key")
+            .where(F.col("home").eqNullSafe(F.col("doc_id"))).select("text"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that link, by exact intersections of their shingles."""
     pairs = written(pairs, "jaccard_pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    wanted = _few(written(asked.join(homes, "set").select(F.col("doc_id").alias("home"), "text_key"), "jaccard_wanted"))
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, "text_key").where(F.col("home").eqNullSafe(F.col("doc_id")))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), docs, homes)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Words()
         for batch in pieces(batches):
-            found = [shingles(t, words) for t in batch["text"]]
+            found = shingle_sets(list(batch["text"]), words, known)
             yield pd.DataFrame({"set": [_set_id(e) for e in found], "elements": [e.tobytes() for e in found]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,40 +280,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame, words: int, s
                 keep.append(100 * both >= scheme.percent * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    elements = written(texts.select("text").mapInPandas(cut, "set long, elements binary"), "jaccard_sets")
+    elements = written(texts.mapInPandas(cut, "set long, elements binary"), "jaccard_sets")
     return written(_sides(pairs, elements).mapInPandas(compare, "a long, b long").distinct(), "jaccard_links")
 
 
-def _neighbourhoods(docs: DataFrame, words: int, scheme: Scheme, wanted: DataFrame, own: bool) -> DataFrame:
-    """(set, role, segment, key): the parts with one shingle deleted of every set. ``wanted`` has the sets asked for (own), in
-    all their roles, or the keys asked for, of sets in their own band; a short list of either is looked up in the task."""
-    column = "set" if own else "key"
-    few = wanted.count() <= SMALL
-    names = np.sort(np.array([r[0] for r in wanted.select(column).distinct().collect()], np.int64)) if few else None
-    names = docs.sparkSession.sparkContext.broadcast(names) if few else None
+def _neighbourhoods(texts: DataFrame, words: int, scheme: Scheme, roles: int, keys: DataFrame | None = None) -> DataFrame:
+    """(set, role, segment, key): the parts with one shingle deleted of every set, in its first ``roles`` roles; of these only
+    the ``keys`` asked for, if any are. A short list of keys is looked up in the task."""
+    few = keys is not None and keys.count() <= SMALL
+    names = np.sort(np.array([r[0] for r in keys.select("key").distinct().collect()], np.int64)) if few else None
+    names = texts.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in pieces(batches, chars=500_000):
+        known = Words()
+        for batch in pieces(batches, chars=1_000_000):
             out = []
-            for text in batch["text"]:
-                elements = shingles(text, words)
+            for elements in shingle_sets(list(batch["text"]), words, known):
                 if not len(elements):
                     continue
-                name = _set_id(elements)
-                if own and names is not None and not _among(np.array([name]), names.value)[0]:
-                    continue
-                for role, band, _ in scheme.roles(len(elements))[:2 if own else 1]:
-                    _, segment, keys = scheme.parts(elements, band)
-                    if not own and names is not None:
-                        hit = _among(keys, names.value)
-                        segment, keys = segment[hit], keys[hit]
-                    if len(keys):
-                        out.append(pd.DataFrame({"set": name, "role": role, "segment": segment, "key": keys}))
+                spread = mixed(elements)
+                sums, name = _sums(spread), _set_id(elements)
+                for role, band, _ in scheme.roles(len(elements))[:roles]:
+                    segment, key = scheme.shortened(spread, sums, scheme.borders(elements, band), band)
+                    if names.value is not None:
+                        hit = _among(key, names.value)
+                        segment, key = segment[hit], key[hit]
+                    if len(key):
+                        out.append(pd.DataFrame({"set": name, "role": role, "segment": segment, "key": key}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    found = docs.select("text").mapInPandas(run, "set long, role int, segment int, key long").distinct()
-    return found if few else found.join(wanted.select(column).distinct(), column, "left_semi")
+    found = texts.mapInPandas(run, "set long, role int, segment int, key long")
+    return found.distinct() if few or keys is None else found.join(keys.select("key").distinct(), "key", "left_semi").distinct()
 
 
 def _among(values: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -289,6 +329,15 @@ def _needs(info: DataFrame, scheme: Scheme) -> DataFrame:
     return info.select("set", F.inline(spare("n")))
 
 
+def _short(info: DataFrame) -> DataFrame:
+    """set, size and its sketch folded to the shortest, as longs."""
+    @F.pandas_udf("array<long>")
+    def folded(sketch: pd.Series) -> pd.Series:
+        return sketch.map(lambda s: np.bitwise_xor.reduce(np.frombuffer(s, np.int64).reshape(-1, SHORT // 8), axis=0))
+
+    return written(info.select("set", F.col("n").alias("size"), folded("sketch").alias("short")), "jaccard_short")
+
+
 def _look_ups(shared: DataFrame, roots: DataFrame, info: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries under parts of several components with their ``cost``; how many sets each such part is the index of; and the
     look-ups left to a set once it leaves out its ``spare`` dearest ones (a set leaves out none it does not have to)."""
@@ -306,22 +355,28 @@ def _look_ups(shared: DataFrame, roots: DataFrame, info: DataFrame, scheme: Sche
     return costs, several, written(asked.select("key", "set", "role", "segment", "root", "cost", "spare"), "jaccard_asked")
 
 
-def _remaining(entries: DataFrame, shared: DataFrame, roots: DataFrame, info: DataFrame, docs: DataFrame, words: int,
+def _remaining(entries: DataFrame, shared: DataFrame, roots: DataFrame, homes: DataFrame, docs: DataFrame, words: int,
                scheme: Scheme, costly: int) -> DataFrame:
     """(a, b): pairs that the look-ups of the allocation find between components, not yet verified."""
-    costs, several, asked = _look_ups(shared, roots, info, scheme)
-    index = costs.where(F.col("role") == OWN).select("key", F.col("set").alias("other"), F.col("root").alias("far"))
+    costs, several, asked = _look_ups(shared, roots, homes, scheme)
+    short = _short(homes)
+    index = written(costs.where(F.col("role") == OWN).join(short, "set")
+                    .select("key", F.col("set").alias("other"), F.col("root").alias("far"), F.col("size").alias("far_size"), F.col("short").alias("far_short")), "jaccard_index")
+    differ = sum((F.bit_count(F.get("short", F.lit(i)).bitwiseXOR(F.get("far_short", F.lit(i)))) for i in range(SHORT // 8)), F.lit(0))
+    likely = ((F.col("root") != F.col("far")) & (F.least("size", "far_size") * 100 >= F.greatest("size", "far_size") * scheme.percent)
+              & (differ * (100 + scheme.percent) <= (F.col("size") + F.col("far_size")) * (100 - scheme.percent)))
     dear = written(asked.groupBy("set", "role").agg(F.sum("cost").alias("cost"), F.count("*").alias("deficit"))
                    .where(F.col("cost") > costly).select("set", "role", "deficit"), "jaccard_dear")
 
     def found(look_ups: DataFrame) -> DataFrame:
-        return look_ups.join(index, "key").where("root <> far").select(*_pair("set", "other"))
+        asking = look_ups.select("key", "set", "root").join(short, "set").alias("asking")
+        return asking.join(index, "key").where(likely).select(*_pair("set", "other"))
 
     if not dear.limit(1).count():
         return found(asked).distinct()
     plain = asked.join(dear.select("set", "role"), ["set", "role"], "left_anti")
     # items of one credit each: a look-up, or the neighbourhood of a segment whose own look-up is free
-    near = written(_neighbourhoods(docs, words, scheme, dear, own=True).join(dear.select("set", "role"), ["set", "role"], "left_semi")
+    near = written(_neighbourhoods(_texts(dear.select("set").distinct(), docs, homes), words, scheme, roles=2).join(dear.select("set", "role"), ["set", "role"], "left_semi")
                    .join(costs.select("set", "role", "segment"), ["set", "role", "segment"], "left_anti"), "jaccard_near")
     upgrade = (near.join(several, "key", "left").groupBy("set", "role", "segment")
                .agg((F.count("*") + F.coalesce(F.sum("n"), F.lit(0))).alias("cost")).withColumn("kind", F.lit(1)))
@@ -337,7 +392,7 @@ def _remaining(entries: DataFrame, shared: DataFrame, roots: DataFrame, info: Da
     # the own part with one shingle less, against whole parts of the index; the whole one, against neighbourhoods of the index
     against = entries.where(F.col("role") == OWN).select("key", F.col("set").alias("other"))
     shorter = against.join(_few(deleted), "key").select(*_pair("set", "other"))
-    longer = _neighbourhoods(docs, words, scheme, whole, own=False).select("key", F.col("set").alias("other")).join(whole, "key").select(*_pair("set", "other"))
+    longer = _neighbourhoods(docs.select("text"), words, scheme, roles=1, keys=whole).select("key", F.col("set").alias("other")).join(whole, "key").select(*_pair("set", "other"))
     across = shorter.unionByName(longer).where("a <> b").distinct()
     for end in ("a", "b"):
         across = across.join(roots.select(F.col("set").alias(end), F.col("root").alias(f"r_{end}")), end, "left").withColumn(f"r_{end}", F.coalesce(f"r_{end}", end))
@@ -367,7 +422,7 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85, costly
     across = star.join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         across = across.join(roots.select(F.col("set").alias(end), F.col("root").alias(f"r_{end}")), end, "left").withColumn(f"r_{end}", F.coalesce(f"r_{end}", end))
-    rest = _plausible(_remaining(entries, shared, roots, info, docs, words, scheme, costly), info, scheme)
+    rest = _plausible(_remaining(entries, shared, roots, homes, docs, words, scheme, costly), info, scheme)
     rest = rest.unionByName(across.where("r_a <> r_b").select("a", "b")).distinct()
     links = links.unionByName(_verified(rest, docs, homes, words, scheme))
     least = filled.groupBy("set").agg(F.min("doc_id").alias("least"))
