@@ -32,7 +32,7 @@ from .common import documents, pieces, written
 from .components import components, stars
 
 OWN, BELOW = 0, 1
-SHORT = 32  # bytes of the shortest sketch, which joins compare
+SHORT = 128  # bytes of the shortest sketch, which joins compare
 COSTLY = 64  # look-ups that find more sets than this are weighed against deletion neighbourhoods
 SMALL = 1_000_000  # rows of a few numbers that may be broadcast
 
