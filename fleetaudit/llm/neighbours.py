@@ -1,9 +1,9 @@
 """Nearest neighbours by cosine: a vantage-point tree per shard, pruned by the triangle inequality.
 
 On unit vectors the largest cosine is the smallest Euclidean distance, which is a metric. Rows are dealt over shards by a
-hash of their id, so a shard has a bounded expected size whatever the vectors are. A shard builds its tree once and takes
-the queries block by block; a query skips a branch whose nearest possible distance, times ``factor``, exceeds the k-th
-distance it has. Factor one is exact search; larger factors skip more. Each shard hands on k candidates per query, scored
+hash of id and vector, equal rows counted first, so a shard has a bounded expected size whatever the vectors are. A cell is one
+shard and one block of queries; it builds the shard's tree and a query skips a branch whose nearest possible distance, times ``factor``, exceeds the k-th
+distance it has. Vectors are scaled by powers of two, which is exact, so neither large nor tiny components overflow. Factor one is exact search; larger factors skip more. Each shard hands on k candidates per query, scored
 on the original vectors in double precision, and Spark ranks them.
 """
 
@@ -101,6 +101,15 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             .where(finite).where(F.exists("v", lambda x: x != 0)))
 
 
+def _scaled(data: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between a half and one."""
+    return np.ldexp(data, -np.frexp(np.abs(data).max(axis=1, keepdims=True))[1])
+
+
+def _unit(scaled: np.ndarray) -> np.ndarray:
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
 def _cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines by sums along rows, the same for equal vectors wherever they stand."""
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
@@ -110,17 +119,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
             query_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows, itself (its id) apart.
 
-    Both sides have columns id and v (see ``usable``). Vectors of different lengths never meet. Rows of an id that
-    occurs several times are all candidates. A shard holds about ``shard_rows`` rows, a cell one shard and a block of
+    Both sides have columns id and v (see ``usable``). Vectors of different lengths never meet. Candidate rows that are
+    repeated all count. A query row that is repeated is asked once; queries of one id and different vectors are ranked
+    each on its own. A shard holds about ``shard_rows`` rows, a cell one shard and a block of
     about ``query_block`` queries."""
-    rows = written(vectors, "vectors")
-    asked = written(queries, "queries")
+    rows = written(vectors.groupBy("id", "v").agg(F.count("*").alias("n")), "vectors")
+    asked = written(queries.select("id", "v").distinct(), "queries")
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-asked.count() // query_block))
     # a shard's rows go to one cell per block of queries and the other way round: rows x blocks and queries x shards
     left = (rows.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    right = (asked.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(blocks)).cast("int"))
+    right = (asked.withColumn("query_key", F.xxhash64("v")).withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(blocks)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
 
     def cell(key: tuple, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -128,24 +138,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
         if len(own) and len(ask):
             order = np.argsort(own["id"].to_numpy(), kind="stable")
             ids = own["id"].to_numpy()[order]
-            data = np.vstack(own["v"].to_list())[order]
-            scaled = data / np.abs(data).max(axis=1, keepdims=True)
-            tree = Tree(scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True)))
-            for query_id, vector in zip(ask["id"], ask["v"]):
-                vector = np.asarray(vector, float)
-                unit = vector / np.abs(vector).max()
-                unit = unit / np.sqrt((unit * unit).sum())
+            times = np.minimum(own["n"].to_numpy()[order], k)
+            data = _scaled(np.vstack(own["v"].to_list()).astype(float)[order])
+            tree = Tree(_unit(data))
+            asks = _scaled(np.vstack(ask["v"].to_list()).astype(float))
+            for query_id, query_key, vector, unit in zip(ask["id"], ask["query_key"], asks, _unit(asks)):
                 found = tree.search(unit, k + int((ids == query_id).sum()), factor)
                 found = found[ids[found] != query_id]
                 score = _cosines(vector, data[found])
                 few = np.lexsort((ids[found], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found][few], "score": score[few]}))
+                few = np.repeat(few, times[found[few]])[:k]
+                out.append(pd.DataFrame({"query_id": query_id, "query_key": query_key, "vec_id": ids[found][few], "score": score[few]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            {n: pd.Series(dtype="float64" if n == "score" else "int64") for n in ("query_id", "query_key", "vec_id", "score")})
 
     keys = ["dim", "shard", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        cell, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        cell, "query_id long, query_key long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

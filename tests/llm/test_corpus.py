@@ -186,6 +186,31 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert neighbours.nearest(few, few.where("id = 0")).count() == 2
 
 
+def test_repeated_queries_and_candidates(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, list(map(float, rng.normal(size=6)))) for i in range(200)]
+    vectors = neighbours.usable(spark.createDataFrame(rows + [rows[0], rows[0], rows[50]], "vec_id long, embedding array<double>"))
+    got = {}
+    for r in neighbours.nearest(vectors, vectors.where("id % 50 = 0"), shard_rows=50, query_block=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == plain_nearest(rows + [rows[0], rows[0], rows[50]], [0, 50, 100, 150], 5)
+    twins = neighbours.usable(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    found = neighbours.nearest(twins, twins.where("id = 0"), k=2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [2, 1] and found[1]["score"] == 0.0
+    found = neighbours.nearest(twins, twins.where("id = 0"), k=5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in found] == [(1, 2), (2, 1), (3, 1)]
+    two = neighbours.usable(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<double>"))
+    found = neighbours.nearest(two, two.where("id = 0"), k=1).collect()
+    assert sorted(r["vec_id"] for r in found) == [1, 2]
+
+
+def test_large_and_tiny_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1e-200, 0.0]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308])]
+    vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {r["vec_id"]: r["score"] for r in neighbours.nearest(vectors, vectors.where("id = 0")).collect()}
+    assert found == pytest.approx({1: 1.0, 2: 1.0, 3: 0.5 ** 0.5, 4: 1.0, 5: 0.0})
+
+
 def test_relaxed_pruning_still_finds_most(spark):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(20, 8))
