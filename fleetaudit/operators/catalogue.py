@@ -8,7 +8,7 @@ tbl, col, detail map, file, line, downgrade). ``dialects``: (repo keys, dialect)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import _c
@@ -289,21 +289,30 @@ def _still_declared(ops: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.filter(~later).select(*REPO, "tool", "mig_seq", "op_seq").withColumn("_used", F.lit(True))
 
 
+def _looked_back(rows: DataFrame, mig: list[str], flag: str, name: Column, statements: DataFrame) -> DataFrame:
+    """``rows`` with ``flag``: whether an earlier step of the same migration is a statement of that name. A name's first step
+    tells, so the look-back is a minimum per name, combined before the shuffle, and an equi-join: a migration of any length
+    is neither gathered nor sorted. ``statements`` has ``_name``."""
+    first = statements.groupBy(*mig, "_name").agg(F.min("op_seq").alias("_at"))
+    joined = rows.withColumn("_name", name).join(first, [*mig, "_name"], "left")
+    return joined.withColumn(flag, F.coalesce(F.col("_at") < F.col("op_seq"), F.lit(False))).drop("_at", "_name")
+
+
 def migration_issues(ops: DataFrame, columns: DataFrame, dialects: DataFrame) -> DataFrame:
-    """Destructive, unsafe and irreversible migration steps, judged per engine. Windows stay inside one migration."""
+    """Destructive, unsafe and irreversible migration steps, judged per engine. What earlier steps of the same migration
+    did is looked up by name, see ``_looked_back``; steps of equal number don't see each other."""
     engines = dialects.groupBy(*REPO).agg(F.collect_set("dialect").alias("_d"))
     mig = [*REPO, "tool", "mig_seq"]
-    inside = Window.partitionBy(*mig)
-    before = inside.orderBy("op_seq").rowsBetween(Window.unboundedPreceding, -1)
     none = F.array().cast("array<string>")
-    rows = ops.join(engines, REPO, "left").withColumn("_d", F.coalesce("_d", none))
-    created = F.collect_set(F.when(F.col("kind") == "create_table", F.col("tbl"))).over(inside)
-    reads = F.collect_set(F.when(F.col("kind").isin("insert", "update"), F.col("detail")["reads"])).over(before)
-    code = F.max(F.col("kind") == "run_python").over(before)
-    filled = F.collect_set(F.when(F.col("kind") == "update", F.concat_ws(".", "tbl", "col"))).over(before)
-    rows = rows.withColumns({"_created": created, "_reads": reads, "_code": code, "_filled": filled})
-    rows = rows.filter(~F.col("tbl").isin("?", "") & (F.coalesce("col", F.lit("")) != "?")
-                       & ~F.array_contains("_created", F.col("tbl")))
+    made = ops.filter("kind = 'create_table'").select(*mig, "tbl").distinct()
+    rows = ops.filter(~F.col("tbl").isin("?", "") & (F.coalesce("col", F.lit("")) != "?")).join(made, [*mig, "tbl"], "left_anti")
+    rows = rows.join(engines, REPO, "left").withColumn("_d", F.coalesce("_d", none))
+    copies = ops.filter(F.col("kind").isin("insert", "update"))
+    rows = _looked_back(rows, mig, "_read", F.coalesce("col", "tbl"), copies.withColumn(
+        "_name", F.explode(F.split(F.col("detail")["reads"], ","))))
+    rows = _looked_back(rows, mig, "_filled", F.concat_ws(".", "tbl", "col"), ops.filter("kind = 'update'").withColumn(
+        "_name", F.concat_ws(".", "tbl", "col")))
+    rows = _looked_back(rows, mig, "_code", F.lit(""), ops.filter("kind = 'run_python'").withColumn("_name", F.lit("")))
     rows = rows.join(_still_declared(ops, columns), [*mig, "op_seq"], "left")
 
     def flag(name: str) -> Column:
@@ -315,8 +324,7 @@ def migration_issues(ops: DataFrame, columns: DataFrame, dialects: DataFrame) ->
     lite = F.array_contains("_d", "sqlite")
     wide = widening(F.coalesce(F.col("detail")["existing"], F.lit("")), F.coalesce(F.col("detail")["type"], F.lit("")))
     kind = F.col("kind")
-    copied = F.exists("_reads", lambda r: F.array_contains(F.split(r, ","), F.coalesce("col", "tbl"))) | F.coalesce(
-        "_code", F.lit(False))
+    copied = F.col("_read") | F.col("_code")
     gone = kind.isin("drop_table", "drop_column", "truncate") | ((kind == "delete") & ~flag("where"))
     verb = F.when(kind == "drop_table", "drops table").when(kind == "drop_column", "drops column").when(
         kind == "truncate", "truncates").otherwise("deletes every row of")
@@ -347,7 +355,7 @@ def migration_issues(ops: DataFrame, columns: DataFrame, dialects: DataFrame) ->
              says("Index on ", " built without CONCURRENTLY"), "medium"),
         case((kind == "alter_type") & ~wide & (pg | mysql), says("Column type change on "), "medium"),
         case(kind == "set_not_null", says("SET NOT NULL on existing column "), F.when(
-            F.array_contains("_filled", F.concat_ws(".", "tbl", "col")), "low").otherwise("medium")),
+            F.col("_filled"), "low").otherwise("medium")),
         case((kind == "add_fk") & ~flag("not_valid") & pg, says("Foreign key on ", " added and validated at once"), "medium"),
         case((kind == "add_fk") & ~flag("not_valid") & mysql, says("Foreign key on ", " added to an existing table"), "low"),
         case((kind == "add_unique") & pg & ~flag("using_index"),
@@ -357,7 +365,8 @@ def migration_issues(ops: DataFrame, columns: DataFrame, dialects: DataFrame) ->
     picked = F.lit(None)
     for cond, value in reversed(arms):
         picked = F.when(cond, value).otherwise(picked)
-    hits = rows.withColumn("i", picked).filter(F.col("i").isNotNull()).select(
+    # what a generator yields is made once; a plain column would be repeated for every field below
+    hits = rows.withColumn("i", F.explode(F.array(picked))).filter(F.col("i").isNotNull()).select(
         *REPO, F.concat(F.lit("database."), F.col("i.rule")).alias("rule"), F.col("i.title").alias("title"),
         F.col("i.severity").alias("severity"), F.col("i.confidence").alias("confidence"), F.col("i.how").alias("kind"),
         "file", F.col("line").cast("int").alias("line"))

@@ -105,3 +105,32 @@ def test_route_bodies_are_read_whole(repo):
     late = f"app.get('/y/:id', requireAuth, (req, res) => {{\n{filler}  Item.findById(req.params.id);\n}});\n"
     rows = W.unscoped_lookups(repo({"src/a.js": text + late})).collect()
     assert [r["line_start"] for r in rows] == [306]
+
+
+def test_migration_of_many_steps(spark):
+    """What an earlier step of the same migration did is told by name: first steps, never later or other migrations' ones."""
+    from fleetaudit.operators import catalogue as CA
+
+    n, kinds = 100_000, F.array(*(F.lit(k) for k in ("update", "set_not_null", "drop_column", "insert", "run_python", "create_table")))
+    step = F.col("id")
+    many = spark.range(n).select(F.lit(1).alias("mig_seq"), step.alias("op_seq"), F.element_at(kinds, (step % 2 + 1).cast("int")).alias("kind"),
+                                 F.lit("t").alias("tbl"), F.format_string("c%d", F.floor(step / 2)).alias("col"), F.lit("x").alias("reads"))
+    few = spark.createDataFrame([
+        (2, 1, "drop_column", "t", "a", ""), (2, 2, "insert", "u", "z", "b,a"), (2, 3, "drop_column", "t", "b", ""), (2, 3, "insert", "u", "z", "c"),
+        (2, 4, "drop_column", "t", "bc", ""), (2, 5, "drop_column", "new", "a", ""), (2, 6, "create_table", "new", None, ""),
+        (3, 1, "set_not_null", "t", "c0", ""), (3, 2, "update", "t", "c0", ""), (3, 3, "set_not_null", "t", "c0", ""), (3, 4, "drop_table", "t", None, ""),
+        (4, 1, "run_python", "t", "", ""), (4, 2, "drop_table", "v", None, ""), (5, 1, "drop_table", "?", None, "")],
+        "mig_seq int, op_seq long, kind string, tbl string, col string, reads string")
+    ops = many.unionByName(few).select(
+        F.lit("o").alias("org_id"), F.lit("r").alias("repo_id"), F.lit("sql").alias("tool"), "*", F.create_map(F.lit("reads"), "reads").alias("detail"),
+        F.lit(None).cast("string").alias("downgrade"), F.concat("mig_seq", F.lit(".sql")).alias("file"), F.col("op_seq").alias("line"))
+    columns = spark.createDataFrame([], "org_id string, repo_id string, orm string, tbl string, col string")
+    dialects = spark.createDataFrame([], "org_id string, repo_id string, dialect string")
+    found = CA.migration_issues(ops, columns, dialects)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_set(kind" not in plan
+    seen = {(r["file"], r["line"]): r["severity"] for r in found.filter("file <> '1.sql'").collect()}
+    assert seen == {("2.sql", 1): "medium", ("2.sql", 3): "low", ("2.sql", 4): "medium", ("3.sql", 1): "medium", ("3.sql", 2): "low",
+                    ("3.sql", 3): "low", ("3.sql", 4): "medium", ("4.sql", 2): "low"}
+    assert {(r["severity"], r["count"]) for r in found.filter("file = '1.sql' and title like 'SET NOT NULL%'").groupBy("severity").count().collect()} == {
+        ("low", n // 2)}
