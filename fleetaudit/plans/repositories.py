@@ -434,7 +434,14 @@ PLANS = [
         SELECT repo_id, 'app/services.py' AS file_path, 2 AS line_start, 'Import of undeclared package ''boto3''' AS title FROM cust WHERE k % 3 = 0
         UNION ALL SELECT repo_id, 'app/models.py', 1, 'Import of undeclared package ''sqlalchemy''' FROM cust
         UNION ALL SELECT repo_id, 'src/util.ts', 3, 'Import of undeclared package ''lodash''' FROM cust"""),
-    ("lookalike_names", lambda t: D.lookalikes(_near_names(t), _popular(t)).select("name", "target"), None),
+    ("lookalike_names", lambda t: D.lookalikes(_near_names(t), _popular(t)).select("name", "target"), """
+        WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents),
+          p AS (SELECT name, min(item_id) AS seq FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark) GROUP BY name),
+          asked AS (SELECT name, CASE WHEN length(name) < 10 THEN 1 ELSE 2 END AS edits FROM w WHERE length(name) >= 5 AND name NOT IN (SELECT name FROM p)),
+          met AS (SELECT a.name, a.edits, p.name AS target, p.seq FROM asked a JOIN p ON left(a.name, 1) = left(p.name, 1)
+            UNION SELECT a.name, a.edits, p.name, p.seq FROM asked a JOIN p ON right(a.name, 1) = right(p.name, 1))
+        SELECT name, target FROM met WHERE abs(length(name) - length(target)) <= edits AND damerau_levenshtein(name, target) <= edits
+        QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq, target) = 1"""),
     ("secret_scan", lambda t: _texts(t).filter(X.contains_secret("text")).select("kind", "id"),
      f"WITH {TEXTS} SELECT kind, id FROM texts WHERE {SCAN}"),
     ("redact_text", lambda t: _texts(t).select("kind", "id", X.redact("text").alias("masked")).filter(

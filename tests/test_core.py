@@ -191,6 +191,27 @@ def test_fix_verdict(spark, findings):
     assert VE.verdict(judged, new, none, AUDIT).first().verdict == "regressed"
 
 
+def osa(a, b):
+    """The table of edits, cell by cell."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_transposition_distance_by_words():
+    rng = random.Random(4)
+    names = ["", "a", "ab", "ba", "abc", "ca", "é😀b", "😀éb", "x" * 64, "x" * 65, "y" + "x" * 63, "ab" * 40, "ba" * 40, "a" + "ba" * 40]
+    names += ["".join(rng.choice("abc") for _ in range(rng.randint(0, n))) for n in (5, 12, 70, 140) for _ in range(25)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(1500)] + [(n, n) for n in names] + [("", n) for n in names] + [(n, "") for n in names]
+    got = D.transposition_distances([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(got) == [osa(a, b) for a, b in pairs]
+    assert len(D.transposition_distances([], [])) == 0
+
+
 def test_lookalikes_equal_brute_force(spark):
     popular = ["requests", "beautifulsoup", "numpy", "flask"]
     rng = random.Random(3)
@@ -210,7 +231,7 @@ def test_lookalikes_equal_brute_force(spark):
         limit = 2 if len(n) >= 10 else 1
         if n in popular or len(n) < 5:
             continue
-        hit = next((p for p in popular if (p[0] == n[0] or p[-1] == n[-1]) and D._osa(n, p, limit) <= limit), None)
+        hit = next((p for p in popular if (p[0] == n[0] or p[-1] == n[-1]) and osa(n, p) <= limit), None)
         if hit:
             want[n] = hit
     assert got == want and "reqeusts" in got
