@@ -150,15 +150,18 @@ def set_null_on_required(columns: DataFrame) -> DataFrame:
 
 
 def relation_problems(relations: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Relationship sides that miss or contradict each other, lack a key path, or promise uniqueness nobody keeps."""
+    """Relationship sides that miss or contradict each other, lack a key path, or promise uniqueness nobody keeps.
+
+    Every join is between two catalogues of the whole fleet, so each is a merge join: a catalogue's rows compress so well that
+    Spark would take it for a small table and send it through the driver."""
     models = columns.groupBy(*REPO, "model").agg(F.min("tbl").alias("tbl"), F.min("orm").alias("orm"))
-    rel = relations.join(models, [*REPO, "model"])
+    rel = relations.join(models.hint("merge"), [*REPO, "model"])
     target = models.select(*REPO, F.col("model").alias("target"), F.col("tbl").alias("target_tbl"))
-    known = rel.join(target, [*REPO, "target"])
+    known = rel.join(target.hint("merge"), [*REPO, "target"])
     other = relations.select(*REPO, F.col("model").alias("target"), F.col("name").alias("back_populates"),
                              F.col("target").alias("_ot"), F.col("back_populates").alias("_ob"))
     sides = known.filter((F.col("orm") == "sqlalchemy") & F.col("back_populates").isNotNull()).join(
-        other, [*REPO, "target", "back_populates"], "left")
+        other.hint("merge"), [*REPO, "target", "back_populates"], "left")
     here = F.concat("model", F.lit("."), "name")
     gone = issue(sides.filter(F.col("_ot").isNull()), "inconsistent-relationship", F.concat(
         here, F.lit(" back_populates a missing "), "target", F.lit("."), "back_populates"), "medium")
@@ -170,20 +173,20 @@ def relation_problems(relations: DataFrame, columns: DataFrame, indexes: DataFra
         .withColumnRenamed("fk_tbl", "target_tbl")
     free = known.filter((F.col("orm") == "sqlalchemy") & ~F.coalesce("secondary", F.lit(False))
                         & ~F.coalesce("explicit_join", F.lit(False)))
-    unlinked = issue(free.join(links, [*REPO, "tbl", "target_tbl"], "left_anti"), "inconsistent-relationship",
+    unlinked = issue(free.join(links.hint("merge"), [*REPO, "tbl", "target_tbl"], "left_anti"), "inconsistent-relationship",
                      F.concat(here, F.lit(" has no foreign key path to "), "target"), "medium")
     unique = columns.filter(F.col("is_unique") | F.col("pk")).select(*REPO, "tbl", "col").unionByName(
         indexes.filter(F.col("is_unique") & (F.size("cols") == 1)).select(*REPO, "tbl", F.get("cols", F.lit(0)).alias("col"))
     ).distinct().withColumn("_u", F.lit(True))
-    back = columns.filter(F.col("fk_tbl").isNotNull()).join(unique, [*REPO, "tbl", "col"], "left").groupBy(
+    back = columns.filter(F.col("fk_tbl").isNotNull()).join(unique.hint("merge"), [*REPO, "tbl", "col"], "left").groupBy(
         *REPO, F.col("tbl").alias("target_tbl"), F.col("fk_tbl").alias("tbl")).agg(
         F.max(F.coalesce("_u", F.lit(False))).alias("_any"), F.min("col").alias("_col"))
     single = known.filter((F.col("orm") == "sqlalchemy") & (F.col("uselist") == F.lit(False))).join(
-        back, [*REPO, "tbl", "target_tbl"]).filter(~F.col("_any"))
+        back.hint("merge"), [*REPO, "tbl", "target_tbl"]).filter(~F.col("_any"))
     loose = issue(single, "inconsistent-relationship", F.concat(
         here, F.lit(" is one-to-one but "), "target_tbl", F.lit("."), "_col", F.lit(" is not unique")), "low", "medium", "potential")
     unknown = issue(rel.filter((F.col("orm") == "mongoose") & (F.col("kind") == "ref")).join(
-        target, [*REPO, "target"], "left_anti").drop("kind"), "inconsistent-relationship", F.concat(
+        target.hint("merge"), [*REPO, "target"], "left_anti").drop("kind"), "inconsistent-relationship", F.concat(
         here, F.lit(" refs unknown model '"), "target", F.lit("'")), "medium", "medium", "potential")
     return gone.unionByName(crossed).unionByName(unlinked).unionByName(loose).unionByName(unknown)
 
