@@ -1,4 +1,7 @@
-"""Import graphs: edges, cycles, layers and boundaries. Everything is keyed by audit, so one job covers a fleet."""
+"""Import graphs: edges, cycles, layers and boundaries. Everything is keyed by audit, so one job covers a fleet.
+
+Both sides of every join here grow with the fleet, so all are merge joins: edges and paths compress so well that Spark would
+take their tables for small ones and send them through the driver."""
 
 from __future__ import annotations
 
@@ -104,10 +107,10 @@ def python_modules(files: DataFrame) -> DataFrame:
     py = files.filter(F.col("path").endswith(".py") & ~is_test_path("path")).select(*AUDIT, "path")
     packages = py.filter(basename("path") == "__init__.py").select(*AUDIT, dirname("path").alias("dir")).distinct()
     dirs = py.select(*AUDIT, "path", F.posexplode(_ancestors(F.col("path"))).alias("_i", "dir"))
-    gaps = dirs.join(packages, [*AUDIT, "dir"], "left_anti").groupBy(*AUDIT, "path").agg(
+    gaps = dirs.join(packages.hint("merge"), [*AUDIT, "dir"], "left_anti").groupBy(*AUDIT, "path").agg(
         F.max("_i").alias("_gap"))
     parts = F.split(F.regexp_replace("path", r"\.py$", ""), "/")
-    rows = py.join(gaps, [*AUDIT, "path"], "left").withColumn("_p", parts)
+    rows = py.join(gaps.hint("merge"), [*AUDIT, "path"], "left").withColumn("_p", parts)
     start = F.coalesce(F.col("_gap") + 1, F.lit(0))
 
     def dotted(p: Column) -> Column:
@@ -120,7 +123,7 @@ def python_modules(files: DataFrame) -> DataFrame:
 def nearest(refs: DataFrame, modules: DataFrame) -> DataFrame:
     """Resolve (audit, path, module, …) to a file: of several candidates the one sharing most leading folders."""
     keys = refs.columns
-    joined = refs.join(modules, [*AUDIT, "module"])
+    joined = refs.join(modules.hint("merge"), [*AUDIT, "module"])
     near = shared_prefix_length(F.concat("path", F.lit("/x")), F.concat("dest", F.lit("/x")))
     return joined.groupBy(*keys).agg(F.min_by("dest", F.struct(-near, F.col("dest"))).alias("dest"))
 
@@ -145,7 +148,7 @@ def python_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
     subs = froms.filter(F.col("name").rlike(r"^\w+$")).withColumn("module", F.concat_ws(".", F.nullif(
         F.col("base"), F.lit("")), "name"))
     found = nearest(subs, modules)
-    rest = froms.join(found.select(*AUDIT, "path", "base", "name"), [*AUDIT, "path", "base", "name"], "left_anti")
+    rest = froms.join(found.select(*AUDIT, "path", "base", "name").hint("merge"), [*AUDIT, "path", "base", "name"], "left_anti")
     bases = nearest(rest.select(*AUDIT, "path", F.col("base").alias("module")).distinct(), modules)
     cols = [*AUDIT, "path", "dest"]
     return nearest(plain, modules).select(*cols).unionByName(found.select(*cols)).unionByName(bases.select(*cols))
@@ -170,7 +173,7 @@ def js_edges(files: DataFrame) -> DataFrame:
                      F.array(*[F.concat(target, F.lit(f"/index{e}")) for e in JS_EXTS]))
     rows = refs.select(*AUDIT, "path", "spec", F.posexplode(tries).alias("_i", "dest")).filter("dest <> path")
     have = js.select(*AUDIT, F.col("path").alias("dest")).distinct()
-    return rows.join(have, [*AUDIT, "dest"]).groupBy(*AUDIT, "path", "spec").agg(
+    return rows.join(have.hint("merge"), [*AUDIT, "dest"]).groupBy(*AUDIT, "path", "spec").agg(
         F.min_by("dest", "_i").alias("dest")).select(*AUDIT, "path", "dest")
 
 
@@ -199,8 +202,8 @@ def strongly_connected(edges: DataFrame, keys: list[str] = AUDIT, hops: int = 4)
             left.select(*keys, F.col("dst").alias("node"))).distinct()
         colours = _spread(nodes.withColumn("label", F.col("node")), left, keys, hops)
         inside = cut_lineage(
-            left.join(colours.select(*keys, F.col("node").alias("src"), F.col("label").alias("_a")), [*keys, "src"])
-            .join(colours.select(*keys, F.col("node").alias("dst"), F.col("label").alias("_b")), [*keys, "dst"])
+            left.join(colours.select(*keys, F.col("node").alias("src"), F.col("label").alias("_a")).hint("merge"), [*keys, "src"])
+            .join(colours.select(*keys, F.col("node").alias("dst"), F.col("label").alias("_b")).hint("merge"), [*keys, "dst"])
             .filter("_a = _b").select(*keys, "src", "dst"))
         roots = colours.withColumn("label", F.when(F.col("node") == F.col("label"), F.col("label")))
         back = inside.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -208,14 +211,14 @@ def strongly_connected(edges: DataFrame, keys: list[str] = AUDIT, hops: int = 4)
         found.append(reached.withColumnRenamed("label", "component"))
         gone = reached.select(*keys, "node")
         left = cut_lineage(
-            inside.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
-            .join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"))
+            inside.join(gone.withColumnRenamed("node", "src").hint("merge"), [*keys, "src"], "left_anti")
+            .join(gone.withColumnRenamed("node", "dst").hint("merge"), [*keys, "dst"], "left_anti"))
     if not found:
         return edges.select(*keys, F.col("src").alias("node"), F.col("src").alias("component"),
                             F.lit(0).cast("long").alias("size")).limit(0)
     members = union(found)
     big = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return members.join(big, [*keys, "component"])
+    return members.join(big.hint("merge"), [*keys, "component"])
 
 
 def _trim(edges: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
@@ -223,26 +226,30 @@ def _trim(edges: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         entered = edges.select(*keys, F.col("dst").alias("src")).distinct()
         left = edges.select(*keys, F.col("src").alias("dst")).distinct()
-        edges = edges.join(entered, [*keys, "src"], "left_semi").join(left, [*keys, "dst"], "left_semi")
+        edges = edges.join(entered.hint("merge"), [*keys, "src"], "left_semi").join(left.hint("merge"), [*keys, "dst"], "left_semi")
     return cut_lineage(edges)
 
 
 def _spread(state: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> DataFrame:
-    """Push the least label along the edges until nothing changes; null labels are not yet reached."""
-    state = cut_lineage(state)
+    """Push the least label along the edges until nothing changes; null labels are not yet reached. A graph that the last hop
+    left as it was is done: only the others go on, with their edges."""
+    state, done = cut_lineage(state), []
+    unknown = F.lit(None).cast(state.schema["label"].dataType)
     while True:
         nxt = state
         for _ in range(hops):
-            pushed = nxt.filter(F.col("label").isNotNull()).withColumnRenamed("node", "src").join(
-                edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "label")
-            nxt = nxt.select(*keys, "node", "label").unionByName(pushed).groupBy(*keys, "node").agg(
-                F.min("label").alias("label"))
+            pushed = nxt.filter(F.col("label").isNotNull()).select(*keys, F.col("node").alias("src"), "label").join(
+                edges.hint("merge"), [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "label", unknown.alias("_was"))
+            nxt = nxt.select(*keys, "node", "label", F.col("label").alias("_was")).unionByName(pushed).groupBy(
+                *keys, "node").agg(F.min("label").alias("label"), F.max("_was").alias("_was"))
         nxt = cut_lineage(nxt)
-        old = state.select(*keys, "node", F.col("label").alias("_old"))
-        same = nxt.join(old, [*keys, "node"]).filter(~F.col("label").eqNullSafe(F.col("_old"))).isEmpty()
-        if same:
-            return nxt
-        state = nxt
+        moved = cut_lineage(nxt.filter(~F.col("label").eqNullSafe(F.col("_was"))).select(*keys).distinct())
+        nxt = nxt.drop("_was")
+        if moved.isEmpty():
+            return union([*done, nxt])
+        done.append(cut_lineage(nxt.join(moved.hint("merge"), keys, "left_anti")))
+        state = cut_lineage(nxt.join(moved.hint("merge"), keys, "left_semi"))
+        edges = cut_lineage(edges.join(moved.hint("merge"), keys, "left_semi"))
 
 
 def _shown(members: DataFrame, keys: list[str], n: int = SHOWN) -> DataFrame:
@@ -272,11 +279,11 @@ def package_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     folders = strongly_connected(package_edges(edges))
     modules = components.select(*AUDIT, F.col("component").alias("_m"), dirname("node").alias("node")).distinct()
     sizes = modules.groupBy(*AUDIT, "_m").agg(F.count(F.lit(1)).alias("_n"))
-    shared = folders.join(modules, [*AUDIT, "node"]).groupBy(*AUDIT, "component", "size", "_m").agg(
-        F.count(F.lit(1)).alias("_both")).join(sizes, [*AUDIT, "_m"])
+    shared = folders.join(modules.hint("merge"), [*AUDIT, "node"]).groupBy(*AUDIT, "component", "size", "_m").agg(
+        F.count(F.lit(1)).alias("_both")).join(sizes.hint("merge"), [*AUDIT, "_m"])
     explained = shared.filter((F.col("_both") == F.col("size")) & (F.col("_n") == F.col("size"))).select(
         *AUDIT, "component").distinct()
-    return folders.join(explained, [*AUDIT, "component"], "left_anti")
+    return folders.join(explained.hint("merge"), [*AUDIT, "component"], "left_anti")
 
 
 def package_cycle_findings(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -319,8 +326,8 @@ def upward_imports(edges: DataFrame, layer_table: DataFrame) -> DataFrame:
     a = layer_table.select(*AUDIT, F.col("path").alias("src"), F.col("layer").alias("src_layer"))
     b = layer_table.select(*AUDIT, F.col("path").alias("dst"), F.col("layer").alias("dst_layer"))
     rank = {k: v for k, v in LAYER_RANK.items()}
-    rows = edges.join(a.filter(F.col("src_layer").isin("data", "service")), [*AUDIT, "src"]).join(
-        b.filter("dst_layer <> ''"), [*AUDIT, "dst"])
+    rows = edges.join(a.filter(F.col("src_layer").isin("data", "service")).hint("merge"), [*AUDIT, "src"]).join(
+        b.filter("dst_layer <> ''").hint("merge"), [*AUDIT, "dst"])
     return rows.filter(lookup(F.col("dst_layer"), rank, "int") > lookup(F.col("src_layer"), rank, "int"))
 
 
@@ -340,7 +347,7 @@ def units_of(paths: DataFrame, files: DataFrame) -> DataFrame:
     units = files.filter(basename("path").isin(*UNIT_MANIFESTS) & (dirname("path") != "")).select(
         *AUDIT, dirname("path").alias("unit")).distinct()
     up = paths.select(*AUDIT, "path", F.explode(_ancestors(F.col("path"))).alias("unit"))
-    return up.join(units, [*AUDIT, "unit"]).groupBy(*AUDIT, "path").agg(F.max_by("unit", F.length("unit")).alias("unit"))
+    return up.join(units.hint("merge"), [*AUDIT, "unit"]).groupBy(*AUDIT, "path").agg(F.max_by("unit", F.length("unit")).alias("unit"))
 
 
 def cross_service_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -348,8 +355,8 @@ def cross_service_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     ends = edges.select(*AUDIT, F.col("src").alias("path")).unionByName(
         edges.select(*AUDIT, F.col("dst").alias("path"))).distinct()
     unit = units_of(ends, files)
-    rows = edges.join(unit.select(*AUDIT, F.col("path").alias("src"), F.col("unit").alias("ua")), [*AUDIT, "src"]).join(
-        unit.select(*AUDIT, F.col("path").alias("dst"), F.col("unit").alias("ub")), [*AUDIT, "dst"])
+    rows = edges.join(unit.select(*AUDIT, F.col("path").alias("src"), F.col("unit").alias("ua")).hint("merge"), [*AUDIT, "src"]).join(
+        unit.select(*AUDIT, F.col("path").alias("dst"), F.col("unit").alias("ub")).hint("merge"), [*AUDIT, "dst"])
     apart = (F.col("ua") != F.col("ub")) & ~F.col("ub").startswith(F.concat("ua", F.lit("/"))) & ~F.col("ua").startswith(
         F.concat("ub", F.lit("/")))
     return rows.filter(apart).groupBy(*AUDIT, "src", "ua", "ub").agg(F.min("dst").alias("dst"))
@@ -357,8 +364,8 @@ def cross_service_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def boundary_violations(edges: DataFrame, layer_table: DataFrame, foreign: DataFrame) -> DataFrame:
     """A feature importing another feature's route handlers, or its repository although that has a service layer."""
-    rows = edges.join(foreign.select(*AUDIT, "src", "dst"), [*AUDIT, "src", "dst"], "left_anti").join(
-        layer_table.select(*AUDIT, F.col("path").alias("dst"), "layer"), [*AUDIT, "dst"])
+    rows = edges.join(foreign.select(*AUDIT, "src", "dst").hint("merge"), [*AUDIT, "src", "dst"], "left_anti").join(
+        layer_table.select(*AUDIT, F.col("path").alias("dst"), "layer").hint("merge"), [*AUDIT, "dst"])
     da, db = F.split(dirname("src"), "/"), F.split(dirname("dst"), "/")
     n = shared_prefix_length(F.concat(dirname("src"), F.lit("/x")), F.concat(dirname("dst"), F.lit("/x")))
     rows = rows.filter((dirname("src") != "") & (dirname("dst") != "")).withColumn("_n", n)
@@ -370,7 +377,7 @@ def boundary_violations(edges: DataFrame, layer_table: DataFrame, foreign: DataF
         .distinct().withColumn("_served", F.lit(True))
     stores = [d for d in DATA_NAMES if d not in MODEL_NAMES]
     store = F.arrays_overlap(path_tokens(stem("dst")), F.array(*[F.lit(s) for s in stores]))
-    rows = rows.join(served, [*AUDIT, "feature"], "left").filter(
+    rows = rows.join(served.hint("merge"), [*AUDIT, "feature"], "left").filter(
         (F.col("layer") == "controller") | ((F.col("layer") == "data") & store & F.coalesce("_served", F.lit(False))))
     return rows.groupBy(*AUDIT, "src", "feature").agg(F.min(F.struct("dst", "fa", "fb")).alias("at"))
 
@@ -392,7 +399,7 @@ def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
     One scan turns every file into a short fact row; all rules read those facts.
     """
     python = F.col("path").endswith(".py")
-    rows = cut_lineage(files.join(layer_table, [*AUDIT, "path"]).select(
+    rows = cut_lineage(files.join(layer_table.hint("merge"), [*AUDIT, "path"]).select(
         *AUDIT, "path", "layer", line_of("text", SQL_IN_HANDLER).alias("sql_at"),
         F.when(python, line_of("text", PY_DATA_ACCESS)).otherwise(line_of("text", JS_DATA_ACCESS)).alias("data_at"),
         F.when(python, line_of("text", PY_MODEL)).otherwise(line_of("text", JS_MODEL)).alias("model_at"),
@@ -426,7 +433,7 @@ def structure(files: DataFrame, layer_table: DataFrame) -> DataFrame:
         F.min(F.when(F.col("central"), F.col("path"))).alias("_settings"),
         F.count(F.when(~F.col("central"), 1)).alias("n"),
         F.min(F.when(~F.col("central"), F.col("path"))).alias("_first")).filter(
-        F.col("_settings").isNotNull() & (F.col("n") >= CONFIG_BYPASS)).join(sprawl.select(*AUDIT), AUDIT, "left_anti")
+        F.col("_settings").isNotNull() & (F.col("n") >= CONFIG_BYPASS)).join(sprawl.select(*AUDIT).hint("merge"), AUDIT, "left_anti")
     return union([
         emit_each(rows, NAME, [
             (handler & F.col("sql_at").isNotNull(), SQL_HANDLER, {"path": path, "line": F.col("sql_at")}),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as CA
 from ..operators import graph as G
+from ..session import cut_lineage
 from ..sources.files import explode_lines
 from ..vocab import RULE_NAMESPACE as NS
 from .repositories import CUST
@@ -123,7 +124,7 @@ PLANS = [
     ("import_cycles", lambda t: G.strongly_connected(_edges(t)).select("repo_id", "node", "component", "size"),
      f"""WITH RECURSIVE e AS (SELECT repo_id, src, dst FROM edges WHERE src <> dst), {CLOSURE}
         SELECT repo_id, node, component, size FROM comp JOIN big USING (repo_id, component)"""),
-    ("package_cycles", lambda t: (lambda e: G.package_cycles(e, G.strongly_connected(e)))(_edges(t)).select(
+    ("package_cycles", lambda t: (lambda e: G.package_cycles(e, G.strongly_connected(e)))(cut_lineage(_edges(t))).select(
         "repo_id", "node", "component"), """
         WITH RECURSIVE m AS (SELECT repo_id, src, dst FROM edges WHERE src <> dst),
         mreach AS (SELECT repo_id, src AS a, dst AS b FROM m UNION SELECT r.repo_id, r.a, m.dst FROM mreach r

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from fleetaudit.operators import AUDIT
 from fleetaudit.operators import catalogue as CA
+from fleetaudit.operators import graph as G
 
 COLUMNS = ("org_id string, repo_id string, model string, tbl string, col string, type string, nullable boolean, pk boolean, "
            "is_unique boolean, fk_tbl string, fk_col string, on_delete string, orm string, file string, line int")
@@ -23,3 +25,24 @@ def test_relation_problems_join_without_the_driver(spark):
     assert "Broadcast" not in plan(found)
     assert {r["title"] for r in found.select(F.col("title")).collect()} == {
         "User.posts back_populates a missing Post.author", "User.posts has no foreign key path to Post"}
+
+
+def _ring(name, n):
+    return [("o", name, "a", f"n{i:02}", f"n{(i + 1) % n:02}") for i in range(n)]
+
+
+def test_settled_graphs_are_not_pushed_again_and_edges_stay_off_the_driver(spark, monkeypatch):
+    edges = spark.createDataFrame(_ring("long", 10) + _ring("short", 2), "org_id string, repo_id string, audit_id string, src string, dst string")
+    state = edges.select(*AUDIT, F.col("src").alias("node"), F.col("src").alias("label"))
+    written, kept = [], G.cut_lineage
+
+    def watched(df):
+        if "label" in df.columns:
+            assert "Broadcast" not in plan(df)
+            written.append({r["repo_id"] for r in df.select("repo_id").distinct().collect()})
+        return kept(df)
+
+    monkeypatch.setattr(G, "cut_lineage", watched)
+    got = {(r["repo_id"], r["node"]): r["label"] for r in G._spread(state, edges, AUDIT, 4).collect()}
+    assert set(got.values()) == {"n00"} and len(got) == 12
+    assert "short" not in written[-1] and "long" in written[-1]
