@@ -45,8 +45,8 @@ def rate_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
 def first_hit_windows(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Windows that open at a key's first hit and close after ``seconds``, as a counter with expiry behaves. A key whose
     window has passed has no state (see ``timers.FirstHit``)."""
-    return timers.timed(hits, ["scope", "ident"], timers.FirstHit(limit, seconds),
-                        "scope string, ident string, ts timestamp, hits long, over boolean", WATERMARK)
+    counted = timers.timed_rows(hits, ["scope", "ident"], timers.FirstHit(limit, seconds), WATERMARK)
+    return counted.select("scope", "ident", F.timestamp_seconds("second").alias("ts"), "hits", "over")
 
 
 # --- T2, T4 ----------------------------------------------------------------------------------------
@@ -61,7 +61,7 @@ def audit_alerts(finished: DataFrame) -> DataFrame:
     branch is the last score and gate verdict and what the watermark has not passed. A failed audit alerts and leaves the
     verdict alone."""
     branch = finished.filter(F.col("pr_number").isNull() & F.col("status").isin("succeeded", "failed"))
-    return timers.timed(branch, ["org_id", "repo_id", "branch"], timers.Alerts(), ALERT, WATERMARK)
+    return timers.timed_rows(branch, ["org_id", "repo_id", "branch"], timers.Packed(timers.Alerts(), ALERT), WATERMARK)
 
 
 def notify(alerts: DataFrame, channels: DataFrame) -> DataFrame:
@@ -150,8 +150,8 @@ def expire_stale(changes: DataFrame) -> DataFrame:
     ``changes``: org_id, audit_id, ts, status. Changes are taken in event-time order, whatever the triggers they came in;
     of changes at the same time the last in text order counts."""
     limits = {s: RUNNING_LIMIT_SECONDS if s == "running" else QUEUED_LIMIT_SECONDS for s in V.ACTIVE_STATUSES}
-    return timers.timed(changes, ["org_id", "audit_id"], timers.Expiry(limits),
-                        "org_id string, audit_id string, status string, since timestamp", WATERMARK)
+    step = timers.Packed(timers.Expiry(limits), "org_id string, audit_id string, status string, since timestamp")
+    return timers.timed_rows(changes, ["org_id", "audit_id"], step, WATERMARK)
 
 
 def stale_audits(audits: DataFrame, now: str) -> DataFrame:

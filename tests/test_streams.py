@@ -274,3 +274,29 @@ def test_fan_out_by_channel_and_replayed(spark, tmp_path):
     once = [("a0", "c1", "email"), ("a1", "c1", "email"), ("a1", "c2", "slack")]
     assert sorted((r["audit_id"], r["channel_id"], r["kind"]) for r in rows) == sorted(once * 2)
     assert spark.read.schema(J.ALERT).parquet(f"{tmp_path}/log").count() == 6
+
+
+def test_a_key_of_many_sparse_rows_asks_little_of_the_state():
+    from pyspark.sql import Row
+
+    # one timer for the window that is kept, none for those that the same rows close
+    memory, step = Memory(), timers.FirstHit(2, 600)
+    step.init(memory)
+    out = list(step.handleInputRows(("s", "a"), (Row(at=k * 3_600_000_000) for k in range(500)), None))
+    assert [(r["second"], r["hits"]) for r in out] == [(k * 3600, 1) for k in range(500)]
+    assert memory.timers == {(499 * 3600 + 601) * 1000}
+
+    # rows hours apart share entries, in any order of arrival, and a key has one timer at a time
+    memory, step = Memory(), timers.Packed(timers.Alerts(), J.ALERT)
+    step.init(memory)
+    rows = [Row(at=k * 3_600_000_000, audit_id=f"a{k:03d}", status="succeeded", score=90.0 - k % 2 * 10, new_severe=0, gate_passed=True) for k in range(600)]
+    random.Random(1).shuffle(rows)
+    for part in (rows[:400], rows[400:]):
+        assert not list(step.handleInputRows(("o", "r", "b"), iter(part), None))
+    first = timers.bucket_end(0) // 1000
+    assert len(memory.map) == 3 and len(memory.timers) == 2 and min(memory.timers) == first
+    out = list(step.handleExpiredTimer(("o", "r", "b"), Clock(300 * 3_600_000), None))
+    assert [r["audit_id"] for r in out] == [f"a{k:03d}" for k in range(1, 300, 2)]
+    assert (300 * 3600 + 60) * 1000 in memory.timers
+    out = list(step.handleExpiredTimer(("o", "r", "b"), Clock(700 * 3_600_000), None))
+    assert [r["audit_id"] for r in out] == [f"a{k:03d}" for k in range(301, 600, 2)] and not memory.map
