@@ -285,6 +285,9 @@ def test_a_key_of_many_sparse_rows_asks_little_of_the_state():
     out = list(step.handleInputRows(("s", "a"), (Row(at=k * 3_600_000_000) for k in range(500)), None))
     assert [(r["second"], r["hits"]) for r in out] == [(k * 3600, 1) for k in range(500)]
     assert memory.timers == {(499 * 3600 + 601) * 1000}
+    step.init(Memory())
+    out = list(step.handleInputRows(("s", "a"), iter([Row(at=0), Row(at=None)]), None))
+    assert [(r["second"], r["hits"]) for r in out] == [(timers.UNTIMED, 1), (0, 1)]
 
     # rows hours apart share entries, in any order of arrival, and a key has one timer at a time
     memory, step = Memory(), timers.Packed(timers.Alerts(), J.ALERT)
