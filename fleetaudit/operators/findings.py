@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ def validate(findings: DataFrame, files: DataFrame) -> DataFrame:
     """
     titled = findings.filter(F.trim("title") != "").withColumn("file_path", normalize_path("file_path"))
     known = files.select(*AUDIT, F.col("path").alias("file_path"), F.col("line_count").alias("_n"))
-    joined = titled.join(known, [*AUDIT, "file_path"], "left").filter(
+    joined = titled.join(known.hint("shuffle_hash"), [*AUDIT, "file_path"], "left").filter(
         (F.col("file_path") == "") | F.col("_n").isNotNull())
     located = F.col("file_path") != ""
     lost = located & F.col("line_start").isNotNull() & ~F.col("line_start").between(1, F.greatest("_n", F.lit(1)))
@@ -64,12 +67,15 @@ def _line_index() -> Column:
     return F.dense_rank().over(Window.partitionBy(*IDENTITY).orderBy("_line")) - 1
 
 
+def _known_identity() -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in (*IDENTITY, "_line")])
+
+
 def fingerprint(findings: DataFrame) -> DataFrame:
-    """Stable identity of every single report, unmerged. The rank runs over distinct lines only, so a hot rule
-    repeated on one line costs the window one row."""
-    keyed = _identity(findings)
-    ranks = keyed.select(*IDENTITY, "_line").distinct().withColumn("_idx", _line_index())
-    return keyed.join(ranks, [*IDENTITY, "_line"]).withColumn("fingerprint", _digest(F.col("_idx"))).drop(
+    """Stable identity of every single report, unmerged. Rows without a full identity have none. The rank is a running
+    count over sorted rows, so a hot rule is never held in memory."""
+    keyed = _identity(findings).filter(_known_identity())
+    return keyed.withColumn("_idx", _line_index()).withColumn("fingerprint", _digest(F.col("_idx"))).drop(
         "_key", "_anchor", "_line", "_idx")
 
 
@@ -89,8 +95,10 @@ def merge_duplicates(findings: DataFrame, extra_first: tuple[str, ...] = ()) ->
     key = [*IDENTITY, "_line"]
     rows = _identity(findings).withColumn("_ord", emission_order())
     taint = F.col("rule_id").startswith(V.TAINT_RULE_PREFIX)
-    pivots = rows.filter(taint).groupBy(*key).agg(F.max("_ord").alias("_last_taint"))
-    rows = rows.join(pivots, key, "left")
+    # in the order that the first aggregate takes its rows in
+    problem = Window.partitionBy(*key).orderBy("sources", "references").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_last_taint", F.when(_known_identity(), F.max(F.when(taint, F.col("_ord"))).over(problem)))
     after = F.col("_last_taint").isNull() | (F.col("_ord") >= F.col("_last_taint"))
     fields = ["rule_id", "title", "category", "remediation", "line_start", "line_end", "analyzer", "emit_idx",
               "description", *extra_first]

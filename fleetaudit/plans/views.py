@@ -278,6 +278,15 @@ VIEWS["migration_ops"] = """
              CASE WHEN l_orderkey % 4 = 0 THEN 'empty' ELSE 'present' END AS downgrade
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) ops"""
 
+# The same join as Spark builds it: orders meet customers first, and the reported rows are dealt by the audit they belong to, so
+# what groups or joins them by audit finds them together. Integers are equal exactly when their digits are.
+_OWNERS = [
+    ("JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
+     "JOIN (SELECT *, CAST(o_orderkey AS STRING) AS o_audit FROM orders JOIN customer ON o_custkey = c_custkey) owned "
+     "ON CAST(l_orderkey AS STRING) = o_audit"),
+    ("CAST(l_orderkey AS STRING) AS audit_id", "o_audit AS audit_id"),
+]
+
 _READS = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b")
 
 
@@ -331,6 +340,13 @@ class Tables:
         used = [n for n in dict.fromkeys(_READS.findall(text)) if n in VIEWS]
         views = with_clause(used)
         body = f"WITH {views} {text}" if views else text
+        if "l_orderkey" in body:
+            for written, built in _OWNERS:
+                body = body.replace(written, built)
+            # a join by audit and more takes rows dealt by audit as they lie; they are narrow when dealt and grow to ten
+            # times that in the same task, so few of them make a task's share
+            self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+            self.spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
         tables = [n for n in BASE_TABLES if n in _READS.findall(body)]
         bound = ", ".join(f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}.parquet`)" for n in tables)
         return self.spark.sql(f"WITH {bound}, {body[5:]}" if views else f"WITH {bound} {body}")

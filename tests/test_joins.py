@@ -46,3 +46,32 @@ def test_settled_graphs_are_not_pushed_again_and_edges_stay_off_the_driver(spark
     got = {(r["repo_id"], r["node"]): r["label"] for r in G._spread(state, edges, AUDIT, 4).collect()}
     assert set(got.values()) == {"n00"} and len(got) == 12
     assert "short" not in written[-1] and "long" in written[-1]
+
+
+def test_findings_are_dealt_by_audit_once(spark, tmp_path):
+    """Rows that lie by audit meet their files, lines and duplicates without being moved again."""
+    from fleetaudit.plans import core
+    from fleetaudit.plans.views import Tables
+
+    spark.createDataFrame([(1, 4), (2, 4)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 1), (11, 2), (12, 9), (None, 1)], "o_orderkey long, o_custkey long").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    row = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_discount double, " \
+          "l_returnflag string, l_shipdate timestamp"
+    rows = [(10, 31, 5, 1), (10, 31, 5, 1), (10, 34, 5, 2), (10, 37, 5, 2), (11, 31, 5, 1), (11, 40, 11, 3), (12, 31, 5, 1), (None, 31, 5, 1)]
+    spark.createDataFrame([(*r, 5.0, 0.01, 0.02, "A", None) for r in rows], row).write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "-1")
+    try:
+        t = Tables(spark, str(tmp_path))
+        for frame, count in ((core.identified(t), 6), (core.merged(t), 5)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(o_audit" in plan and "hashpartitioning(org_id" not in plan
+            found = frame.collect()
+            assert len(found) == count and {r.audit_id for r in found} == {"10", "11"}
+        assert sorted(r.reports for r in found) == [1, 1, 1, 1, 2]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
