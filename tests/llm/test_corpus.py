@@ -136,6 +136,31 @@ def test_lines_that_differ_in_numbers_share_a_band(spark):
     assert len(rows) >= 100 and met >= 0.96 * len(rows) / 2
 
 
+def test_bands_of_one_line_are_left_out_before_anything_is_written(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghij", k=90)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[4] + "k"])), "doc_id long, text string")
+    seen, keep = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: seen.setdefault(name, []).append(keep(df, name)) or seen[name][-1])
+    line_dedup.links(line_dedup._lines(docs))
+    members = [r for r in seen["line_members"][0].collect()]
+    assert members and len({r["k1"] for r in members}) == 2
+    plan = line_dedup._shared(line_dedup.buckets(line_dedup._lines(docs)))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(band") == 1
+
+
+def test_shingles_are_cut_once_a_pair(spark):
+    texts = ["abcdefghijklmnopqrstuvwxyz" * 2, "abcdefghijklmnopqrstuvwxyz" * 2 + "!", "0123456789abcdefghijklmnopqrs", "short", None]
+    sizes = [len(shingles(t)) if t else None for t in texts]
+    rows = [(a, a, b, b, texts[a], sizes[a], texts[b], sizes[b]) for a in range(4) for b in range(a)]
+    both = spark.createDataFrame(rows, "a1 long, a2 long, b1 long, b2 long, of_a string, n_a int, of_b string, n_b int")
+    near = line_dedup._near(both)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("utf-32") == 2
+    want = {(a, b): len(shingles(texts[a]) & shingles(texts[b])) / len(shingles(texts[a]) | shingles(texts[b])) for a in range(4) for b in range(a)}
+    assert {(r["a1"], r["b1"]): r["likeness"] for r in near.collect()} == {k: v for k, v in want.items() if v >= 0.6}
+
+
 def test_leaders_are_aggregates_without_a_window(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "written", lambda df, name: df)
     members = spark.range(100).selectExpr("id % 3 cell", "0 role", "id k1", "0d away", "id root")
