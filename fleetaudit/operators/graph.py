@@ -5,8 +5,15 @@ take their tables for small ones and send them through the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.core import lookup
 from ..functions.text import basename, dirname, is_test_path, path_tokens, shared_prefix_length, stem
@@ -15,6 +22,8 @@ from ..session import cut_lineage
 from . import AUDIT
 from .findings import top_k
 
+WHOLE = 200_000  # edges of a graph that one task may hold
+
 # Patterns, layer names and limits.
 JS_EXTS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 JS_FILE = r"(?i)\.(?:ts|tsx|js|jsx|mjs|cjs)$"
@@ -184,15 +193,116 @@ def import_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 # --- strongly connected components -----------------------------------------------------------------
+def _strong(src: list[str], dst: list[str]) -> tuple[list[str], list[str], list[int]]:
+    """Node, component and size of every component of one graph with more than one node (Tarjan, without recursion)."""
+    out: dict[str, list[str]] = {}
+    for a, b in zip(src, dst):
+        out.setdefault(a, []).append(b)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    open_: set[str] = set()
+    nodes, names, sizes = [], [], []
+    for start in out:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        held.append(start)
+        open_.add(start)
+        way = [(start, iter(out[start]))]
+        while way:
+            at, rest = way[-1]
+            for to in rest:
+                if to not in index:
+                    index[to] = low[to] = len(index)
+                    held.append(to)
+                    open_.add(to)
+                    way.append((to, iter(out.get(to, ()))))
+                    break
+                if to in open_:
+                    low[at] = min(low[at], index[to])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[at])
+                if low[at] == index[at]:
+                    found = [held.pop()]
+                    while found[-1] != at:
+                        found.append(held.pop())
+                    open_.difference_update(found)
+                    if len(found) > 1:
+                        nodes += found
+                        names += [min(found, key=str.encode)] * len(found)
+                        sizes += [len(found)] * len(found)
+    return nodes, names, sizes
+
+
+def _solve(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Solver of frames that lie by ``keys``: graph after graph, the one a frame ends in waits for the next frame."""
+    def solved(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        src, dst = frame["src"].tolist(), frame["dst"].tolist()
+        at: list[int] = []
+        nodes, names, sizes = [], [], []
+        for a, b in zip(starts, [*starts[1:], len(frame)]):
+            n, c, s = _strong(src[a:b], dst[a:b])
+            at += [a] * len(n)
+            nodes += n
+            names += c
+            sizes += s
+        columns = {k: frame[k].to_numpy(dtype=object)[at] for k in keys} | {"node": np.array(nodes, dtype=object), "component": np.array(names, dtype=object)}
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()} | {"size": np.array(sizes, dtype="int64")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            moved = np.zeros(len(batch), dtype=bool)
+            for k in keys:
+                values = batch[k].to_numpy(dtype=object)
+                moved[1:] |= values[1:] != values[:-1]
+            moved[0] = bool(waiting) and any(waiting[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys)
+            starts = np.flatnonzero(moved)
+            if not len(starts):
+                waiting.append(batch)
+                continue
+            waiting.append(batch.iloc[:starts[0]])
+            frame = pd.concat(waiting, ignore_index=True)
+            if len(frame):
+                yield solved(frame, np.array([0]))
+            if len(starts) > 1:
+                yield solved(batch.iloc[starts[0]:starts[-1]].reset_index(drop=True), starts[:-1] - starts[0])
+            waiting = [batch.iloc[starts[-1]:]]
+        if waiting:
+            yield solved(pd.concat(waiting, ignore_index=True), np.array([0]))
+
+    return run
+
+
 def strongly_connected(edges: DataFrame, keys: list[str] = AUDIT, hops: int = 4) -> DataFrame:
-    """(keys, node, component) of every component with more than one node; a component is named by its least node.
+    """(keys, node, component, size) of every component with more than one node; a component is named by its least node.
 
-    Forward–backward colouring over the whole fleet at once: each node takes the least label that reaches it, then
-    the nodes of a colour that reach its root form one component and leave the graph. Every round is a join and a
-    mergeable aggregate on edges, so neither a large component nor a hot repository is ever gathered, and state is
+    Graphs of at most ``WHOLE`` edges lie by key and are solved by tasks in one pass, one graph in memory at a time. Larger
+    ones, and only those, are coloured by joins over their edges, so no task holds one.
+    """
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    left = cut_lineage(edges.select(*keys, "src", "dst").filter(known & (F.col("src") != F.col("dst"))).distinct())
+    large = cut_lineage(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select(*keys))
+    every = large.isEmpty()
+    small = left if every else left.join(large.hint("merge"), keys, "left_anti")
+    schema = edges.select(*keys, F.col("src").alias("node"), F.col("src").alias("component")).withColumn("size", F.lit(0).cast("long")).schema
+    solved = cut_lineage(small.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_solve(keys), StructType(
+        [StructField(f.name, f.dataType) for f in schema.fields])))
+    return solved if every else solved.unionByName(_coloured(left.join(large.hint("merge"), keys, "left_semi"), keys, hops))
+
+
+def _coloured(edges: DataFrame, keys: list[str], hops: int) -> DataFrame:
+    """Components of more than one node by forward–backward colouring over all graphs at once: each node takes the least label
+    that reaches it, then the nodes of a colour that reach its root form one component and leave the graph. Every round is a
+    join and a mergeable aggregate on edges, so neither a large component nor a hot repository is ever gathered, and state is
     written to the checkpoint folder after ``hops`` rounds.
     """
-    left = cut_lineage(edges.select(*keys, "src", "dst").filter("src <> dst").distinct())
+    left = cut_lineage(edges)
     found: list[DataFrame] = []
     while True:
         left = _trim(left, keys)

@@ -48,6 +48,35 @@ def test_settled_graphs_are_not_pushed_again_and_edges_stay_off_the_driver(spark
     assert "short" not in written[-1] and "long" in written[-1]
 
 
+def test_small_graphs_are_solved_in_one_pass_and_large_ones_as_before(spark, monkeypatch):
+    rows = [*_ring("long", 10), *_ring("short", 2), ("o", "line", "a", "n0", "n1"), ("o", "line", "a", "n1", "n2"), ("o", "two", "a", "x", "y"),
+            ("o", "two", "a", "y", "x"), ("o", "two", "a", "y", "é"), ("o", "two", "a", "é", "z"), ("o", "two", "a", "z", "é"), ("o", "two", "a", "z", "z"),
+            (None, "short", "a", "n0", "n1"), (None, "short", "a", "n1", "n0"), ("o", "short", "a", None, "n0"), ("o", "short", "b", "n1", "n0")]
+    edges = spark.createDataFrame(rows + rows[:3], "org_id string, repo_id string, audit_id string, src string, dst string").repartition(3)
+
+    def found(of):
+        return sorted((r["org_id"], r["repo_id"], r["audit_id"], r["node"], r["component"], r["size"]) for r in of.collect())
+
+    want = sorted([*(("o", "long", "a", f"n{i:02}", "n00", 10) for i in range(10)), *(("o", "short", "a", f"n{i:02}", "n00", 2) for i in range(2)),
+                   *(("o", "two", "a", n, "x", 2) for n in "xy"), *(("o", "two", "a", n, "z", 2) for n in "zé")])
+    for most in (5, 0):  # some graphs are larger, all are
+        monkeypatch.setattr(G, "WHOLE", most)
+        assert found(G.strongly_connected(edges)) == want
+    monkeypatch.setattr(G, "WHOLE", 1000)
+    monkeypatch.setattr(G, "_spread", None)
+    assert found(G.strongly_connected(edges)) == want
+    assert G.strongly_connected(edges.limit(0)).count() == 0
+
+
+def test_a_graph_that_ends_in_a_later_batch_is_solved_whole():
+    import pandas as pd
+
+    edges = pd.DataFrame([(k, f"n{i:02}", f"n{(i + 1) % n:02}") for k, n in (("a", 3), ("b", 7), ("c", 2), ("d", 5)) for i in range(n)], columns=["k", "src", "dst"])
+    for step in (1, 2, 4, 100):
+        got = pd.concat(G._solve(["k"])(edges.iloc[i:i + step] for i in range(0, len(edges), step)))
+        assert dict(got.groupby("k")["size"].agg(lambda s: (len(s), s.iloc[0]))) == {"a": (3, 3), "b": (7, 7), "c": (2, 2), "d": (5, 5)}
+
+
 def test_findings_are_dealt_by_audit_once(spark, tmp_path):
     """Rows that lie by audit meet their files, lines and duplicates without being moved again."""
     from fleetaudit.plans import core
