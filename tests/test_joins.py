@@ -145,3 +145,37 @@ def test_lifecycle_and_fix_tables_hold_no_texts(spark, tmp_path, monkeypatch):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_reachability_judges_pins_before_advisories_multiply_them(spark, monkeypatch):
+    from fleetaudit.operators import dependencies as D
+    from fleetaudit.plans import repositories as RE
+
+    pins = spark.createDataFrame([("o", "r", "a", "PyPI", n, "1.0", "req.txt") for n in ("PyYAML", "flask", "Left", "_odd")] + [
+        (None, "r", "a", "PyPI", "flask", "1.0", "req.txt"), ("o", "s", "a", "PyPI", "flask", "2.0", "req.txt")],
+        "org_id string, repo_id string, audit_id string, ecosystem string, name string, version string, source string")
+    known = spark.createDataFrame([("PyPI", n, "1.0", f"G{i}", None if i == 2 else f"C{i}", "s", "high", ["2.0"]) for n in ("PyYAML", "flask", "Left", "_odd") for i in range(3)],
+                                  "ecosystem string, name string, version string, advisory_id string, display_id string, summary string, severity string, fixed array<string>")
+    imports = spark.createDataFrame([("o", "r", "a", "pyyaml", "b.py", 2), ("o", "r", "a", "pyyaml", "a.py", 1)], "org_id string, repo_id string, audit_id string, package string, path string, line_no int")
+    direct = spark.createDataFrame([("o", "r", "a", "flask")], "org_id string, repo_id string, audit_id string, package string")
+
+    def rows(df):
+        return sorted((tuple(str(r[c]) for c in sorted(df.columns))) for r in df.collect())
+
+    late = D.reachability(D.vulnerabilities(pins, known), imports, direct)
+    early = D.reachability(D.vulnerabilities(D.pin_reachability(pins, imports, direct), known))
+    assert rows(early) == rows(late) and sorted(early.columns) == sorted(late.columns) and early.count() == 15
+    by_name = {r["title"].split(" ")[0]: (r["reachability"], r["confidence"]) for r in early.where("title IS NOT NULL AND org_id IS NOT NULL").collect()}
+    assert by_name == {"PyYAML": ("imported", "high"), "flask": ("not-imported", "medium"), "Left": ("transitive", "medium"), "_odd": ("", "high")}
+
+    class Made:
+        repo_files = None
+
+    monkeypatch.setattr(RE.MF, "collect_pins", lambda files: pins)
+    monkeypatch.setattr(RE.MF, "python_declared", lambda files: direct.withColumnRenamed("package", "dist"))
+    monkeypatch.setattr(RE.D, "external_imports", lambda files: imports)
+    monkeypatch.setattr(RE, "lines", lambda t: None)
+    monkeypatch.setattr(RE, "advisories", lambda t: known)
+    asked = RE._reachability(Made()).select("repo_id", "rule_id", "reachability", "confidence")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "Inner" in next(line for line in plan if "Join" in line)  # the join that multiplies is the last
