@@ -179,3 +179,22 @@ def test_reachability_judges_pins_before_advisories_multiply_them(spark, monkeyp
     asked = RE._reachability(Made()).select("repo_id", "rule_id", "reachability", "confidence")
     plan = asked._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert "Inner" in next(line for line in plan if "Join" in line)  # the join that multiplies is the last
+
+
+def test_a_version_many_pin_is_joined_by_many_tasks(spark):
+    from fleetaudit.operators import dependencies as D
+
+    pins = spark.range(64).selectExpr("'o' org_id", "string(id) repo_id", "'a' audit_id", "'PyPI' ecosystem", "'flask' name", "'1.0' version", "'req.txt' source")
+    known = spark.range(3).selectExpr("'PyPI' ecosystem", "'flask' name", "'1.0' version", "string(id) advisory_id", "string(id) display_id", "'s' summary",
+                                      "'high' severity", "array('2.0') fixed")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        found = D.vulnerabilities(pins, known)
+        assert "Broadcast" not in plan(found)
+        rows = found.select("repo_id", "emit_idx", F.spark_partition_id().alias("at")).collect()
+        assert len({r["at"] for r in rows}) > 1
+        assert sorted((int(r["repo_id"]), r["emit_idx"]) for r in rows) == [(i, k) for i in range(64) for k in (1, 2, 3)]
+    finally:
+        spark.conf.set(name, before)
